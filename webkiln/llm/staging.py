@@ -39,7 +39,7 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes below ``df``; for file scans, the files' size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
