@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webkiln.llm import chat_format, exact_dedup, line_dedup, minhash_dedup, substring_dedup, url_filter
+from webkiln.llm import chat_format, exact_dedup, line_dedup, minhash_dedup, packing, substring_dedup, url_filter
 from webkiln.llm.staging import stage, table
 
 
@@ -60,6 +60,32 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe() -> packing.Vocabulary:
+    import public_tokenizers
+
+    return packing.Vocabulary(
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+def pieces(packed: DataFrame) -> DataFrame:
+    return packed.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), end_id=1, size=2048))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
@@ -72,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op4_url_filter": op4_url_filter,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_packing": op6_packing,
         "op7_line_dedup": op7_line_dedup,
     }
 

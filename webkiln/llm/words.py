@@ -78,6 +78,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[begin:end] for every pair, from one prefix sum."""
+    n = len(data)
+    power, inverse = _power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _LENGTH)
+
+
 def hash_words(texts: pa.Array, style: str) -> Words:
     separator, lower = STYLES[style]
     data, offsets = text_bytes(texts)
@@ -95,11 +104,7 @@ def hash_words(texts: pa.Array, style: str) -> Words:
     start[cuts] = inside[cuts]
     stop[cuts - 1] = inside[cuts - 1]
     begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    power, inverse = _power_tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    hashes = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _LENGTH)
-    return Words(hashes, np.searchsorted(begin, offsets))
+    return Words(hash_spans(data, begin, end), np.searchsorted(begin, offsets))
 
 
 def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
