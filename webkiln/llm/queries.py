@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webkiln.llm import chat_format, exact_dedup, line_dedup, minhash_dedup, packing, substring_dedup, url_filter
+from webkiln.llm import chat_format, exact_dedup, license_scan, line_dedup, minhash_dedup, packing, substring_dedup, url_filter
 from webkiln.llm.staging import stage, table
 
 
@@ -91,6 +91,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: s["first"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base).alias("first_word"),
+        F.array_max(base).alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -100,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_packing": op6_packing,
         "op7_line_dedup": op7_line_dedup,
+        "op8_license_scan": op8_license_scan,
     }
 
 
