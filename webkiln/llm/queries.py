@@ -11,7 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webkiln.llm import chat_format, exact_dedup, license_scan, line_dedup, minhash_dedup, packing, substring_dedup, url_filter
+from webkiln.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    quality,
+    substring_dedup,
+    url_filter,
+)
 from webkiln.llm.staging import stage, table
 
 
@@ -106,6 +117,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -116,6 +137,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_line_dedup": op7_line_dedup,
         "op8_license_scan": op8_license_scan,
+        "op9_quality": op9_quality,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
