@@ -1,9 +1,11 @@
 """Quality classifier: naive Bayes support vectors.
 
 A text's features are indicators of its word unigrams and bigrams and of its byte
-trigrams, hashed to ``N_FEATURES`` slots.  Every indicator is scaled by its class
-log-count ratio, the scaled vector is brought to length one, and a linear model
-with hinge loss is fitted by dual coordinate descent.  Margins become scores by a
+trigrams, hashed to ``N_GRAMS`` slots, and of a few shapes of its n-grams: steps in
+the shares of bigrams that repeat a word, of distinct words and bigrams, of capitals
+and of marks.  Every indicator is scaled by its class log-count ratio, the gram and
+the shape part are each brought to length one, and a linear model with hinge loss is
+fitted by dual coordinate descent.  Margins become scores by a
 logistic curve fitted on rows kept out of the descent.
 """
 
@@ -20,8 +22,15 @@ from pyspark.sql import types as T
 
 from webkiln.llm import words
 
-N_FEATURES = 1 << 18
-_HALF = np.uint64(N_FEATURES // 2 - 1)
+N_GRAMS = 1 << 18
+_HALF = np.uint64(N_GRAMS // 2 - 1)
+#: The steps of the shape shares.
+STEPS = np.array([0.001, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.98])
+N_SHAPES = 5
+N_FEATURES = N_GRAMS + N_SHAPES * (len(STEPS) + 1)
+_CAPITAL, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
+_CAPITAL[0x41:0x5B] = True
+_MARKS[0x21:0x30] = _MARKS[0x3A:0x41] = _MARKS[0x5B:0x61] = _MARKS[0x7B:0x7F] = True
 
 
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -32,17 +41,42 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
     two = (words.ngrams(hashed.hashes, 2) & _HALF).astype(np.int32)
     wide = data.astype(np.uint32)
     three = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:] if len(data) > 2 else np.zeros(0, np.uint32)
-    three = ((three * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.int32) + N_FEATURES // 2
-    seen = np.zeros(N_FEATURES, bool)
+    three = ((three * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.int32) + N_GRAMS // 2
+    seen = np.zeros(N_GRAMS, bool)
+    same = np.r_[0, np.cumsum(hashed.hashes[1:] == hashed.hashes[:-1])]
+    capitals, marks = (np.r_[0, np.cumsum(kind[data])] for kind in (_CAPITAL, _MARKS))
+    pairs = words.ngrams(hashed.hashes, 2)
     for a, b, x, y in zip(hashed.first[:-1], hashed.first[1:], offsets[:-1], offsets[1:], strict=True):
         seen[one[a:b]] = True
         seen[two[a : max(a, b - 1)]] = True
         seen[three[x : max(x, y - 2)]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
+        n = int(b - a)
+        if n:
+            shares = (
+                (same[b - 1] - same[a]) / n,
+                len(np.unique(hashed.hashes[a:b])) / n,
+                len(np.unique(pairs[a : b - 1])) / max(n - 1, 1),
+                (capitals[y] - capitals[x]) / (y - x),
+                (marks[y] - marks[x]) / (y - x),
+            )
+            shape = np.searchsorted(STEPS, shares) + N_GRAMS + np.arange(N_SHAPES) * (len(STEPS) + 1)
+            found = np.r_[found, shape]
         yield found
 
 
+def scaled(ratio: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The values of a text's features: ratios, each part brought to length one."""
+    x = ratio[found]
+    cut = np.searchsorted(found, N_GRAMS)
+    for part in (x[:cut], x[cut:]):
+        norm = np.sqrt(part @ part)
+        if norm:
+            part /= norm
+    return x
+
+
 @dataclass
 class Model:
     ratio: np.ndarray
@@ -52,9 +86,7 @@ class Model:
     shift: float
 
     def margin(self, found: np.ndarray) -> float:
-        r = self.ratio[found]
-        norm = float(np.sqrt(r @ r))
-        return (float(self.weight[found] @ r) / norm if norm else 0.0) + self.bias
+        return float(self.weight[found] @ scaled(self.ratio, found)) + self.bias
 
     def score(self, found: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -500, 500))))
@@ -71,16 +103,12 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, rounds: int, seed: int):
     """Dual coordinate descent for the hinge loss; classes weigh the same in all."""
     rng = np.random.default_rng(seed)
-    scaled = []
-    for found in rows:
-        r = ratio[found]
-        norm = np.sqrt(r @ r)
-        scaled.append(r / norm if norm else r)
+    values = [scaled(ratio, found) for found in rows]
     most = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
     weight, bias, alpha = np.zeros(N_FEATURES), 0.0, np.zeros(len(y))
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
-            found, x = rows[i], scaled[i]
+            found, x = rows[i], values[i]
             gradient = y[i] * (weight[found] @ x + bias) - 1
             new = min(max(alpha[i] - gradient / (x @ x + 1), 0.0), most[i])
             if new != alpha[i]:
