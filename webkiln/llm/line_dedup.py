@@ -89,8 +89,11 @@ def line_dedup(
     min_docs: int = 5,
     n_batches: int = 3,
     fan_in: int = 2,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Return one row per input row: id, n_lines, n_dropped and the kept text.
+    """Return one row per input row: id, n_lines, n_dropped and kept_text.
+
+    ``carry`` names columns to bring along; they come in the struct ``carried``.
 
     A line's key is the line without ASCII white space at both ends and with A-Z
     lower-cased.  Keys of ``min_chars`` code points or more that ``min_docs``
@@ -99,8 +102,10 @@ def line_dedup(
     and each keeps its row (``same``, a hash of the text, tells their lines apart).  Rows with a null id keep their text unchanged and
     count for nothing.  An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("same", F.xxhash64("text"))
+    extra = (F.struct(*carry) if carry else F.lit(None)).alias("carried")
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"), extra
+    )
     known = docs.filter("id IS NOT NULL")
     cuts = known.select("id").approxQuantile("id", [i / n_batches for i in range(1, n_batches)], 0.01)
     batch = F.lit(0)
@@ -115,7 +120,9 @@ def line_dedup(
         .groupBy("id", "same")
         .agg(F.collect_set("pos").alias("drop"))
     )
-    rows = docs.join(dropped, ["id", "same"], "left").select("id", lines_of(F.col("text")).alias("lines"), "drop")
+    rows = docs.join(dropped, ["id", "same"], "left").select(
+        "id", lines_of(F.col("text")).alias("lines"), "drop", "carried"
+    )
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     rows = rows.withColumn("stay", F.when(F.col("drop").isNotNull(), F.array_except(every, F.col("drop"))))
     text = F.when(F.col("stay").isNull(), F.array_join("lines", "\n")).otherwise(
@@ -127,4 +134,5 @@ def line_dedup(
         n_lines.alias("n_lines"),
         F.coalesce(n_lines - F.size("stay"), F.lit(0)).cast("long").alias("n_dropped"),
         text.alias("kept_text"),
+        *(["carried"] if carry else []),
     )
