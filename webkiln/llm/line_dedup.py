@@ -107,7 +107,8 @@ def line_dedup(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"), extra
     )
     known = docs.filter("id IS NOT NULL")
-    cuts = known.select("id").approxQuantile("id", [i / n_batches for i in range(1, n_batches)], 0.01)
+    shares = [i / n_batches for i in range(1, n_batches)]
+    cuts = known.select("id").approxQuantile("id", shares, 0.01) if shares else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + (F.col("id") <= F.lit(int(cut))).cast("int")

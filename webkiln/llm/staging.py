@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +38,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes below ``df``; for file scans, the files' size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Catalyst answers with exabytes where it knows nothing of a table's size.
+_UNKNOWN = 1 << 50
+
+
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """Catalyst's estimate of the bytes of a text column (for file scans from the files' sizes).
+
+    Where Catalyst has none the texts' bytes are added up.
+    """
+    texts = df.select(text_col)
+    known = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < _UNKNOWN else int(texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -290,7 +290,7 @@ def substring_dedup(
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
     )
-    n_buckets = max(8, -(-input_bytes(docs.select(text_col)) // bucket_bytes))
+    n_buckets = max(8, -(-input_bytes(docs, text_col) // bucket_bytes))
     runs = (
         rows.mapInArrow(_post(window, gram, n_buckets), "bucket int, post binary, runs binary")
         .repartition("bucket")
