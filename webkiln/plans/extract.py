@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webkiln.functions.text import count_words
 from webkiln.html.shred import shred
 from webkiln.operators import content, dispatch, metadata, removals, render
+from webkiln.sources.shared import materialise
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,12 @@ class Options:
         return tuple(step for step, on in flags.items() if on is not False)
 
 
+def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The node table, the main content and the metadata of all pages, each computed once."""
+    nodes = materialise(shred(pages), "nodes")
+    return nodes, materialise(content.main_content(nodes), "main"), materialise(metadata.page_metadata(pages, nodes), "metadata")
+
+
 def cleaned(nodes: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[str, ...]) -> DataFrame:
     """The main content's nodes after removal and standardisation."""
     left = removals.remove(removals.mark_victims(nodes, main, steps))
@@ -43,14 +50,15 @@ def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: O
     Every rung is a plan over the pages that are still short; a page takes the rung's
     result if it has enough more words than before.
     """
-    best = cleaned(nodes, main, titles, options.steps()).withColumn("retry_step", F.lit(0))
+    best = materialise(cleaned(nodes, main, titles, options.steps()).withColumn("retry_step", F.lit(0)), "rung")
     for rung, (without, below, factor) in enumerate(LADDER, 1):
         words = render.to_text(best).select("page_id", count_words("content_text").alias("words"))
-        short = main.join(words, "page_id", "left").filter(F.coalesce("words", F.lit(0)) < below)
+        short = materialise(main.join(words, "page_id", "left").filter(F.coalesce("words", F.lit(0)) < below), "short")
         steps = tuple(s for s in options.steps() if s not in without)
-        again = cleaned(nodes.join(short.select("page_id"), "page_id", "left_semi"), short, titles, steps)
+        again = materialise(cleaned(nodes.join(short.select("page_id"), "page_id", "left_semi"), short, titles, steps), "rung")
         more = render.to_text(again).select("page_id", count_words("content_text").alias("more"))
         won = short.select("page_id", "words").join(more, "page_id").filter(F.col("more") > F.coalesce("words", F.lit(0)) * factor).select("page_id")
+        won = materialise(won, "won")
         best = best.join(won, "page_id", "left_anti").unionByName(
             again.join(won, "page_id", "left_semi").withColumn("retry_step", F.lit(rung))
         )
@@ -60,10 +68,11 @@ def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: O
 def extract(pages: DataFrame, options: Options | None = None, nodes: DataFrame | None = None, ladder: bool = False) -> DataFrame:
     """One record per page: metadata, extractor, content, word_count and Markdown if asked for."""
     options = options or Options()
-    nodes = shred(pages) if nodes is None else nodes
-    about = metadata.page_metadata(pages, nodes)
-    main = content.main_content(nodes)
-    left = with_ladder(nodes, main, about, options) if ladder else cleaned(nodes, main, about, options.steps())
+    nodes, main, about = parsed(pages) if nodes is None else (nodes, content.main_content(nodes), metadata.page_metadata(pages, nodes))
+    if ladder:
+        left = with_ladder(nodes, main, about, options)
+    else:
+        left = materialise(cleaned(nodes, main, about, options.steps()), "cleaned")
     text = render.to_text(left).select("page_id", count_words(F.trim("content_text")).alias("word_count"))
     out = (
         about.join(dispatch.dispatch(pages).select("page_id", "extractor"), "page_id")

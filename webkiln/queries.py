@@ -11,6 +11,7 @@ from webkiln.functions import text, urls
 from webkiln.html.shred import shred
 from webkiln.operators import content, dispatch, metadata, removals, render
 from webkiln.plans import extract as plan
+from webkiln.sources.shared import materialise
 from webkiln.streaming import pages as streams
 
 
@@ -22,14 +23,17 @@ def _pages(spark, sf_dir):
     return table(spark, sf_dir, "pages")
 
 
+def _nodes(spark, sf_dir):
+    """The node table, parsed once for plans that read it several times."""
+    return materialise(shred(_pages(spark, sf_dir)), "nodes")
+
+
 def page_extract(spark, sf_dir):
     return plan.extract(_pages(spark, sf_dir), plan.Options(markdown=True))
 
 
 def page_extract_ladder(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    nodes = shred(pages)
-    main, about = content.main_content(nodes), metadata.page_metadata(pages, nodes)
+    nodes, main, about = plan.parsed(_pages(spark, sf_dir))
     left = plan.with_ladder(nodes, main, about, plan.Options())
     steps = left.groupBy("page_id").agg(F.max("retry_step").alias("retry_step"))
     words = render.to_text(left).select("page_id", text.count_words(F.trim("content_text")).alias("word_count"))
@@ -38,7 +42,7 @@ def page_extract_ladder(spark, sf_dir):
 
 def page_metadata(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return metadata.page_metadata(pages, shred(pages))
+    return metadata.page_metadata(pages, _nodes(spark, sf_dir))
 
 
 def meta_tags(spark, sf_dir):
@@ -52,7 +56,7 @@ def element_counts(spark, sf_dir):
 
 
 def article_text(spark, sf_dir):
-    nodes = shred(_pages(spark, sf_dir))
+    nodes = _nodes(spark, sf_dir)
     main = content.main_content(nodes)
     words = render.to_text(removals.subtree(nodes, main))
     return words.select(
@@ -61,21 +65,21 @@ def article_text(spark, sf_dir):
 
 
 def main_content(spark, sf_dir):
-    return content.main_content(shred(_pages(spark, sf_dir))).select("page_id", "tag", "sel_idx")
+    return content.main_content(_nodes(spark, sf_dir)).select("page_id", "tag", "sel_idx")
 
 
 def candidate_rank(spark, sf_dir):
-    rows = content.candidates(shred(_pages(spark, sf_dir)))
+    rows = content.candidates(_nodes(spark, sf_dir))
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), "sel_idx", "pre")
     return rows.withColumn("place", F.row_number().over(order)).select("page_id", "place", "tag", "sel_idx", "score")
 
 
 def best_block(spark, sf_dir):
-    return content.best_block(shred(_pages(spark, sf_dir))).select("page_id", "tag", "score")
+    return content.best_block(_nodes(spark, sf_dir)).select("page_id", "tag", "score")
 
 
 def removal_counts(spark, sf_dir):
-    nodes = shred(_pages(spark, sf_dir))
+    nodes = _nodes(spark, sf_dir)
     marked = removals.mark_victims(nodes, content.main_content(nodes))
     return marked.filter("reason IS NOT NULL").groupBy("page_id", "tag", "reason").agg(F.count("*").alias("n"))
 
