@@ -39,14 +39,14 @@ def decode_bodies(bodies: DataFrame) -> DataFrame:
     from the content type, else from a meta tag in the first kilobyte, else UTF-8.
     """
     kind = F.lower(F.coalesce("content_type", F.lit("")))
-    start = F.decode(F.substring("body", 1, 1024), F.lit("ISO-8859-1"))
+    start = F.decode(F.substring("body", 1, 1024), "ISO-8859-1")
     named = F.coalesce(
         F.nullif(F.regexp_extract(kind, r"charset=[\"']?([a-z0-9_\-]+)", 1), F.lit("")),
         F.nullif(F.lower(F.regexp_extract(start, r"(?i)<meta[^>]+charset=[\"']?([a-z0-9_\-]+)", 1)), F.lit("")),
         F.lit("utf-8"),
     )
     latin = named.isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252", "us-ascii")
-    html = F.when(latin, F.decode("body", F.lit("ISO-8859-1"))).when(named.isin("utf-16", "utf-16le", "utf-16be"), F.decode("body", F.lit("UTF-16"))).otherwise(F.try_validate_utf8(F.col("body").cast("string")))
+    html = F.when(latin, F.decode("body", "ISO-8859-1")).when(named.isin("utf-16", "utf-16le", "utf-16be"), F.decode("body", "UTF-16")).otherwise(F.try_validate_utf8(F.col("body").cast("string")))
     error = F.when((kind != "") & ~kind.rlike("html|xml|text/"), F.lit("NOT_HTML")).when(F.octet_length("body") > MOST_BYTES, F.lit("TOO_LARGE"))
     return bodies.select("page_id", "url", F.when(error.isNull(), html).alias("html"), error.alias("error"))
 
