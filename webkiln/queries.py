@@ -174,7 +174,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-_TEXT = r"replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&amp;', '&'), '&copy;', '©')"
+_TEXT = r"regexp_replace({0}, '<[^>]*>', '', 'g')"
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _TEXT = f"replace({_TEXT}, '{_entity}', '{_char}')"
 _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 _DOMAIN = rf"regexp_replace({_HOST}, '^www\.', '')"
