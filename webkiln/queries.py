@@ -175,8 +175,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _TEXT = r"regexp_replace({0}, '<[^>]*>', '', 'g')"
-for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">")):
     _TEXT = f"replace({_TEXT}, '{_entity}', '{_char}')"
+_TEXT = f"regexp_replace({_TEXT}, '&amp;?', '&', 'g')"  # the closing mark may be missing
 _ARTICLE = r"regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 _DOMAIN = rf"regexp_replace({_HOST}, '^www\.', '')"
