@@ -28,9 +28,9 @@ def test_substring_dedup_edges(odd_docs, empty_docs):
     assert substring_dedup.substring_dedup(empty_docs).count() == 0
 
 
-@pytest.mark.parametrize(("shingle", "small_list"), [(2, 24), (2, 3), (5, 24)])
-def test_minhash_dedup(docs, pairs, shingle, small_list):
-    rows = minhash_dedup.minhash_dedup(docs, shingle=shingle, small_list=small_list).collect()
+@pytest.mark.parametrize(("shingle", "block"), [(2, 512), (2, 3), (5, 512)])
+def test_minhash_dedup(docs, pairs, shingle, block):
+    rows = minhash_dedup.minhash_dedup(docs, shingle=shingle, block=block).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows}
     assert got == brute.near_components(pairs, shingle, 80)
     assert sum(not k for _, _, k in got.values()) > 10

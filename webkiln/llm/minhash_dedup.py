@@ -1,21 +1,24 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 1. Documents with one shingle set collapse to the smallest identifier.
-2. Every set is posted under each of its signature's coordinate-value pairs.  Two
-   sets link only if at least ``min_matches`` coordinates collide.  A pair held by a
-   single document cannot collide, so a set with fewer shared pairs than that links
-   with nothing; otherwise (prefix merging) it is enough to meet partners under the
-   set's rarest pairs, all but ``min_matches`` - 1 of them.
-3. Partners that meet count the collisions of their whole signatures and are skipped
-   below ``min_matches``.  Lists of up to ``small_list`` documents meet pairwise; in
-   longer ones everybody first meets the list's smallest document.
-4. Candidates are confirmed on the full shingle sets in two passes: first each
-   document's best candidate, then only candidates that the links found so far leave
-   in different components, long lists included.  So a group of copies costs about
-   one confirmation a document, and no link between components is lost.
-
-With 63 coordinates and min_matches 35, a pair of similarity 0.8 is missed with a
-probability of about 3e-7, more similar pairs less often.
+2. A signature has 31 coordinates; a coordinate's value is a pair of independent
+   minima, so that unrelated texts seldom share one.  Every set is posted under each
+   of its coordinate-value pairs.  Two sets link only if at least ``min_matches``
+   coordinates collide.  A value held by a single document cannot collide, so a set
+   with fewer shared values than that links with nothing; otherwise (prefix merging)
+   it is enough to meet partners under the set's rarest values, all but
+   ``min_matches`` - 1 of them.
+3. Partners that meet count the collisions of all their minima and are skipped below
+   ``min_minima``.  A list gives the spanning edges of what is left of it, so that no
+   more rows come out than went in; the edges' components are families.
+4. A family's full sets are compared exactly, in blocks of at most ``block`` documents
+   in order of set size and only between blocks whose sizes fit.  A pair of blocks
+   gives spanning edges of its links, and the links' components are the result.
+
+Lists and families of any size are split into blocks; a task holds two blocks.
+A pair of similarity 0.8 collides in 20 coordinates and 50 minima on average; it has
+fewer than 7 or fewer than 33 with a probability of about 1e-6, more similar pairs
+less often.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -33,14 +36,12 @@ from webkiln.llm.components import components
 from webkiln.llm.staging import stage
 from webkiln.llm.substring_dedup import NO_ID
 
-#: Signature coordinates, packed as bytes into longs of seven (the eighth stays zero).
-N_COORDINATES, PER_LONG = 63, 7
-N_LONGS = N_COORDINATES // PER_LONG
-_LOW7, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+#: Minima of a signature, two to a coordinate; their low bytes travel with a posting.
+N_MINIMA = 62
 
 _rng = np.random.Generator(np.random.PCG64(97))
-_MULTIPLY = _rng.integers(0, 2**63, N_COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, N_COORDINATES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 2**63, N_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, N_MINIMA, dtype=np.uint64)
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +62,12 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return flat, np.r_[0, np.cumsum(sizes)]
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(rows).ravel())
+    )
+
+
 def _signatures(shingle: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
@@ -68,53 +75,26 @@ def _signatures(shingle: int):
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
             k1, k2 = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-            values = np.zeros((len(sizes), N_COORDINATES), np.uint32)
+            values = np.zeros((len(sizes), N_MINIMA), np.uint64)
             if len(full):
                 at = offsets[:-1][full]
                 k1[full] = np.add.reduceat(words.mix(flat), at)
                 k2[full] = np.add.reduceat(words.mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at)
-                for c in range(N_COORDINATES):
+                for c in range(N_MINIMA):
                     values[full, c] = np.minimum.reduceat((flat * _MULTIPLY[c] + _ADD[c]) >> np.uint64(32), at)
-            coordinates = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, values.size + 1, N_COORDINATES, dtype=np.int32)), pa.array(values.ravel().view(np.int32))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), coordinates],
-                ["id", "n", "k1", "k2", "sig"],
-            )
+            pairs = (values[:, 0::2] << np.uint64(32)) | values[:, 1::2]
+            keys = words.mix(pairs ^ words.mix(np.arange(N_MINIMA // 2, dtype=np.uint64) + np.uint64(1)))
+            low = values.astype(np.uint8)
+            columns = [batch.column("id"), pa.array(sizes), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
+            columns += [_lists(keys.view(np.int64)), pa.array([x.tobytes() for x in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "keys", "minima"])
 
     return sign
 
 
-def packed(sig: Column) -> list[Column]:
-    """The signature's low bytes, seven to a long."""
-    longs = []
-    for i in range(N_LONGS):
-        value = F.lit(0).cast("long")
-        for j in range(PER_LONG):
-            byte = F.get(sig, F.lit(i * PER_LONG + j)).cast("long").bitwiseAND(F.lit(255))
-            value = value.bitwiseOR(F.shiftleft(byte, 8 * j))
-        longs.append(value.alias(f"s{i}"))
-    return longs
-
-
-def matches(left: str, right: str) -> Column:
-    """How many coordinates of two packed signatures collide (bytes equal)."""
-    differ = F.lit(0)
-    for i in range(N_LONGS):
-        x = F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))
-        y = (x.bitwiseAND(F.lit(_LOW7)) + F.lit(_LOW7)).bitwiseOR(x).bitwiseAND(F.lit(_HIGH))
-        differ = differ + F.bit_count(y)
-    return F.lit(N_COORDINATES) - differ
-
-
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 def prefix_postings(sets: DataFrame, min_matches: int) -> DataFrame:
-    """(key, freq, who) under each set's rarest shared coordinate-value pairs."""
-    posted = sets.select("id", F.posexplode("sig").alias("c", "value")).select("id", F.xxhash64("c", "value").alias("key"))
+    """(key, id, n, minima) under each set's rarest shared coordinate-value pairs."""
+    posted = sets.select("id", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
     mine = Window.partitionBy("id")
     ranked = (
@@ -122,56 +102,144 @@ def prefix_postings(sets: DataFrame, min_matches: int) -> DataFrame:
         .withColumn("held", F.count("*").over(mine))
         .withColumn("rank", F.row_number().over(mine.orderBy("freq", "key")))
         .filter((F.col("held") >= min_matches) & (F.col("rank") <= F.col("held") - min_matches + 1))
-        .select("id", "key", "freq")
+        .select("id", "key")
     )
-    who = sets.select("id", F.struct("id", "n", *packed(F.col("sig"))).alias("who"))
-    return ranked.join(who, "id").select("key", "freq", "who")
+    return ranked.join(sets.select("id", "n", "minima"), "id")
 
 
-def _met(pairs: DataFrame, min_matches: int, percent: int) -> DataFrame:
-    """Skip merging: keep the met pairs (a < b) whose signatures collide often enough."""
-    return (
-        pairs.filter(_sizes_fit(F.col("l.n"), F.col("r.n"), percent))
-        .withColumn("hits", matches("l", "r"))
-        .filter(F.col("hits") >= min_matches)
-        .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), "hits")
+def _blocks(rows: DataFrame, group: str, block: int, percent: int) -> DataFrame:
+    """Deal each group's rows (id, n, ...) to pairs of blocks (b1 <= b2) whose set sizes can fit.
+
+    A row comes once for every pair its block is in, with ``side`` 0 for b1.
+    """
+    place = Window.partitionBy(group).orderBy("n", "id")
+    rows = rows.withColumn("b", F.floor((F.row_number().over(place) - 1) / block).cast("int"))
+    spans = rows.groupBy(group, "b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left = spans.select(group, F.col("b").alias("b1"), "high")
+    right = spans.select(group, F.col("b").alias("b2"), "low")
+    pairs = left.join(right, group).filter(f"b1 <= b2 AND high * 100 >= low * {percent}").select(group, "b1", "b2")
+    ends = pairs.select("*", F.col("b1").alias("b"), F.lit(0).alias("side")).unionByName(
+        pairs.filter("b1 < b2").select("*", F.col("b2").alias("b"), F.lit(1).alias("side"))
     )
+    return rows.join(ends, [group, "b"]).drop("b")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The tables of consecutive equal keys in a sorted stream of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is not None and last != tuple(c[0] for c in columns)
+        at = 0
+        for cut in np.flatnonzero(new).tolist():
+            held.append(batch.slice(at, cut - at))
+            yield pa.Table.from_batches([h for h in held if h.num_rows])
+            held, at = [], cut
+        held.append(batch.slice(at))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spanning(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (smallest, member) of the components of a symmetric boolean matrix."""
+    label, n = np.arange(len(ids)), len(ids)
+    order = np.argsort(ids, kind="stable")
+    near = near[np.ix_(order, order)] | np.eye(n, dtype=bool)
+    while True:
+        new = np.where(near, label[None, :], n).min(1)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    ids = ids[order]
+    return [(int(ids[a]), int(ids[b])) for b, a in enumerate(label.tolist()) if a != b]
+
+
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _list_edges(min_minima: int, percent: int):
+    """mapInArrow over lists sorted by key and blocks: spanning edges of pairs that collide often enough."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, ["key", "b1", "b2"]):
+            ids, n = group.column("id").to_numpy(), group.column("n").to_numpy()
+            if len(ids) < 2:
+                continue
+            minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint8).reshape(len(ids), N_MINIMA)
+            near = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
+            step = max(1, (8 << 20) // (len(ids) * N_MINIMA))
+            for a in range(0, len(ids), step):
+                hits = (minima[a : a + step, None, :] == minima[None, :, :]).sum(2)
+                near[a : a + step] &= hits >= min_minima
+            out += _spanning(ids, near)
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return edges
+
+
+def overlaps(sets: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, from products of 0/1 matrices of shared members."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    good = shared[column]
+    row, column = row[good], number[column[good]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(shared.sum())
+    cuts = np.searchsorted(column, np.arange(0, width + wide, wide))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = np.zeros((len(sets), min(wide, width - k * wide)), np.float32)
+        part[row[a:b], column[a:b] - k * wide] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _set_links(percent: int):
+    """mapInArrow over families sorted by blocks: spanning edges of the pairs that link."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["family", "b1", "b2"]):
+            ids = group.column("id").to_numpy()
+            if len(ids) < 2:
+                continue
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("members")]
+            both = overlaps(sets)
+            n = np.array([len(x) for x in sets])
+            yield _edges(_spanning(ids, 100 * both >= percent * (n[:, None] + n[None, :] - both)))
+
+    return links
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(id, n, members) with the full sets of the wanted documents only."""
+    """(id, family, n, members) with the full sets of the wanted documents only."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
             flat, offsets = shingle_sets(batch.column("text"), shingle)
             members = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(members, pa.binary())], ["id", "members"])
-
-    return docs.join(wanted, "id", "left_semi").mapInArrow(collect, "id long, members binary").dropDuplicates(["id"])
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+            columns = [batch.column("id"), batch.column("family"), pa.array(np.diff(offsets)), pa.array(members, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "family", "n", "members"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
-    return both.select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
-
-
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that the components so far do not join."""
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
+    found = docs.join(wanted, "id").mapInArrow(collect, "id long, family long, n long, members binary")
+    return found.dropDuplicates(["id"])
 
 
 def minhash_dedup(
@@ -180,8 +248,9 @@ def minhash_dedup(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
-    min_matches: int = 35,
-    small_list: int = 24,
+    min_matches: int = 7,
+    min_minima: int = 33,
+    block: int = 512,
 ) -> DataFrame:
     """Return one row per input row: id, n_shingles, component_id, kept.
 
@@ -197,52 +266,29 @@ def minhash_dedup(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
     )
     signed = stage(
-        rows.mapInArrow(_signatures(shingle), "id long, n long, k1 long, k2 long, sig array<int>"), "signatures"
+        rows.mapInArrow(_signatures(shingle), "id long, n long, k1 long, k2 long, keys array<long>, minima binary"),
+        "signatures",
     )
     same = ["n", "k1", "k2"]
     groups = signed.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = stage(
         signed.join(groups, same, "left").select(
-            "id", "n", F.coalesce("rep", "id").alias("rep"), F.when((F.col("rep") == F.col("id")) & (F.col("n") > 0), F.col("sig")).alias("sig")
-        ),
+            "id", "n", F.coalesce("rep", "id").alias("rep"), "keys", "minima"
+        ).withColumn("keys", F.when((F.col("rep") == F.col("id")) & (F.col("n") > 0), F.col("keys"))),
         "set-groups",
     )
-    sets = members.filter("sig IS NOT NULL").dropDuplicates(["id"]).select("id", "n", "sig")
-    lists = stage(prefix_postings(sets, min_matches), "postings")
-
-    l, r = lists.alias("x").select("key", "freq", F.col("who").alias("l")), lists.select("key", F.col("who").alias("r"))
-    small = l.filter(F.col("freq") <= small_list).drop("freq").join(r, "key").filter("l.id < r.id")
-    long_ = lists.filter(F.col("freq") > small_list)
-    first = long_.groupBy("key").agg(F.min("who").alias("r"))
-    star = long_.select("key", F.col("who").alias("l")).join(first, "key").filter("l.id <> r.id")
-    found = _met(small, min_matches, percent).unionByName(_met(star, min_matches, percent))
-    candidates = stage(found.groupBy("a", "b").agg(F.max("hits").alias("hits")), "candidates")
-
-    best = candidates.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = stage(_sets_of(rows, wanted, shingle), "sets")
-    links = stage(_confirm(best, full, percent), "links")
-    labels = stage(components(links), "labels")
-
-    # second pass: whatever may still join two components
-    tagged = long_.join(labels.select(F.col("node").alias("id"), "component"), F.col("who.id") == F.col("id"), "left")
-    tagged = tagged.select("key", "who", F.coalesce("component", "who.id").alias("of"))
-    main = tagged.groupBy("key").agg(F.min(F.struct(F.col("who.id").alias("id"), "of")).alias("main"))
-    tagged = tagged.join(main, "key").select("key", "who", "of", (F.col("of") != F.col("main.of")).alias("outside"))
-    out = tagged.filter("outside").select("key", F.col("who").alias("l"), F.col("of").alias("lo"))
-    cross = out.join(
-        tagged.select("key", F.col("who").alias("r"), F.col("of").alias("ro"), "outside"), "key"
-    ).filter("lo <> ro AND (NOT outside OR l.id < r.id)")
-    rest = candidates.select("a", "b").unionByName(_met(cross, min_matches, percent).select("a", "b"))
-    rest = rest.join(best, ["a", "b"], "left_anti").distinct()
-    rest = stage(_labelled(rest, labels), "leftover")
-    new = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    extra = new.join(full.select("id"), "id", "left_anti")
-    if not extra.isEmpty():
-        full = full.unionByName(stage(_sets_of(rows, extra, shingle), "sets"))
-    if not rest.isEmpty():
-        links = links.unionByName(stage(_confirm(rest, full, percent), "links"))
-        labels = stage(components(links), "labels")
+    sets = members.filter("keys IS NOT NULL").dropDuplicates(["id"]).select("id", "n", "keys", "minima")
+    lists = _blocks(stage(prefix_postings(sets, min_matches), "postings"), "key", block, percent)
+    order = ["b1", "b2", "side"]
+    near = lists.repartition("key", "b1", "b2").sortWithinPartitions("key", *order).mapInArrow(
+        _list_edges(min_minima, percent), "a long, b long"
+    )
+    families = components(stage(near, "near")).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    full = _blocks(stage(_sets_of(rows, families, shingle), "sets"), "family", block, percent)
+    links = full.repartition("family", "b1", "b2").sortWithinPartitions("family", *order).mapInArrow(
+        _set_links(percent), "a long, b long"
+    )
+    labels = stage(components(stage(links, "links")), "labels")
 
     result = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
