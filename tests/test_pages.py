@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from webkiln.functions import jsonld, text, urls
 from webkiln.html.shred import parse, shred
-from webkiln.operators import content, dispatch, metadata, removals, render
+from webkiln.operators import blocks, content, dispatch, metadata, removals, render
 from webkiln.plans import extract as plan
 from webkiln.sources import pages as sources
 from webkiln.streaming import pages as streams
@@ -199,6 +199,15 @@ def test_threads(spark):
     assert out.thread_html.index("</blockquote></blockquote>") < out.thread_html.index("<strong>d")
 
 
+def test_low_blocks(spark):
+    html = """<article>text</article><div class="links"><a href=/a>One link</a> <a href=/b>two link</a> <a href=/c>three link</a></div>
+    <section><h3>Related</h3><ul><li><a href=/1>x y</a><li><a href=/2>z w</a></ul></section>
+    <div>This is a sentence with enough words, and it ends with a full stop here.</div><div class="share">Share now please</div>"""
+    found = blocks.block_scores(shred(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    got = {(r.tag, r.words): (r.likely, r.score < 0) for r in found.collect()}
+    assert got[("div", 6)] == (False, True) and got[("section", 3)][1] and got[("div", 15)] == (True, False) and got[("div", 3)] == (False, True)
+
+
 def test_best_block(nodes):
     assert content.best_block(nodes, least=5.0).filter("page_id = 1").first().tag == "article"
     assert render.to_text(nodes).count() == 2

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webkiln.operators.blocks import low_blocks
 from webkiln.operators.content import classes
 
 # Exact removal rules, by what they test.
@@ -109,7 +110,7 @@ def small_images(nodes: DataFrame) -> DataFrame:
 REASONS = {"hidden": hidden_victim, "exact": exact_victim, "partial": partial_victim}
 
 
-def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("small", "hidden", "exact", "partial")) -> DataFrame:
+def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("small", "hidden", "low", "exact", "partial")) -> DataFrame:
     """The node table with ``reason``: why the element itself is to go, else null.
 
     Elements that are or hold the main content are kept from all steps but hidden,
@@ -126,9 +127,14 @@ def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("s
         keys = small_images(nodes).withColumn("small", F.lit(True))
         rows = rows.withColumn("key", F.when(F.col("tag").isin("img", "svg"), image_key())).join(keys, ["page_id", "key"], "left")
         reason = F.coalesce(reason, F.when(F.col("small"), F.lit("small_image")))
+    if "low" in steps:
+        rows = rows.join(low_blocks(nodes).withColumn("low", F.lit(True)), ["page_id", "pre"], "left")
     element = F.col("kind") == "element"
-    for step in ("hidden", "exact", "partial"):
-        if step in steps:
+    for step in ("hidden", "low", "exact", "partial"):
+        if step == "low" and step in steps:
+            low = F.col("low") & ~holds & ~F.col("in_code")
+            reason = F.coalesce(reason, F.when(F.coalesce(low, F.lit(False)), F.lit("low_score")))
+        elif step in steps:
             free = F.lit(True) if step == "hidden" else ~holds & ~F.col("in_code")
             reason = F.coalesce(reason, F.when(element & free & F.coalesce(REASONS[step](), F.lit(False)), F.lit(step)))
     return rows.withColumn("reason", reason).select(*nodes.columns, "reason")

@@ -22,9 +22,10 @@ class Options:
     remove_hidden: bool | None = None
     remove_exact: bool | None = None
     remove_partial: bool | None = None
+    remove_low_scoring: bool | None = None
 
     def steps(self) -> tuple[str, ...]:
-        flags = {"small": self.remove_small_images, "hidden": self.remove_hidden, "exact": self.remove_exact, "partial": self.remove_partial}
+        flags = {"small": self.remove_small_images, "hidden": self.remove_hidden, "low": self.remove_low_scoring, "exact": self.remove_exact, "partial": self.remove_partial}
         return tuple(step for step, on in flags.items() if on is not False)
 
 
@@ -41,7 +42,7 @@ def cleaned(nodes: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[s
 
 
 #: Fixed values: (steps to leave out, tried below so many words, must grow by this factor).
-LADDER = ((("partial",), 200, 1), (("hidden",), 50, 2), (("partial", "exact"), 50, 1))
+LADDER = ((("partial",), 200, 1), (("hidden",), 50, 2), (("low", "partial"), 50, 1))
 
 
 def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: Options) -> DataFrame:

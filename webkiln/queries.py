@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webkiln.functions import text, urls
 from webkiln.html.shred import shred
-from webkiln.operators import content, dispatch, metadata, removals, render
+from webkiln.operators import blocks, content, dispatch, metadata, removals, render
 from webkiln.plans import extract as plan
 from webkiln.sources.shared import materialise
 from webkiln.streaming import pages as streams
@@ -80,10 +80,14 @@ def best_block(spark, sf_dir):
 
 def removal_counts(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    marked = removals.mark_victims(nodes, content.main_content(nodes))
+    marked = removals.mark_victims(nodes, content.main_content(nodes), ("small", "hidden", "exact", "partial"))
     return marked.filter("reason IS NOT NULL").groupBy("page_id", "tag", "reason").agg(F.count("*").alias("n"))
 
 
+def low_score_blocks(spark, sf_dir):
+    return blocks.block_scores(_nodes(spark, sf_dir)).select("page_id", "tag", "words", "likely", "score")
+
+
 def page_links(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     links = shred(pages).filter("tag = 'a'").select("page_id", "pre", F.coalesce(F.col("attrs")["href"], F.lit("")).alias("href"))
@@ -168,7 +172,7 @@ def longest_by_host(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, article_text, main_content, candidate_rank, best_block,
-        removal_counts, page_links, extractor_dispatch, url_parts, url_dedupe, host_rollup, host_sets, document_words, language_words,
+        removal_counts, low_score_blocks, page_links, extractor_dispatch, url_parts, url_dedupe, host_rollup, host_sets, document_words, language_words,
         conversation_threads, event_properties, event_windows, event_sessions, longest_by_host,
     ]
     return {f.__name__: f for f in found}
