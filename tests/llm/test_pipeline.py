@@ -55,3 +55,13 @@ def test_run_and_registry(spark, sf_dir):
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert names["pipeline"](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("n", [0, 6])
+def test_stages_on_awkward_tables(spark, odd_docs, sf_dir, n):
+    docs = odd_docs.limit(n).select("*", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert out.count() <= n
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).filter("start = 0").count() == n
