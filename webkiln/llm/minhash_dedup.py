@@ -38,6 +38,8 @@ from webkiln.llm.substring_dedup import NO_ID
 
 #: Minima of a signature, two to a coordinate; their low bytes travel with a posting.
 N_MINIMA = 62
+#: Set members that a block holds at most.
+MOST_MEMBERS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(97))
 _MULTIPLY = _rng.integers(0, 2**63, N_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,10 +112,12 @@ def prefix_postings(sets: DataFrame, min_matches: int) -> DataFrame:
 def _blocks(rows: DataFrame, group: str, block: int, percent: int) -> DataFrame:
     """Deal each group's rows (id, n, ...) to pairs of blocks (b1 <= b2) whose set sizes can fit.
 
-    A row comes once for every pair its block is in, with ``side`` 0 for b1.
+    A block has about ``block`` rows and MOST_MEMBERS set members at most, or one
+    larger set.  A row comes once for every pair its block is in, with ``side`` 0 for b1.
     """
-    place = Window.partitionBy(group).orderBy("n", "id")
-    rows = rows.withColumn("b", F.floor((F.row_number().over(place) - 1) / block).cast("int"))
+    before = Window.partitionBy(group).orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.greatest(F.lit(1.0 / block), F.col("n") / F.lit(float(MOST_MEMBERS)))
+    rows = rows.withColumn("b", F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0.0)) + 1e-9).cast("int"))
     spans = rows.groupBy(group, "b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left = spans.select(group, F.col("b").alias("b1"), "high")
     right = spans.select(group, F.col("b").alias("b2"), "low")
