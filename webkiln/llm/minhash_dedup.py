@@ -26,20 +26,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from webkiln.llm import words
 from webkiln.llm.components import components
 from webkiln.llm.staging import stage
 from webkiln.llm.substring_dedup import NO_ID
+from webkiln.llm.url_filter import bloom_of
 
 #: Minima of a signature, two to a coordinate; their low bytes travel with a posting.
 N_MINIMA = 62
 #: Set members that a block holds at most.
 MOST_MEMBERS = 1_000_000
+#: Wanted ids up to which a Bloom filter spares the other texts a shuffle.
+MOST_FILTERED = 10_000_000
 
 _rng = np.random.Generator(np.random.PCG64(97))
 _MULTIPLY = _rng.integers(0, 2**63, N_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,6 +237,25 @@ def _set_links(percent: int):
     return links
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Drop most documents that are not wanted before their texts are shuffled.
+
+    A Bloom filter of the wanted ids goes to the executors while it is small (up to
+    MOST_FILTERED ids, 12 MB); beyond that all texts take part in the join.
+    """
+    n = wanted.count()
+    if not 0 < n <= MOST_FILTERED:
+        return docs
+    hashed = lambda: (F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(11), "id").alias("h2"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select(*hashed()), n, 0.01, 0, 16 << 20))
+
+    @F.pandas_udf(T.BooleanType())
+    def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.hits(*(h.to_numpy(np.int64).view(np.uint64) for h in (h1, h2))))
+
+    return docs.filter(listed(*hashed()))
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(id, family, n, members) with the full sets of the wanted documents only."""
 
@@ -242,7 +266,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             columns = [batch.column("id"), batch.column("family"), pa.array(np.diff(offsets)), pa.array(members, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "family", "n", "members"])
 
-    found = docs.join(wanted, "id").mapInArrow(collect, "id long, family long, n long, members binary")
+    found = _likely(docs, wanted).join(wanted, "id").mapInArrow(collect, "id long, family long, n long, members binary")
     return found.dropDuplicates(["id"])
 
 
