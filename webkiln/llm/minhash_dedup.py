@@ -41,6 +41,8 @@ from webkiln.llm.url_filter import bloom_of
 
 #: Minima of a signature, two to a coordinate; their low bytes travel with a posting.
 N_MINIMA = 62
+#: Text that a task hashes at a time; a worker's tables are about fifty times as large.
+SLICE_BYTES = 1 << 20
 #: Set members that a block holds at most.
 MOST_MEMBERS = 1_000_000
 #: Wanted ids up to which a Bloom filter spares the other texts a shuffle.
@@ -77,7 +79,7 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 def _signatures(shingle: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", SLICE_BYTES):
             flat, offsets = shingle_sets(batch.column("text"), shingle)
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
@@ -260,7 +262,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(id, family, n, members) with the full sets of the wanted documents only."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", SLICE_BYTES):
             flat, offsets = shingle_sets(batch.column("text"), shingle)
             members = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             columns = [batch.column("id"), batch.column("family"), pa.array(np.diff(offsets)), pa.array(members, pa.binary())]
