@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from webkiln import queries
 from webkiln.functions import jsonld, text, urls
 from webkiln.html.shred import parse, shred
 from webkiln.operators import blocks, content, dispatch, metadata, removals, render
@@ -106,6 +107,18 @@ def test_ladder(pages):
     assert steps[1] == 1  # the byline comes back: more words
 
 
+def test_extract_climbs_the_ladder(pages, tmp_path):
+    plain = {r.page_id: r for r in plan.extract(pages, plan.Options(markdown=True), ladder=False).collect()}
+    got = {r.page_id: r for r in plan.extract(pages, plan.Options(markdown=True)).collect()}
+    assert "by Ann" in got[1].content and "by Ann" in got[1].content_markdown and "by Ann" not in plain[1].content
+    assert got[1].word_count > plain[1].word_count
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.page_extract_ladder(pages.sparkSession, str(tmp_path)).collect()
+    assert {r.page_id: r.retry_step for r in rows} == {1: 1, 2: 0, 3: 0, 4: 0}
+    for r in rows:
+        assert {c: r[c] for c in got[1].asDict()} == got[r.page_id].asDict()
+
+
 WORDS = [
     ("", 0), ("   ", 0), ("hello", 1), ("hello world", 2), ("hello   world\n\tfoo", 3), ("你好世界", 4), ("hello 世界", 3), ("안녕 world", 3),
     ("ひらがな", 4), ("カタカナ", 4), ("a　b", 2), ("a b", 2), ("abc你好def", 4), ("don't stop", 2),

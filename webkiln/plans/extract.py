@@ -66,14 +66,20 @@ def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: O
     return best
 
 
-def extract(pages: DataFrame, options: Options | None = None, nodes: DataFrame | None = None, ladder: bool = False) -> DataFrame:
-    """One record per page: metadata, extractor, content, word_count and Markdown if asked for."""
+def extract(
+    pages: DataFrame, options: Options | None = None, nodes: DataFrame | None = None, ladder: bool = True, retry_step: bool = False
+) -> DataFrame:
+    """One record per page: metadata, extractor, content, word_count and Markdown if asked for.
+
+    ``retry_step`` adds the ladder's step that gave the record, 0 for the first pass.
+    """
     options = options or Options()
     nodes, main, about = parsed(pages) if nodes is None else (nodes, content.main_content(nodes), metadata.page_metadata(pages, nodes))
     if ladder:
         left = with_ladder(nodes, main, about, options)
     else:
-        left = materialise(cleaned(nodes, main, about, options.steps()), "cleaned")
+        left = cleaned(nodes, main, about, options.steps()).withColumn("retry_step", F.lit(0))
+    left = materialise(left, "cleaned")
     text = render.to_text(left).select("page_id", count_words(F.trim("content_text")).alias("word_count"))
     out = (
         about.join(dispatch.dispatch(pages).select("page_id", "extractor"), "page_id")
@@ -81,4 +87,7 @@ def extract(pages: DataFrame, options: Options | None = None, nodes: DataFrame |
         .join(text, "page_id", "left")
         .withColumn("word_count", F.coalesce("word_count", F.lit(0)))
     )
+    if retry_step:
+        steps = left.groupBy("page_id").agg(F.max("retry_step").alias("retry_step"))
+        out = out.join(steps, "page_id", "left").withColumn("retry_step", F.coalesce("retry_step", F.lit(0)))
     return out.join(render.to_markdown(left, pages), "page_id", "left") if options.markdown else out

@@ -33,11 +33,7 @@ def page_extract(spark, sf_dir):
 
 
 def page_extract_ladder(spark, sf_dir):
-    nodes, main, about = plan.parsed(_pages(spark, sf_dir))
-    left = plan.with_ladder(nodes, main, about, plan.Options())
-    steps = left.groupBy("page_id").agg(F.max("retry_step").alias("retry_step"))
-    words = render.to_text(left).select("page_id", text.count_words(F.trim("content_text")).alias("word_count"))
-    return steps.join(words, "page_id")
+    return plan.extract(_pages(spark, sf_dir), plan.Options(markdown=True), retry_step=True)
 
 
 def page_metadata(spark, sf_dir):
