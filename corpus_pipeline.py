@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from webkiln.llm import decontaminate, line_dedup, minhash_dedup, packing, quality
 from webkiln.llm.queries import byte_bpe, pieces
-from webkiln.llm.staging import stage, table
+from webkiln.llm.staging import KEY, keyed, stage, table
 
 
 def others(docs: DataFrame, *own: str) -> list[str]:
@@ -41,9 +41,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each group of near duplicates."""
-    classes = minhash_dedup.minhash_dedup(docs, shingle=5, percent=80)
-    gone = classes.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti").select(*docs.columns)
+    rows = keyed(docs, "doc_id")[0].withColumnRenamed(KEY, "__row")
+    gone = minhash_dedup.minhash_dedup(rows, id_col="__row", shingle=5, percent=80).filter("NOT kept").select("__row").distinct()
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webkiln.llm import words
-from webkiln.llm.substring_dedup import NO_ID
+from webkiln.llm.staging import KEY, keyed
 
 
-def _rows(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return frame.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+def _rows(keyed_: DataFrame, text_col: str) -> DataFrame:
+    return keyed_.select(F.col(KEY).alias("id"), F.col(text_col).alias("text"))
 
 
 def _item_grams(min_match: int):
@@ -128,15 +128,18 @@ def overlaps(
     Words are what remains after A-Z are lower-cased and text is cut at ASCII
     characters that are no letters or digits.  Items of fewer than ``min_match``
     words match as a whole; null and empty texts match nothing.  Null ids are
-    allowed on both sides and come back as null.  Rows that repeat an id count as
-    one document or item.  Empty tables give no rows.
+    allowed on both sides and come back as null; every row with one is a document or
+    item of its own.  Rows that repeat another id count as one document or item.
+    Empty tables give no rows.
 
     Up to ``most_wanted`` distinct benchmark grams (8 bytes each) are sent to the
     executors to drop other grams before the seed join; beyond that all grams of the
     documents take part in a shuffled join.
     """
     spark = docs.sparkSession
-    items = _rows(benchmark, item_col, item_text_col).mapInArrow(
+    docs, id_of = keyed(docs, id_col)
+    benchmark, item_of = keyed(benchmark, item_col)
+    items = _rows(benchmark, item_text_col).mapInArrow(
         _item_grams(min_match), "item long, n long, k long, h long, j long"
     ).distinct()
     sizes = [r[0] for r in items.select("k").distinct().collect()]
@@ -145,7 +148,7 @@ def overlaps(
     wanted = None
     if n_hashes and n_hashes <= most_wanted:
         wanted = spark.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64)))
-    grams = _rows(docs, id_col, text_col).mapInArrow(_doc_grams(sizes, wanted), "id long, i int, h long")
+    grams = _rows(docs, text_col).mapInArrow(_doc_grams(sizes, wanted), "id long, i int, h long")
     seeds = grams.join(items, "h").groupBy("id", "item").agg(
         F.max("n").alias("n"), F.collect_set(F.struct("i", F.col("j").cast("int").alias("j"))).alias("seeds")
     )
@@ -155,8 +158,8 @@ def overlaps(
         _tile_pairs(min_match), "id long, item long, coverage double, n_tiles int, longest int, first_word int"
     )
     return tiled.filter(F.col("coverage") >= min_coverage).select(
-        F.nullif("id", F.lit(NO_ID)).alias(id_col),
-        F.nullif("item", F.lit(NO_ID)).alias(item_col),
+        id_of(F.col("id")).alias(id_col),
+        item_of(F.col("item")).alias(item_col),
         "coverage",
         "n_tiles",
         "longest",
@@ -166,5 +169,7 @@ def overlaps(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, columns unchanged."""
-    found = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["__leak"]), "left_anti")
+    rows, _ = keyed(docs, id_col)
+    rows = rows.withColumnRenamed(KEY, "__row")
+    found = overlaps(rows, benchmark, id_col="__row", **options).select("__row").distinct()
+    return rows.join(found, "__row", "left_anti").select(*docs.columns)

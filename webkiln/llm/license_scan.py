@@ -11,7 +11,7 @@ enough distinct words of the template.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from webkiln.llm import words
-from webkiln.llm.substring_dedup import NO_ID
+from webkiln.llm.staging import KEY, keyed
 
 #: Phrases whose consecutive words name a license, and their labels.
 PHRASES = {
@@ -108,20 +108,21 @@ def scan_licenses(
     label, base, first, last (words), cover.  Base spans are complete phrases; the
     other templates count from ``min_cover`` of their words on.  ``score`` is the
     best cover, 0 without a span.  Null and empty texts have no words.  Rows that
-    repeat an id (null among them) are taken together: the largest word count, and
-    spans once.  An empty table gives no rows.
+    repeat an id (null among them) share a row: the largest word count, and spans
+    once.  Texts without an id are scanned each by itself before they share theirs.
+    An empty table gives no rows.
     """
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
-    )
+    rows, id_of = keyed(docs, id_col)
+    rows = rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text"))
     grams = rows.mapInArrow(_grams((short, long_)), "id long, i int, h long")
     hits = grams.join(F.broadcast(template_grams(docs.sparkSession, short, long_)), "h")
-    out = spans_of(hits, short, long_, max_shift, min_cover)
-    return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_col)
+    return spans_of(hits, short, long_, max_shift, min_cover, id_of).withColumnRenamed("id", id_col)
 
 
-def spans_of(hits: DataFrame, short: int, long_: int, max_shift: int, min_cover: float) -> DataFrame:
-    """Count votes by diagonal, merge neighbours, verify spans, gather them by document."""
+def spans_of(
+    hits: DataFrame, short: int, long_: int, max_shift: int, min_cover: float, id_of: Callable[[Column], Column] = lambda key: key
+) -> DataFrame:
+    """Count votes by diagonal, merge neighbours, verify spans, gather them by the id of their document."""
     spark = hits.sparkSession
     known = F.broadcast(spark.createDataFrame(templates(short, long_), "template int, label string, base boolean, n int, k int"))
     votes = hits.groupBy("id", "template", (F.col("i") - F.col("j")).alias("diagonal")).agg(
@@ -151,10 +152,10 @@ def spans_of(hits: DataFrame, short: int, long_: int, max_shift: int, min_cover:
     )
     good = (cover >= least) & (F.col("high") - F.col("first") < 2 * F.col("n"))
     out = (
-        merged.groupBy("id")
+        merged.groupBy(id_of(F.col("id")).alias("id"))
         .agg(
             F.max(F.when(F.col("template").isNull(), F.col("high"))).cast("long").alias("n_words"),
-            F.sort_array(F.collect_list(F.when(F.col("template").isNotNull() & good, span))).alias("spans"),
+            F.sort_array(F.array_distinct(F.collect_list(F.when(F.col("template").isNotNull() & good, span)))).alias("spans"),
         )
     )
 

@@ -35,8 +35,7 @@ from pyspark.sql import Window
 
 from webkiln.llm import words
 from webkiln.llm.components import components
-from webkiln.llm.staging import stage
-from webkiln.llm.substring_dedup import NO_ID
+from webkiln.llm.staging import KEY, keyed, stage
 from webkiln.llm.url_filter import bloom_of
 
 #: Minima of a signature, two to a coordinate; their low bytes travel with a posting.
@@ -288,13 +287,12 @@ def minhash_dedup(
     its distinct ``shingle``-word sequences, the whole sequence if it has fewer
     words.  Documents link at 100 * intersection >= percent * union; a component is
     named by its smallest id, whose row is the one kept.  Null, empty and blank
-    texts have an empty set and link with nothing.  A null id counts as smaller than
-    all others.  Rows that repeat an id must repeat its text; each keeps its row.
-    An empty table gives no rows.
+    texts have an empty set and link with nothing.  Every row with a null id is a
+    document of its own, smaller than all that have one.  Rows that repeat an id must
+    repeat its text; each keeps its row.  An empty table gives no rows.
     """
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
-    )
+    rows, id_of = keyed(docs, id_col)
+    rows = rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text"))
     signed = stage(
         rows.mapInArrow(_signatures(shingle), "id long, n long, k1 long, k2 long, keys array<long>, minima binary"),
         "signatures",
@@ -323,8 +321,8 @@ def minhash_dedup(
     result = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     return result.select(
-        F.nullif("id", F.lit(NO_ID)).alias(id_col),
+        id_of(F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.nullif(component, F.lit(NO_ID)).alias("component_id"),
+        id_of(component).alias("component_id"),
         (F.col("id") == component).alias("kept"),
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +39,39 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of rows without an id count up from here.
+NO_ID = -(2**63)
+#: The column that ``keyed`` adds.
+KEY = "__key"
+
+
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``docs`` with a long KEY that is never null, and what turns a key into the id again.
+
+    The key is the id; every row without one gets a key of its own below all ids.
+    Those rows are written once, so that they keep their keys however often the
+    result is read.
+    """
+    id_ = F.col(id_col).cast("long")
+    nulls = docs.filter(id_.isNull())
+    if nulls.isEmpty():
+        return docs.withColumn(KEY, id_), lambda key: key
+    at = F.col(KEY)
+    nulls = stage(nulls.withColumn(KEY, F.monotonically_increasing_id()), "null-ids").withColumn("__part", F.shiftright(KEY, 33))
+    first, n = [], 0
+    for part, count in sorted(nulls.groupBy("__part").count().collect()):
+        first.append((part, n))
+        n += count
+    lowest = docs.agg(F.min(id_)).first()[0]
+    if lowest is not None and lowest < NO_ID + n:
+        raise ValueError(f"ids below {NO_ID + n} are taken by the keys of rows without an id: {lowest}")
+    first = docs.sparkSession.createDataFrame(first, "__part long, __first long")
+    number = at.bitwiseAND((1 << 33) - 1) + F.col("__first")
+    nulls = nulls.join(F.broadcast(first), "__part").withColumn(KEY, F.lit(NO_ID) + number)
+    rows = docs.filter(id_.isNotNull()).withColumn(KEY, id_).unionByName(nulls.drop("__part", "__first"))
+    return rows, lambda key: F.when(key >= NO_ID + n, key)
+
+
 #: Catalyst answers with exabytes where it knows nothing of a table's size.
 _UNKNOWN = 1 << 50
 

@@ -26,10 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webkiln.llm import words
-from webkiln.llm.staging import input_bytes
+from webkiln.llm.staging import KEY, input_bytes, keyed
 
-#: Stands for a null id inside the operator; it sorts before every other id.
-NO_ID = -(2**63)
 RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ref_doc", "<i8"), ("ref_start", "<i4")])
 POST = np.dtype([("doc", "<i8"), ("pos", "<i4")])
 
@@ -282,14 +280,13 @@ def substring_dedup(
     Words are runs of anything but ASCII white space.  A word is removed if a window
     of ``window`` words that covers it also starts earlier: in a document with a
     smaller id or earlier in the same one.  ``factors`` lists the duplicate spans in
-    words with the place they copy.  Null and empty texts have no words.  A null id
-    counts as smaller than all others.  Rows that repeat an id must repeat its text:
-    they are one document, and each keeps its row.  An empty table gives no rows.
+    words with the place they copy.  Null and empty texts have no words.  Every row
+    with a null id is a document of its own, before all that have one.  Rows that
+    repeat an id must repeat its text: they are one document, and each keeps its row.  An empty table gives no rows.
     ``bucket_bytes`` is the input that one bucket of the index stands for.
     """
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
-    )
+    rows, id_of = keyed(docs, id_col)
+    rows = rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text"))
     n_buckets = max(8, -(-input_bytes(docs, text_col) // bucket_bytes))
     runs = (
         rows.mapInArrow(_post(window, gram, n_buckets), "bucket int, post binary, runs binary")
@@ -305,4 +302,5 @@ def substring_dedup(
         "id long, n_words long, n_removed long, kept_text string, "
         "factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>",
     )
-    return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_col)
+    factors = F.transform("factors", lambda f: f.withField("ref_doc", id_of(f["ref_doc"])))
+    return out.select(id_of(F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", factors.alias("factors"))
