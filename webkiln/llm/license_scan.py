@@ -4,9 +4,11 @@ Every rolling word k-gram hash of every document is joined with the positions th
 it has in the templates; the template table is a constant of this module, so its
 broadcast has a fixed size.  A match at document word i and template word j votes
 for the diagonal i - j.  Votes are counted by (document, template, diagonal);
-diagonals that lie within ``max_shift`` words of each other, as an inserted or lost
-word makes them, are merged; a merged span counts as found only if its votes cover
-enough distinct words of the template.
+diagonals that lie within ``max_shift`` words of each other (less than half of the
+template's words), as an inserted or lost word makes them, are merged; a merged span
+counts as found only if its votes cover enough distinct words of the template.  A
+chain of diagonals that reaches over two lengths of the template is verified in
+overlapping windows of one length, so no chain hides what stands in it.
 """
 
 from __future__ import annotations
@@ -106,7 +108,8 @@ def scan_licenses(
     Words are what remains of a text after A-Z are lower-cased and cut at ASCII
     characters that are no letters or digits.  ``spans`` lists what was found:
     label, base, first, last (words), cover.  Base spans are complete phrases; the
-    other templates count from ``min_cover`` of their words on.  ``score`` is the
+    other templates count from ``min_cover`` of their words on; spans of one label
+    may overlap where shuffled parts of its notice follow each other.  ``score`` is the
     best cover, 0 without a span.  Null and empty texts have no words.  Rows that
     repeat an id (null among them) share a row: the largest word count, and spans
     once.  Texts without an id are scanned each by itself before they share theirs.
@@ -130,10 +133,17 @@ def spans_of(
     )
     votes = votes.join(known, "template", "left")
     along = Window.partitionBy("id", "template").orderBy("diagonal")
+    shift = F.least(F.lit(max_shift), F.ceil(F.col("n") / 2) - 1)
+    chain = Window.partitionBy("id", "template", "group")
+    half = F.ceil(F.col("n") / 2)
+    window = F.floor(F.col("diagonal") / half)
+    too_long = F.max("high").over(chain) - F.min("low").over(chain) >= 2 * F.col("n")
     merged = (
-        votes.withColumn("new", (F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > max_shift)).cast("int"))
+        votes.withColumn("new", (F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > shift)).cast("int"))
         .withColumn("group", F.sum(F.coalesce("new", F.lit(0))).over(along))
-        .groupBy("id", "template", "group", "label", "base", "n", "k")
+        .withColumn("too_long", too_long)
+        .withColumn("window", F.explode(F.when(F.col("too_long"), F.array(window - 1, window)).otherwise(F.array(F.lit(None).cast("long")))))
+        .groupBy("id", "template", "group", "window", "label", "base", "n", "k")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"),
             F.min("low").alias("first"),
@@ -150,7 +160,7 @@ def spans_of(
         "base",
         cover.alias("cover"),
     )
-    good = (cover >= least) & (F.col("high") - F.col("first") < 2 * F.col("n"))
+    good = cover >= least
     out = (
         merged.groupBy(id_of(F.col("id")).alias("id"))
         .agg(
