@@ -119,6 +119,23 @@ def test_extract_climbs_the_ladder(pages, tmp_path):
         assert {c: r[c] for c in got[1].asDict()} == got[r.page_id].asDict()
 
 
+def test_table_layouts(spark):
+    words = "some words of the story " * 14
+    cell = lambda attrs, side="menu": f"<table {attrs}><tr><td>{side}</td><td id=x>{words}</td><td>foot</td></tr></table>"
+    rows = {
+        1: cell("width=600"), 2: cell("align=CENTER"), 3: cell('class="My-Content"'), 4: cell("width=600px"), 5: cell("width=400"), 6: cell(""),
+        7: "<article>an entry point</article>" + cell("width=600"), 8: "<table width=600><tr><td>few words</td></tr></table>",
+        9: f"<table align=center><tr><td>a</td><td><table><tr><td>{words}</td><td id=x>{words}</td></tr></table></td></tr></table>",
+        10: f"<table width=600><tr><td>{words}</td><td id=x>{words}</td><td>b</td></tr></table>",
+    }
+    nodes = shred(spark.createDataFrame(list(rows.items()), "page_id long, html string"))
+    found = content.main_content(nodes).join(nodes.select("page_id", "pre", F.col("attrs")["id"].alias("at")), ["page_id", "pre"])
+    got = {r.page_id: (r.tag, r.at) for r in found.collect()}
+    body = ("body", None)
+    assert got == {1: ("td", "x"), 2: ("td", "x"), 3: ("td", "x"), 4: body, 5: body, 6: body, 7: ("article", None), 8: body,
+                   9: ("td", None), 10: ("td", "x")}
+
+
 WORDS = [
     ("", 0), ("   ", 0), ("hello", 1), ("hello world", 2), ("hello   world\n\tfoo", 3), ("你好世界", 4), ("hello 世界", 3), ("안녕 world", 3),
     ("ひらがな", 4), ("カタカナ", 4), ("a　b", 2), ("a b", 2), ("abc你好def", 4), ("don't stop", 2),

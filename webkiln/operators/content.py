@@ -79,7 +79,7 @@ def link_bytes(nodes: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def scored(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """``elements`` with their content score."""
+    """``elements`` with their content score; a column ``bonus`` counts as points."""
     rows = subtree_totals(nodes, elements).join(link_bytes(nodes, elements), ["page_id", "pre"], "left")
     attrs, text = F.col("attrs"), F.btrim("content_text", F.lit(" \t\r\n"))
     style = F.coalesce(attrs["style"], F.lit(""))
@@ -96,6 +96,7 @@ def scored(nodes: DataFrame, elements: DataFrame) -> DataFrame:
         + flag(text.rlike(BYLINE), 10)
         + flag(name.contains("content") | name.contains("article") | name.contains("post"), 15)
         - F.col("n_tables") * 5.0
+        + (F.coalesce("bonus", F.lit(0.0)) if "bonus" in elements.columns else F.lit(0.0))
     )
     density = F.least(F.coalesce("link_bytes", F.lit(0)) / F.greatest(F.octet_length(text), F.lit(1)), F.lit(0.5))
     return rows.withColumn("content_score", base * (1 - density)).drop("link_bytes")
@@ -117,12 +118,39 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
 
 
+def best_cells(nodes: DataFrame, least: float = 50.0) -> DataFrame:
+    """(page_id, cell): the first best-scored td above ``least`` of every page with a layout table.
+
+    A layout table is wider than 400, centred or named for content.  Cells of one get
+    a bonus unless they are the first or last of their nearest table.
+    """
+    attrs = F.col("attrs")
+    width, align, name = attrs["width"], F.coalesce(attrs["align"], F.lit("")), F.lower(F.coalesce(attrs["class"], F.lit("")))
+    wide = F.coalesce(F.when(width.rlike(r"^[+-]?[0-9]+$"), width.try_cast("long")) > 400, F.lit(False))
+    named = name.contains("content") | name.contains("article")
+    tables = nodes.filter("tag = 'table'").select(
+        "page_id", F.col("pre").alias("t"), F.col("last").alias("t_last"),
+        (wide | named | (F.lower(align) == "center")).alias("layout"), (wide | named | (align == "center")).alias("favoured"),
+    )
+    own = nodes.join(tables.filter("layout").select("page_id").distinct(), "page_id", "left_semi")
+    of_table = Window.partitionBy("page_id", "t")
+    cells = own.filter("tag = 'td'").select("page_id", "pre").join(tables, "page_id").filter("pre > t AND pre <= t_last")
+    inner = (F.col("pre") > F.min("pre").over(of_table)) & (F.col("pre") < F.max("pre").over(of_table))
+    cells = cells.withColumn("points", F.when(F.col("favoured") & inner, 10.0).otherwise(0.0))
+    bonus = cells.groupBy("page_id", "pre").agg(F.max_by("points", "t").alias("bonus"))
+    measured_ = measured(own)
+    rows = scored(measured_, measured_.filter("tag = 'td'").join(bonus, ["page_id", "pre"])).filter(F.col("content_score") > least)
+    best = F.struct("pre", "last", "tag", F.lit(None).cast("int").alias("sel_idx"), F.col("content_score").alias("score"))
+    return rows.groupBy("page_id").agg(F.max_by(best, F.struct("content_score", -F.col("pre"))).alias("cell"))
+
+
 def main_content(nodes: DataFrame) -> DataFrame:
     """(page_id, pre, last, tag, sel_idx, score): the node that holds the page's content.
 
     The best-scored candidate, ties by selector and document order; unless it holds
     three articles or more, contained candidates of a better selector with more than
-    fifty words take its place, in the order of their scores.
+    fifty words take its place, in the order of their scores.  Where body is the only
+    candidate the best cell of a table layout takes its place; its sel_idx is null.
     """
     order = F.struct(-F.col("score"), "sel_idx", "pre", "last", "tag", "words", "n_articles", "score")
     ranked = candidates(nodes).groupBy("page_id").agg(F.sort_array(F.collect_list(order)).alias("c"))
@@ -133,8 +161,11 @@ def main_content(nodes: DataFrame) -> DataFrame:
         return F.when(better, child).otherwise(best)
 
     chosen = F.aggregate(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(1))), F.get("c", 0), step)
-    return ranked.select("page_id", chosen.alias("best")).select(
-        "page_id", "best.pre", "best.last", "best.tag", "best.sel_idx", "best.score"
+    only_body = (F.size("c") == 1) & (F.get("c", 0)["tag"] == "body")
+    rows = ranked.select("page_id", chosen.alias("best"), only_body.alias("only_body")).join(best_cells(nodes), "page_id", "left")
+    instead = F.col("only_body") & F.col("cell").isNotNull()
+    return rows.select(
+        "page_id", *[F.when(instead, F.col(f"cell.{c}")).otherwise(F.col(f"best.{c}")).alias(c) for c in ("pre", "last", "tag", "sel_idx", "score")]
     )
 
 
