@@ -213,6 +213,17 @@ def test_sources(spark, tmp_path):
         sources.project(spark.range(1), "nope")
 
 
+def test_charsets(spark):
+    texts = {"windows-1251": "Привет, мир", "Shift_JIS": "日本語の文", "gb2312": "简体中文", "EUC-KR": "한국어", "big5": "繁體中文"}
+    rows = [(i, "u", f"text/html; charset={c}", t.encode(c)) for i, (c, t) in enumerate(texts.items())]
+    rows += [(10, "u", None, '<meta charset="koi8-r">да'.encode("koi8-r")), (11, "u", "text/html; charset=no-such", b"a\xffb"), (12, "u", "text/html", None)]
+    rows += [(13, "u", "text/html", b"ok \xe9"), (14, "u", "image/png; charset=gbk", b"x")]
+    bodies = spark.createDataFrame(rows, "page_id long, url string, content_type string, body binary")
+    got = {r.page_id: (r.html, r.error) for r in sources.decode_bodies(bodies).collect()}
+    assert [got[i] for i in range(5)] == [(t, None) for t in texts.values()]
+    assert [got[i] for i in range(10, 15)] == [('<meta charset="koi8-r">да', None), ("a\ufffdb", None), (None, None), ("ok \ufffd", None), (None, "NOT_HTML")]
+
+
 def test_stream_equals_batch(spark, pages, tmp_path):
     pages.write.parquet(str(tmp_path / "in"))
     stream = streams.titles(streams.read_pages(spark, str(tmp_path / "in")))
