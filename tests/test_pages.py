@@ -1,5 +1,11 @@
 """Page operators on small hand-written pages."""
 
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +258,14 @@ def test_low_blocks(spark):
 def test_best_block(nodes):
     assert content.best_block(nodes, least=5.0).filter("page_id = 1").first().tag == "article"
     assert render.to_text(nodes).count() == 2
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The page queries need neither the subpackage for corpora nor its pipeline."""
+    root = pathlib.Path(__file__).parents[1]
+    shutil.copytree(root / "webkiln", tmp_path / "webkiln", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):  # the driver takes the second away as well
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; names = set(e.queries()); assert 'page_extract' in names and 'pipeline' not in names; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
