@@ -97,10 +97,12 @@ def tiles(doc, item, k):
     """Greedy string tiling by its definition: always the longest unmarked match, earliest first."""
     a, b = alnum_words(doc), alnum_words(item)
     k = min(k, len(b))
+    grams = {tuple(b[j : j + k]) for j in range(len(b) - k + 1)} if b else set()
+    near = [i for i in range(len(a) - k + 1) if tuple(a[i : i + k]) in grams] if b else []
     marked_a, marked_b, total = set(), set(), 0
-    while b:
+    while near:
         best = (0, 0, 0)
-        for i in range(len(a)):
+        for i in near:
             for j in range(len(b)):
                 n = 0
                 while (

@@ -42,7 +42,7 @@ def test_stages(spark, docs, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
     out = steps["benchmark_decontamination"](spark, docs, sf_dir)
     assert out.columns == docs.columns
-    leaks = {d for d, t in rows if brute.tiles(" ".join(brute.alnum_words(t)[:400]), bench, 5) >= 0.5}
+    leaks = {d for d, t in rows if brute.tiles((t or ""), bench, 5) >= 0.5}
     assert leaks and {r.doc_id for r in out.collect()} == {d for d, _ in rows} - leaks
 
     out = steps["packing"](spark, docs, sf_dir)

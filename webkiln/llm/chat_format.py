@@ -7,6 +7,7 @@ is derived from it as Catalyst expressions.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,9 @@ class ChatTemplate:
 
     ``header`` maps known roles to the text that opens their turns; any other role
     is written, escaped, between ``other_open`` and ``other_close``.  ``controls``
-    are the strings that must not occur in a text as they are: a backslash is put
-    after their first character, and every backslash of a text is doubled before.
+    are the strings, of two characters or more and without backslashes, that must not
+    occur in a text as they are: a backslash is put after their first character, and
+    every backslash of a text is doubled before.
     ``moves`` maps state to {role: next state}; ``final`` are accepting states.
     """
 
@@ -48,11 +50,14 @@ DEFAULT = ChatTemplate()
 
 
 def escape(text: Column, template: ChatTemplate) -> Column:
-    """No control string is left in the result; ``unescape`` gives the text back."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for control in template.controls:
-        out = F.replace(out, F.lit(control), F.lit(control[0] + "\\" + control[1:]))
-    return out
+    """No control string is left in the result; ``unescape`` gives the text back.
+
+    Controls are looked for at every place, so overlapping ones (as in a run of marks)
+    are all broken.
+    """
+    quoted = [(re.escape(c[0]), re.escape(c[1:])) for c in template.controls]
+    places = "|".join(f"{first}(?={rest})" for first, rest in quoted)
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), f"({places})", "$1\\\\")
 
 
 def unescape(text: Column) -> Column:
@@ -99,7 +104,9 @@ def format_chats(
     the first turn it refuses.  Invalid conversations are formatted as well.  Rows
     are ordered by turn, ties by role and text; repeated rows are turns of their own.
     Null role or text: empty.  Rows with a null conversation id form one
-    conversation.  An empty table gives no rows.
+    conversation.  Texts of any length are written whole; a conversation, like the
+    output row it becomes, is put together in one task.  Other columns of ``turns`` are
+    not read, whatever their names.  An empty table gives no rows.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv"),

@@ -1,11 +1,12 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
 Every input partition turns its texts into one sorted run of digests.  Runs then
-meet in binomial rounds: in round r the runs whose numbers agree after dropping r
-digits (base ``fan_in``) are merged, each digest keeping the smallest identifier
-seen and the number of rows.  A round is one Spark aggregation keyed by digest and
-run group, so a copy group of any size reaches a task as at most ``fan_in``
-partial rows and no task ever holds a group.
+meet in rounds up a tree (binomial for ``fan_in`` 2; a larger fan-in makes the same
+tree flatter): in round r the runs whose numbers agree after dropping r digits (base
+``fan_in``) are exchanged by digest, sorted and merged, each digest keeping the
+smallest identifier seen and the number of rows.  A round is a sort aggregation of
+Spark, which is a multiway merge of sorted shuffle files, so a copy group of any size
+reaches a task as at most ``fan_in`` partial rows and no task ever holds a group.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webkiln.llm.staging import stage
+from webkiln.llm.staging import join_hot, stage
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -53,10 +54,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are equal to each other.  A null id sorts before all ids,
     as Spark orders it.  Rows that repeat an id are rows of their own: they share
-    keep_id, and each counts in group_size.  An empty table gives no rows.
+    keep_id, and each counts in group_size; where they are the smallest of their group
+    all of them are kept.  A text of any length is digested whole, inside the JVM.
+    Other columns of ``docs`` are not read, whatever their names.  An empty table gives
+    no rows.
     """
-    n_runs = max(1, docs.select(text_col).rdd.getNumPartitions())
     rows = stage(digest_runs(docs, id_col, text_col), "digests")
+    n_runs = (rows.agg(F.max("run")).first()[0] or 0) + 1  # as written, whatever plan dealt them
     key = ["digest", "check", "bytes"]
     runs = rows.select(*key, "run", F.struct(F.col("id")).alias("keep"), F.lit(1).cast("long").alias("n"))
     runs = runs.groupBy(*key, "run").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
@@ -64,7 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs = merge_round(runs, fan_in)
         n_runs = -(-n_runs // fan_in)
     groups = runs.filter("n > 1").select(*key, F.col("keep.id").alias("keep_id"), "n", F.lit(True).alias("met"))
-    joined = rows.drop("run").join(groups, key, "left")
+    joined = join_hot(rows.drop("run"), stage(groups, "digest-groups"), key, "n", ["id"], "left")
     keep_id = F.when(F.col("met"), F.col("keep_id")).otherwise(F.col("id"))
     return joined.select(
         F.col("id").alias(id_col),

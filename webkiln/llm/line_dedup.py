@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webkiln.llm.staging import stage
+from webkiln.llm.staging import input_bytes, join_hot, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -87,8 +87,9 @@ def line_dedup(
     text_col: str = "text",
     min_chars: int = 40,
     min_docs: int = 5,
-    n_batches: int = 3,
+    n_batches: int | None = None,
     fan_in: int = 2,
+    batch_bytes: int = 1 << 40,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Return one row per input row: id, n_lines, n_dropped and kept_text.
@@ -99,9 +100,16 @@ def line_dedup(
     lower-cased.  Keys of ``min_chars`` code points or more that ``min_docs``
     documents hold lose all their lines except in the largest id.  A null or empty
     text is one empty line.  Rows that repeat an id are one document for the counts
-    and each keeps its row (``same``, a hash of the text, tells their lines apart).  Rows with a null id keep their text unchanged and
-    count for nothing.  An empty table gives no rows.
+    and each keeps its row (``same``, a hash of the text, tells their lines apart).
+    Rows with a null id keep their text unchanged and count for nothing.  A text of any
+    length is split whole; a document that repeats a line loses or keeps all of them.
+    Columns of ``docs`` that are not carried are not read, whatever their names.  An
+    empty table gives no rows.  There are ``n_batches`` batches, by default one for every
+    ``batch_bytes`` of text and three at least.  Two keys count as one if two independent
+    64-bit hashes agree.
     """
+    if n_batches is None:
+        n_batches = max(3, -(-input_bytes(docs, text_col) // batch_bytes))
     extra = (F.struct(*carry) if carry else F.lit(None)).alias("carried")
     docs = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"), extra
@@ -114,9 +122,9 @@ def line_dedup(
         batch = batch + (F.col("id") <= F.lit(int(cut))).cast("int")
     lines = stage(line_table(known, min_chars, batch), "lines", ["batch"])
     runs = build_runs(lines, n_batches, fan_in)
-    repeated = runs.filter(F.col("n") >= min_docs).select(*KEY, "keeper")
+    repeated = stage(runs.filter(F.col("n") >= min_docs).select(*KEY, "keeper", "n"), "repeated")
     dropped = (
-        lines.join(repeated, KEY)
+        join_hot(lines, repeated, KEY, "n", ["id", "pos"])
         .filter("id <> keeper")
         .groupBy("id", "same")
         .agg(F.collect_set("pos").alias("drop"))

@@ -9,16 +9,19 @@
    it is enough to meet partners under the set's rarest values, all but
    ``min_matches`` - 1 of them.
 3. Partners that meet count the collisions of all their minima and are skipped below
-   ``min_minima``.  A list gives the spanning edges of what is left of it, so that no
-   more rows come out than went in; the edges' components are families.
-4. A family's full sets are compared exactly, in blocks of at most ``block`` documents
-   in order of set size and only between blocks whose sizes fit.  A pair of blocks
-   gives spanning edges of its links, and the links' components are the result.
-
-Lists and families of any size are split into blocks; a task holds two blocks.
-A pair of similarity 0.8 collides in 20 coordinates and 50 minima on average; it has
-fewer than 7 or fewer than 33 with a probability of about 1e-6, more similar pairs
-less often.
+   ``min_minima``.  What a list retains are pairs of a representative and a member, so
+   that no more rows come out than went in.  Each retained pair is confirmed on the
+   full sets.
+4. Pairs, confirmed or not, tie sets to families.  A family whose confirmed pairs
+   already join all its members is done.  In the others the members that are still
+   apart are compared on full sets, in blocks of about ``block`` sets in order of size;
+   blocks of one confirmed component are not compared with each other, nor blocks whose
+   sizes cannot fit.  The components of all confirmed links are the result.
+
+Lists and families of any size are split into blocks by counts of their set sizes, so
+that no task sorts a group; a task compares two blocks.  A pair of similarity 0.8
+collides in 20 coordinates and 50 minima on average; it has fewer than 7 or fewer than
+33 with a probability of about 1e-6, more similar pairs less often.
 """
 
 from __future__ import annotations
@@ -26,17 +29,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from webkiln.llm import words
+from webkiln.llm.bloom import maybe_in
 from webkiln.llm.components import components
-from webkiln.llm.staging import KEY, keyed, stage
-from webkiln.llm.url_filter import bloom_of
+from webkiln.llm.staging import KEY, join_hot, keyed, stage
 
 #: Minima of a signature, two to a coordinate; their low bytes travel with a posting.
 N_MINIMA = 62
@@ -44,8 +45,6 @@ N_MINIMA = 62
 SLICE_BYTES = 1 << 20
 #: Set members that a block holds at most.
 MOST_MEMBERS = 1_000_000
-#: Wanted ids up to which a Bloom filter spares the other texts a shuffle.
-MOST_FILTERED = 10_000_000
 
 _rng = np.random.Generator(np.random.PCG64(97))
 _MULTIPLY = _rng.integers(0, 2**63, N_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,41 +96,61 @@ def _signatures(shingle: int):
             columns += [_lists(keys.view(np.int64)), pa.array([x.tobytes() for x in low], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "k1", "k2", "keys", "minima"])
 
-    return sign
+    return words.releasing(sign)
 
 
 def prefix_postings(sets: DataFrame, min_matches: int) -> DataFrame:
     """(key, id, n, minima) under each set's rarest shared coordinate-value pairs."""
-    posted = sets.select("id", F.explode("keys").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
-    mine = Window.partitionBy("id")
+    posted = sets.select("id", "set", F.explode("keys").alias("key"))
+    shared = stage(posted.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1"), "shared")
+    mine = Window.partitionBy("id", "set")
     ranked = (
-        posted.join(shared, "key")
+        join_hot(posted, shared, ["key"], "freq", ["id", "set"])
         .withColumn("held", F.count("*").over(mine))
         .withColumn("rank", F.row_number().over(mine.orderBy("freq", "key")))
         .filter((F.col("held") >= min_matches) & (F.col("rank") <= F.col("held") - min_matches + 1))
-        .select("id", "key")
+        .select("id", "set", "key")
     )
-    return ranked.join(sets.select("id", "n", "minima"), "id")
+    return ranked.join(sets.select("id", "set", "n", "minima"), ["id", "set"]).drop("set")
+
+
+#: A pair of blocks: part and number of each.
+PAIR = ["s1", "k1", "s2", "k2"]
 
 
 def _blocks(rows: DataFrame, group: str, block: int, percent: int) -> DataFrame:
-    """Deal each group's rows (id, n, ...) to pairs of blocks (b1 <= b2) whose set sizes can fit.
+    """Deal each group's rows (id, part, n, ...) to pairs of blocks whose set sizes can fit.
 
-    A block has about ``block`` rows and MOST_MEMBERS set members at most, or one
-    larger set.  A row comes once for every pair its block is in, with ``side`` 0 for b1.
+    A block holds rows of one ``part`` of a group, about ``block`` of them and about
+    MOST_MEMBERS set members, or one larger set.  Blocks of one part meet only where the
+    part is negative, which stands for rows that are not known to belong together.  Block
+    numbers come from the counts of each set size, so no task sees a whole group.  A row
+    comes once for every pair its block is in, with ``side`` 0 for the first.
     """
-    before = Window.partitionBy(group).orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.greatest(F.lit(1.0 / block), F.col("n") / F.lit(float(MOST_MEMBERS)))
-    rows = rows.withColumn("b", F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0.0)) + 1e-9).cast("int"))
-    spans = rows.groupBy(group, "b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left = spans.select(group, F.col("b").alias("b1"), "high")
-    right = spans.select(group, F.col("b").alias("b2"), "low")
-    pairs = left.join(right, group).filter(f"b1 <= b2 AND high * 100 >= low * {percent}").select(group, "b1", "b2")
-    ends = pairs.select("*", F.col("b1").alias("b"), F.lit(0).alias("side")).unionByName(
-        pairs.filter("b1 < b2").select("*", F.col("b2").alias("b"), F.lit(1).alias("side"))
+    cell = [group, "part", "n"]
+    weight = F.col("rows") * F.greatest(F.lit(1.0 / block), F.col("n") / F.lit(float(MOST_MEMBERS)))
+    before = Window.partitionBy(group, "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("rows"))
+    cells = cells.withColumn("weight", weight).withColumn("first", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0)) + 1e-9))
+    cells = stage(cells.select(*cell, "rows", "first", F.ceil(F.col("weight") - 1e-9).alias("times")), "cells")
+    number = F.col("first") + F.when(F.col("times") > 1, F.pmod(F.xxhash64("id"), F.col("times"))).otherwise(0)
+    rows = join_hot(rows, cells, cell, "rows", ["id"]).withColumn("k", number.cast("int")).drop("rows", "first", "times")
+    spans = rows.groupBy(group, "part", "k").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = (
+        spans.select(group, F.col("part").alias(f"s{i}"), F.col("k").alias(f"k{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}"))
+        for i in (1, 2)
+    )
+    meet = "(s1 < s2 OR (s1 = s2 AND s1 < 0 AND k1 <= k2))"
+    fit = f"high1 * 100 >= low2 * {percent} AND high2 * 100 >= low1 * {percent}"
+    pairs = left.join(right, group).filter(f"{meet} AND {fit}").select(group, *PAIR)
+    ends = pairs.select("*", F.col("s1").alias("part"), F.col("k1").alias("k"), F.lit(0).alias("side")).unionByName(
+        pairs.filter("s1 <> s2 OR k1 <> k2").select("*", F.col("s2").alias("part"), F.col("k2").alias("k"), F.lit(1).alias("side"))
     )
-    return rows.join(ends, [group, "b"]).drop("b")
+    return rows.join(ends, [group, "part", "k"]).drop("part", "k")
+
+
+def _by_pair(blocks: DataFrame, group: str) -> DataFrame:
+    return blocks.repartition(group, *PAIR).sortWithinPartitions(group, *PAIR, "side")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -178,11 +197,11 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _list_edges(min_minima: int, percent: int):
-    """mapInArrow over lists sorted by key and blocks: spanning edges of pairs that collide often enough."""
+    """mapInArrow over lists sorted by key and blocks: representative and member of what collides often enough."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for group in _groups(batches, ["key", "b1", "b2"]):
+        for group in _groups(batches, ["key", *PAIR]):
             ids, n = group.column("id").to_numpy(), group.column("n").to_numpy()
             if len(ids) < 2:
                 continue
@@ -198,7 +217,7 @@ def _list_edges(min_minima: int, percent: int):
                 out = []
         yield _edges(out)
 
-    return edges
+    return words.releasing(edges)
 
 
 def overlaps(sets: list[np.ndarray], wide: int = 4096) -> np.ndarray:
@@ -226,7 +245,7 @@ def _set_links(percent: int):
     """mapInArrow over families sorted by blocks: spanning edges of the pairs that link."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["family", "b1", "b2"]):
+        for group in _groups(batches, ["family", *PAIR]):
             ids = group.column("id").to_numpy()
             if len(ids) < 2:
                 continue
@@ -235,30 +254,26 @@ def _set_links(percent: int):
             n = np.array([len(x) for x in sets])
             yield _edges(_spanning(ids, 100 * both >= percent * (n[:, None] + n[None, :] - both)))
 
-    return links
-
+    return words.releasing(links)
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Drop most documents that are not wanted before their texts are shuffled.
 
-    A Bloom filter of the wanted ids goes to the executors while it is small (up to
-    MOST_FILTERED ids, 12 MB); beyond that all texts take part in the join.
-    """
-    n = wanted.count()
-    if not 0 < n <= MOST_FILTERED:
-        return docs
-    hashed = lambda: (F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(11), "id").alias("h2"))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select(*hashed()), n, 0.01, 0, 16 << 20))
+def _confirm(percent: int):
+    """mapInArrow over pairs with both full sets: those that link."""
 
-    @F.pandas_udf(T.BooleanType())
-    def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.hits(*(h.to_numpy(np.int64).view(np.uint64) for h in (h1, h2))))
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return docs.filter(listed(*hashed()))
+    return words.releasing(confirm)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(id, family, n, members) with the full sets of the wanted documents only."""
+    """(id, family, n, set, members) with the full sets of the wanted documents only."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text", SLICE_BYTES):
@@ -267,8 +282,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             columns = [batch.column("id"), batch.column("family"), pa.array(np.diff(offsets)), pa.array(members, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "family", "n", "members"])
 
-    found = _likely(docs, wanted).join(wanted, "id").mapInArrow(collect, "id long, family long, n long, members binary")
-    return found.dropDuplicates(["id"])
+    listed = maybe_in(wanted.select("id"), "id")
+    if listed is not None:  # most other texts are not shuffled
+        docs = docs.filter(listed)
+    found = docs.join(wanted, "id").mapInArrow(words.releasing(collect), "id long, family long, n long, members binary")
+    found = found.filter("n > 0").withColumn("set", F.xxhash64("members"))
+    return found.dropDuplicates(["id", "set"])
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``near`` that link on their full sets."""
+    first = stage(near.groupBy("a").count(), "representatives")
+    pairs = near.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    heads = sets.select(F.col("id").alias("a"), F.col("members").alias("x")).join(first, "a")
+    both = join_hot(pairs, heads, ["a"], "count", ["b"]).select("a", "b", "x", "y")
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def minhash_dedup(
@@ -288,8 +316,11 @@ def minhash_dedup(
     words.  Documents link at 100 * intersection >= percent * union; a component is
     named by its smallest id, whose row is the one kept.  Null, empty and blank
     texts have an empty set and link with nothing.  Every row with a null id is a
-    document of its own, smaller than all that have one.  Rows that repeat an id must
-    repeat its text; each keeps its row.  An empty table gives no rows.
+    document of its own, smaller than all that have one.  Rows that repeat an id are one
+    document, which has the links of all its texts; each keeps its row and its own
+    n_shingles.  A text of any length is hashed whole; a task holds one text, and two
+    blocks or sets.  Other columns of ``docs`` are not read, whatever their names.  An
+    empty table gives no rows.
     """
     rows, id_of = keyed(docs, id_col)
     rows = rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text"))
@@ -298,27 +329,41 @@ def minhash_dedup(
         "signatures",
     )
     same = ["n", "k1", "k2"]
-    groups = signed.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    full = signed.filter("n > 0")
+    copied = stage(full.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "copied")
     members = stage(
-        signed.join(groups, same, "left").select(
-            "id", "n", F.coalesce("rep", "id").alias("rep"), "keys", "minima"
-        ).withColumn("keys", F.when((F.col("rep") == F.col("id")) & (F.col("n") > 0), F.col("keys"))),
+        join_hot(signed.select("id", *same), copied, same, "copies", ["id"], "left").select(
+            "id", "n", F.col("k1").alias("set"), F.coalesce("rep", "id").alias("rep"), "copies"
+        ),
         "set-groups",
     )
-    sets = members.filter("keys IS NOT NULL").dropDuplicates(["id"]).select("id", "n", "keys", "minima")
-    lists = _blocks(stage(prefix_postings(sets, min_matches), "postings"), "key", block, percent)
-    order = ["b1", "b2", "side"]
-    near = lists.repartition("key", "b1", "b2").sortWithinPartitions("key", *order).mapInArrow(
-        _list_edges(min_minima, percent), "a long, b long"
-    )
-    families = components(stage(near, "near")).select(F.col("node").alias("id"), F.col("component").alias("family"))
-    full = _blocks(stage(_sets_of(rows, families, shingle), "sets"), "family", block, percent)
-    links = full.repartition("family", "b1", "b2").sortWithinPartitions("family", *order).mapInArrow(
-        _set_links(percent), "a long, b long"
-    )
-    labels = stage(components(stage(links, "links")), "labels")
-
-    result = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    first = members.filter("n > 0 AND rep = id").select("id", "set").distinct()
+    sets = full.withColumnRenamed("k1", "set").join(first, ["id", "set"], "left_semi").dropDuplicates(["id", "set"])
+    sets = sets.select("id", "set", "n", "keys", "minima")
+    postings = stage(prefix_postings(sets, min_matches), "postings").withColumn("part", F.lit(-1).cast("long"))
+    near = _by_pair(_blocks(postings, "key", block, percent), "key").mapInArrow(_list_edges(min_minima, percent), "a long, b long")
+    near = stage(near.distinct(), "near")
+    families = stage(components(near).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
+    texts = stage(_sets_of(rows, families, shingle), "sets")
+    sure = stage(_confirmed(near, texts, percent), "sure")
+
+    known = components(sure).select(F.col("node").alias("id"), F.col("component").alias("joined"))
+    known = stage(families.join(known, "id", "left").select("id", "family", F.coalesce("joined", "id").alias("joined")), "known")
+    apart = known.groupBy("family").agg(F.min("joined").alias("low"), F.max("joined").alias("high")).filter("low <> high").select("family")
+    apart = known.join(apart, "family", "left_semi")
+    large = apart.groupBy("family", "joined").count().filter(F.col("count") >= block)
+    numbered = large.select("family", "joined", F.pmod(F.xxhash64("joined"), F.lit(1 << 62)).alias("part"))
+    parts = apart.join(numbered, ["family", "joined"], "left").select("id", F.coalesce("part", F.lit(-1).cast("long")).alias("part"))
+    rest = stage(texts.join(parts, "id"), "apart")
+    late = _by_pair(_blocks(rest, "family", block, percent), "family").mapInArrow(_set_links(percent), "a long, b long")
+    several = members.filter("n > 0").groupBy("id").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
+    repeated = members.filter("rep <> id").join(several, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = stage(sure.unionByName(late).unionByName(repeated), "links")
+    labels = components(links).select(F.col("node").alias("rep"), "component")
+
+    counts = members.groupBy("rep").agg(F.count("*").alias("rows"))
+    labels = stage(labels.join(counts, "rep"), "labels")
+    result = join_hot(members.drop("copies"), labels, ["rep"], "rows", ["id"], "left")
     component = F.coalesce("component", "rep")
     return result.select(
         id_of(F.col("id")).alias(id_col),

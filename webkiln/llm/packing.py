@@ -11,8 +11,8 @@ padding.  Only partial windows (less than ``size`` tokens a partition) are shuff
 
 from __future__ import annotations
 
-import base64
 import bisect
+import itertools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,42 +31,28 @@ PIECES = (
 _COLUMNS = ("id", "start", "ids", "doc_tokens", "sequence_id", "offset", "left_of")
 _ARROW = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
-_MOST_CACHED = 600_000
+#: Units that a worker's cache holds at most, and their bytes; it is emptied beyond either.
+_MOST_CACHED, _MOST_CACHED_BYTES = 400_000, 8 << 20
 _open: dict = {}
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokenizers file, and where there is one the same vocabulary as a ranks file.
-
-    The ids are those of the tokenizers file.  Short strings are encoded much faster
-    from ranks; ``pattern`` is the splitting pattern that belongs to them.
-    """
+    """A tokenizers file; the ids are those that the tokenizers library gives."""
 
     path: str
-    ranks: str | None = None
-    pattern: str | None = None
-
 
-def _encoder(vocabulary: Vocabulary):
-    """A function from strings to id lists."""
-    if vocabulary.ranks:
-        import tiktoken
+    def load(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-        with open(vocabulary.ranks, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda strings: map(encoding.encode_ordinary, strings)
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary.path)
-    tokenizer.encode_special_tokens = True
-    return lambda strings: (x.ids for x in tokenizer.encode_batch(list(strings), add_special_tokens=False))
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
 
 
 #: Bytes after which a space or a line feed may start a unit: printable ASCII, and
-#: ends of longer characters unless ``_unsafe_end`` takes them for white space.
+#: ends of longer characters unless ``_safe_ends`` takes them for white space.
 _SAFE = np.zeros(256, bool)
 _SAFE[0x21:0x7F] = True
 _SAFE[0x80:] = True
@@ -104,21 +90,19 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class UnitCache:
-    """Ids of units by hash, as sorted arrays; one per worker and vocabulary."""
+    """Ids of units by hash, as sorted arrays, and the units' bytes; one per worker and vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.encoder = _encoder(vocabulary)
-        self.joined = vocabulary.ranks is not None
-        if self.joined:
-            with open(vocabulary.ranks, "rb") as lines:
-                pairs = [(int(rank), len(base64.b64decode(token))) for token, rank in map(bytes.split, lines)]
-            self.token_bytes = np.zeros(max(r for r, _ in pairs) + 1, np.int64)
-            self.token_bytes[[r for r, _ in pairs]] = [n for _, n in pairs]
+        self.tokenizer = vocabulary.load()
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        none = np.zeros(0, np.int64)
+        self.key, self.at, self.n, self.text_at, self.text_n = np.zeros(0, np.uint64), none, none, none, none
+        self.ids, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Index of each key in the cache, -1 where it is new."""
@@ -128,32 +112,29 @@ class UnitCache:
         return np.where(self.key[at] == key, at, -1)
 
     def learn(self, key: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        """Encode new units: those that start and end plainly in one go, the others one by one."""
-        plain = np.zeros(len(key), bool)
-        if self.joined:
-            plain = _STARTS[data[begin]] & (data[end - 1] > 0x20) & (data[end - 1] < 0x7F)
-        odd, plain = np.flatnonzero(~plain), np.flatnonzero(plain)
-        counts, ids = np.zeros(len(key), np.int64), []
-        texts = [data[begin[i] : end[i]].tobytes().decode() for i in odd]
-        for i, found in zip(odd.tolist(), self.encoder(texts), strict=True):
-            ids.append(np.array(found, np.uint32))
-            counts[i] = len(found)
-        if len(plain):
-            size = end[plain] - begin[plain]
-            stop = np.cumsum(size)
-            text = data[np.repeat(begin[plain] - (stop - size), size) + np.arange(stop[-1])].tobytes()
-            (found,) = self.encoder([text.decode()])
-            found = np.array(found, np.uint32)
-            cuts = np.searchsorted(np.cumsum(self.token_bytes[found]), stop, side="left") + 1
-            ids.append(found)
-            counts[plain] = np.diff(cuts, prepend=0)
-        order = np.r_[odd, plain]
-        at = np.zeros(len(key), np.int64)
-        at[order] = len(self.ids) + np.cumsum(counts[order]) - counts[order]
-        self.ids = np.concatenate([self.ids, *ids])
+        """Encode units with new keys."""
+        units = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        ids = self.ids_of([u.decode() for u in units])
+        n, text_n = np.array([len(x) for x in ids], np.int64), end - begin
+        at = len(self.ids) + np.cumsum(n) - n
+        text_at = len(self.text) + np.cumsum(text_n) - text_n
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, n.sum())])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(units), np.uint8)])
         order = np.argsort(np.r_[self.key, key], kind="stable")
-        self.key = np.r_[self.key, key][order]
-        self.at, self.n = np.r_[self.at, at][order], np.r_[self.n, counts][order]
+        self.key, self.at, self.n, self.text_at, self.text_n = (
+            np.r_[old, new][order]
+            for old, new in ((self.key, key), (self.at, at), (self.n, n), (self.text_at, text_at), (self.text_n, text_n))
+        )
+
+    def same(self, at: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bool:
+        """Whether the units, which cover ``data`` without gaps, are byte for byte those of the cache."""
+        return bool((self.text_n[at] == end - begin).all()) and bool((_gather(self.text, self.text_at[at], end - begin) == data).all())
+
+
+def _gather(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[at:at + n] of every pair, end to end."""
+    stop = np.cumsum(n)
+    return values[np.repeat(at - (stop - n), n) + np.arange(stop[-1] if len(n) else 0)]
 
 
 def encode(texts: pa.Array, vocabulary: Vocabulary, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +146,7 @@ def encode(texts: pa.Array, vocabulary: Vocabulary, end_id: int) -> tuple[np.nda
     start = units_of(data, offsets)
     begin, end = start[:-1], start[1:]
     key = words.hash_spans(data, begin, end)
-    if len(cache.key) > _MOST_CACHED:
+    if len(cache.key) > _MOST_CACHED or len(cache.text) > _MOST_CACHED_BYTES:
         cache.clear()
     at = cache.find(key)
     new, first = np.unique(key[at < 0], return_index=True)
@@ -173,15 +154,21 @@ def encode(texts: pa.Array, vocabulary: Vocabulary, end_id: int) -> tuple[np.nda
         first = np.flatnonzero(at < 0)[first]
         cache.learn(new, data, begin[first], end[first])
         at = cache.find(key)
-    n = cache.n[at]
-    per_text = np.add.reduceat(np.r_[n, 0], np.searchsorted(begin, offsets[:-1])) if len(n) else np.zeros(len(offsets) - 1, np.int64)
-    per_text = np.where(np.diff(offsets) > 0, per_text, 0)
+    if cache.same(at, data, begin, end):
+        n = cache.n[at]
+        per_text = np.diff(np.r_[0, np.cumsum(n)][np.searchsorted(begin, offsets)])
+        ids = _gather(cache.ids, cache.at[at], n)
+    else:  # two units share a hash: all texts of the slice are encoded anew, without the cache
+        raw = data.tobytes()
+        found = cache.ids_of([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        per_text = np.array([len(x) for x in found], np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, per_text.sum())
+        cache.clear()
     ends = np.r_[0, np.cumsum(per_text + 1)]
     out = np.full(ends[-1], end_id, np.uint32)
     body = np.ones(len(out), bool)
     body[ends[1:] - 1] = False
-    stop = np.cumsum(n)
-    out[body] = cache.ids[np.repeat(cache.at[at] - (stop - n), n) + np.arange(stop[-1] if len(n) else 0)]
+    out[body] = ids
     return out.astype("<u4"), ends
 
 
@@ -282,8 +269,10 @@ def _pack(vocabulary: Vocabulary, end_id: int, size: int, open_windows: int):
         if packer is not None:
             left = packer.drain()
             yield _batch(packer.done + [(*p, packer.next, None, partition) for p in left])
+        if vocabulary in _open:
+            _open[vocabulary].clear()
 
-    return pack
+    return words.releasing(pack)
 
 
 def _merge(size: int, last: bool):
@@ -317,17 +306,19 @@ def pack_documents(
 
     A document is its token ids and ``end_id``; each id lies in exactly one piece.
     A null or empty text is the end id alone.  A null id stays null; repeated rows
-    are documents of their own.  Every sequence but the last few holds ``size`` ids;
-    those have power-of-two lengths.  An empty table gives no rows.
+    are documents of their own.  A text of any length is encoded whole and cut into
+    as many windows as it needs, so a task holds one text and its ids at a time.  Ties
+    between open windows of equal room go to the older one.  Other columns of ``docs``
+    are not read, whatever their names.  Every sequence but the last few holds ``size``
+    ids; those have power-of-two lengths.  An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().cast("long").alias("part")
     )
-    n_left = max(1, rows.rdd.getNumPartitions())
     pieces = stage(rows.mapInArrow(_pack(vocabulary, end_id, size, open_windows), PIECES), "pieces")
     out = pieces.filter("left_of IS NULL")
     left = pieces.filter("left_of IS NOT NULL")
-    span = 1
+    n_left, span = (left.agg(F.max("left_of")).first()[0] or 0) + 1, 1
     while True:
         span *= merge_fan
         last = span >= n_left

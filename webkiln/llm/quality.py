@@ -1,12 +1,11 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are indicators of its word unigrams and bigrams and of its byte
-trigrams, hashed to ``N_GRAMS`` slots, and of a few shapes of its n-grams: steps in
-the shares of bigrams that repeat a word, of distinct words and bigrams, of capitals
-and of marks.  Every indicator is scaled by its class log-count ratio, the gram and
-the shape part are each brought to length one, and a linear model with hinge loss is
-fitted by dual coordinate descent.  Margins become scores by a
-logistic curve fitted on rows kept out of the descent.
+A text's features are indicators of n-grams, hashed to ``N_FEATURES`` slots: word
+unigrams and bigrams, byte trigrams, and unigrams to trigrams of word shapes.  A word's
+shape is the kinds of its first, second and last byte and whether it repeats the word
+before.  Every indicator is scaled by its class log-count ratio, the vector is brought to
+length one, and a linear model with hinge loss is fitted by dual coordinate descent.
+Margins become scores by a logistic curve fitted on rows kept out of the descent.
 """
 
 from __future__ import annotations
@@ -22,59 +21,59 @@ from pyspark.sql import types as T
 
 from webkiln.llm import words
 
-N_GRAMS = 1 << 18
-_HALF = np.uint64(N_GRAMS // 2 - 1)
-#: The steps of the shape shares.
-STEPS = np.array([0.001, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.98])
-N_SHAPES = 5
-N_FEATURES = N_GRAMS + N_SHAPES * (len(STEPS) + 1)
-_CAPITAL, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
-_CAPITAL[0x41:0x5B] = True
-_MARKS[0x21:0x30] = _MARKS[0x3A:0x41] = _MARKS[0x5B:0x61] = _MARKS[0x7B:0x7F] = True
+#: Slots: words and word pairs, byte trigrams, word shapes.
+N_WORDS, N_BYTES, N_SHAPES = 1 << 17, 1 << 17, 1 << 12
+N_FEATURES = N_WORDS + N_BYTES + N_SHAPES
+#: Kinds of bytes (0 other, 1 capital, 2 small letter, 3 digit, 4 mark).
+_KIND = np.zeros(256, np.uint64)
+_KIND[0x41:0x5B], _KIND[0x61:0x7B], _KIND[0x30:0x3A] = 1, 2, 3
+_KIND[0x21:0x30] = _KIND[0x3A:0x41] = _KIND[0x5B:0x61] = _KIND[0x7B:0x7F] = 4
 
 
-def features(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Each text's distinct feature numbers, ascending."""
+def shapes(data: np.ndarray, hashed: words.Words) -> np.ndarray:
+    """A number for every word's shape."""
+    begin, end = hashed.begin, hashed.end
+    same = np.r_[False, hashed.hashes[1:] == hashed.hashes[:-1]][: len(begin)]
+    first, second, last = _KIND[data[begin]], _KIND[data[np.minimum(begin + 1, end - 1)]], _KIND[data[end - 1]]
+    return ((first * np.uint64(5) + second) * np.uint64(5) + last) * np.uint64(2) + same.astype(np.uint64) + np.uint64(1)
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature numbers of all texts end to end, ascending in each, and len + 1 offsets."""
     data, offsets = words.text_bytes(texts)
     hashed = words.hash_words(texts, "raw")
-    one = (hashed.hashes & _HALF).astype(np.int32)
-    two = (words.ngrams(hashed.hashes, 2) & _HALF).astype(np.int32)
-    wide = data.astype(np.uint32)
-    three = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:] if len(data) > 2 else np.zeros(0, np.uint32)
-    three = ((three * np.uint32(0x9E3779B1)) >> np.uint32(15)).astype(np.int32) + N_GRAMS // 2
-    seen = np.zeros(N_GRAMS, bool)
-    same = np.r_[0, np.cumsum(hashed.hashes[1:] == hashed.hashes[:-1])]
-    capitals, marks = (np.r_[0, np.cumsum(kind[data])] for kind in (_CAPITAL, _MARKS))
-    pairs = words.ngrams(hashed.hashes, 2)
-    for a, b, x, y in zip(hashed.first[:-1], hashed.first[1:], offsets[:-1], offsets[1:], strict=True):
-        seen[one[a:b]] = True
-        seen[two[a : max(a, b - 1)]] = True
-        seen[three[x : max(x, y - 2)]] = True
-        found = np.flatnonzero(seen)
-        seen[found] = False
-        n = int(b - a)
-        if n:
-            shares = (
-                (same[b - 1] - same[a]) / n,
-                len(np.unique(hashed.hashes[a:b])) / n,
-                len(np.unique(pairs[a : b - 1])) / max(n - 1, 1),
-                (capitals[y] - capitals[x]) / (y - x),
-                (marks[y] - marks[x]) / (y - x),
-            )
-            shape = np.searchsorted(STEPS, shares) + N_GRAMS + np.arange(N_SHAPES) * (len(STEPS) + 1)
-            found = np.r_[found, shape]
-        yield found
+    text = hashed.text_of
+    found = []
+
+    def add(slots: np.ndarray, owner: np.ndarray, k: int, base: int) -> None:
+        inside = owner[: len(slots)] == owner[k - 1 : k - 1 + len(slots)]
+        found.append((owner[: len(slots)][inside] << 32) | (slots[inside].astype(np.int64) + base))
+
+    for k in (1, 2):
+        grams = hashed.hashes if k == 1 else words.ngrams(hashed.hashes, k)
+        add(grams & np.uint64(N_WORDS - 1), text, k, 0)
+    if len(data) > 2:
+        wide = data.astype(np.uint32)
+        three = ((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]) * np.uint32(0x9E3779B1) >> np.uint32(15)
+        add(three, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), 3, N_WORDS)
+    shape = shapes(data, hashed)
+    for k in (1, 2, 3):
+        add(words.ngrams(shape, k) & np.uint64(N_SHAPES - 1), text, k, N_WORDS + N_BYTES)
+    flat = np.sort(np.concatenate(found))
+    flat = flat[np.diff(flat, prepend=-1) != 0]
+    edges = np.searchsorted(flat, np.arange(len(offsets), dtype=np.int64) << 32)
+    return (flat & 0xFFFFFFFF).astype(np.int32), edges
+
+
+def rows_of(found: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    return [found[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def scaled(ratio: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The values of a text's features: ratios, each part brought to length one."""
+    """The values of a text's features: ratios, brought to length one."""
     x = ratio[found]
-    cut = np.searchsorted(found, N_GRAMS)
-    for part in (x[:cut], x[cut:]):
-        norm = np.sqrt(part @ part)
-        if norm:
-            part /= norm
-    return x
+    norm = np.sqrt(x @ x)
+    return x / norm if norm else x
 
 
 @dataclass
@@ -85,11 +84,17 @@ class Model:
     slope: float
     shift: float
 
-    def margin(self, found: np.ndarray) -> float:
-        return float(self.weight[found] @ scaled(self.ratio, found)) + self.bias
+    def margins(self, found: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """One margin per text; a text without features has the bias."""
+        ratio = self.ratio[found]
+        dot, square = (
+            np.add.reduceat(np.r_[x, 0.0], np.minimum(edges[:-1], len(x))) for x in (self.weight[found] * ratio, ratio * ratio)
+        )
+        some = (np.diff(edges) > 0) & (square > 0)
+        return np.where(some, dot / np.sqrt(np.where(some, square, 1.0)), 0.0) + self.bias
 
-    def score(self, found: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -500, 500))))
+    def scores(self, found: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(found, edges) + self.shift, -500, 500)))
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -153,7 +158,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, rounds: int
     weight, bias = descend(kept, y[train], ratio, c, rounds, seed)
     model = Model(ratio, weight, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else train
-    model.slope, model.shift = calibrate(np.array([model.margin(rows[i]) for i in check]), y[check])
+    sizes = [len(rows[i]) for i in check]
+    margins = model.margins(np.concatenate([rows[i] for i in check]), np.r_[0, np.cumsum(sizes)])
+    model.slope, model.shift = calibrate(margins, y[check])
     return model
 
 
@@ -165,25 +172,27 @@ def held_out(id_: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_rows: int) -> Model:
     """Fit a model on at most ``most_rows`` labelled documents outside the held-out fold.
 
-    The rows are those with the smallest hash of their id; null labels are left out
-    and of repeated labels of one id the largest counts.
+    The rows are those with the smallest hash of their id among the labels that have
+    a document; null labels are left out and of repeated labels of one id the largest
+    counts.
     """
     known = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.max(label_col).cast("int").alias("label"))
+        .join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
         .orderBy(F.xxhash64("id"), "id")
         .limit(most_rows)
     )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
-            found = [f.astype("<i4").tobytes() for f in features(batch.column("text"))]
+            found = [f.astype("<i4").tobytes() for f in rows_of(*features(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "found"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(known), "id").select("id", "label", "text")  # at most most_rows rows
-    rows = sample.select("label", "text").mapInArrow(extract, "label int, found binary").toArrow()
+    rows = sample.select("label", "text").mapInArrow(words.releasing(extract), "label int, found binary").toArrow()
     found = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("found")]
     order = sorted(range(len(found)), key=lambda i: found[i].tobytes())  # whatever order the rows arrive in
     return fit([found[i] for i in order], np.array(rows.column("label").to_pylist())[order] if order else np.zeros(0))
@@ -203,7 +212,9 @@ def score_quality(
     The score is between 0 and 1, higher where label 1 is likelier, and depends on
     the text alone.  Null and empty texts have no features and get the model's bias.
     Every row is scored, repeated ones and those with null ids too; columns of docs
-    named like the three results are replaced.  An empty table gives no rows.
+    named like the three results are replaced, all others pass through.  A text of any
+    length is scored whole; a task holds about a megabyte of text or one longer text.
+    Scores equal to ``threshold`` count as label 1.  An empty table gives no rows.
     ``most_rows`` bounds the labelled rows that the model is fitted on.
     """
     spark = docs.sparkSession
@@ -211,13 +222,13 @@ def score_quality(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "__text"):
-            scores = np.array([shared.value.score(f) for f in features(batch.column("__text"))])
+            scores = shared.value.scores(*features(batch.column("__text")))
             keep = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores)], [*keep, "score"])
 
     rows = docs.drop("held_out", "score", "predicted")
     out = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = rows.withColumn("__text", F.col(text_col)).mapInArrow(score, out)
+    scored = rows.withColumn("__text", F.col(text_col)).mapInArrow(words.releasing(score), out)
     return scored.select(
         "*",
         held_out(F.col(id_col)).alias("held_out"),

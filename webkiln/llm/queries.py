@@ -74,11 +74,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe() -> packing.Vocabulary:
     import public_tokenizers
 
-    return packing.Vocabulary(
-        public_tokenizers.path("byte_bpe_50k.json"),
-        public_tokenizers.path("byte_bpe_50k.tiktoken"),
-        public_tokenizers.PATTERN,
-    )
+    return packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def pieces(packed: DataFrame) -> DataFrame:
@@ -154,13 +150,15 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', {_HOSTILE}
   UNION ALL SELECT -7, 1, 'assistant', {_HOSTILE}),
 e AS (
-  SELECT *, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '</turn>', '<' || chr(92) || '/turn>'),
-         '###', '#' || chr(92) || '##'), ']: ', ']' || chr(92) || ': ') AS esc FROM t),
+  SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+    + length(text) - length(regexp_replace(text, '#{{3,}}', '', 'g')) - 2 * len(regexp_extract_all(text, '#{{3,}}'))
+    + (length(text) - length(replace(text, '</turn>', ''))) / 7
+    + (length(text) - length(replace(text, ']: ', ''))) / 3 AS written FROM t),
 o AS (
   SELECT conv_id, list(role ORDER BY turn, role, text) AS roles, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-    sum(length(esc) + 7 + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15
+    sum(written + 7 + CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15
         ELSE 8 + length(role) END) AS formatted_chars
   FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,

@@ -1,42 +1,59 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Intermediate tables, keys of rows, and joins that no hot key or small side can spoil."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webkiln.sources.shared import materialise as stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+__all__ = ["stage"]
 
-    Where the session leaves it unset (tests, a laptop) a temporary folder of the
-    driver is made and registered under that name.
+#: Rows that a small side may have to be broadcast; the longs of so many ids are 8 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], count: str = "count", least: int = 2048, most: int = 10_000) -> DataFrame:
+    """(keys, salts) of the keys that hold more than a ``most``-th part of all rows, and ``least`` rows.
+
+    There are at most ``most`` such keys, so the table can be broadcast; ``salts`` is how
+    many parts a key's rows are dealt to.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        known = getattr(spark.sparkContext, "_webkiln_dir", None)
-        folder = known or tempfile.mkdtemp(prefix="spark-webkiln-")
-        spark.sparkContext._webkiln_dir = folder
-    return folder.rstrip("/")
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    part = max(least, total // most)
+    parts = F.ceil(F.col(count) / part).cast("int").alias("salts")
+    return counts.filter(F.col(count) > part).select(*keys, parts)
+
+
+def salted(rows: DataFrame, heavy: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with a ``salt``: rows of a heavy key are dealt to its parts by the hash of ``by``."""
+    rows = rows.join(F.broadcast(heavy), keys, "left")
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("salts")))
+    return rows.withColumn("salt", salt.cast("int")).drop("salts")
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it.
+def for_each_salt(rows: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` once for every salt that ``salted`` gives their key."""
+    rows = rows.join(F.broadcast(heavy), keys, "left")
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    return rows.withColumn("salt", F.explode(salts)).drop("salts")
 
-    The written table cuts lineage and survives lost executors.  Each call takes
-    a folder of its own, so a repeated query never reads another run's rows.
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], count: str, by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, whose rows have a key each and in ``count`` the key's rows in ``many``.
+
+    ``one`` is read three times, so it should be a staged table.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/webkiln-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    heavy = heavy_keys(one, keys, count)
+    return salted(many, heavy, keys, by).join(for_each_salt(one, heavy, keys), [*keys, "salt"], how).drop("salt")
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those whose ``key`` is in ``gone``; few keys travel to the rows, not the rows to them."""
+    gone = stage(gone.select(key).distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, key, "left_anti")
 
 
 #: Keys of rows without an id count up from here.

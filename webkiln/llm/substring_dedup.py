@@ -1,19 +1,21 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The reference of a document is everything that starts before it.  It is indexed in
-blocks: a block is the set of neighbouring windows (``window`` words each) that
-share one anchor, the ``gram``-word sequence with the smallest hash inside the
-window.  Equal windows have equal anchors at equal offsets, wherever they stand, so
-posting each window under its anchor brings every window to the earlier places it
-may copy; one posting of some bytes stands for about seven windows.
-
-Executors post blocks by bucket of the anchor's hash (repeats inside one slice of
-the input are settled before the shuffle, so a passage that a third of the rows
-hold is posted once a slice).  A bucket answers with copies: runs of windows and
-the place of their earliest occurrence.  Each document is then factored greedily:
-a factor is the longest chain of windows that continues in one reference block; at
-its end the windows that cross the factor boundary are checked against the other
-blocks, and factors of ``window`` words or more are duplicate spans.
+The reference of a document is everything that starts before it, cut into blocks of
+``BLOCK_WORDS`` words.  Three steps lead to the factors:
+
+1. An index tells where the windows (``window`` words each) of a document start
+   earlier.  Neighbouring windows that share one anchor, the ``gram``-word sequence with
+   the smallest hash inside the window, are posted together under that anchor; equal
+   windows have equal anchors at equal offsets, wherever they stand.  Repeats inside one
+   slice of the input are settled before the shuffle.  Anchors that many documents hold
+   are found on a bounded sample beforehand; their windows are posted one by one, dealt
+   by their own hashes, and meet in two levels, so no bucket grows with a hot anchor.
+2. Each run of windows asks the reference for the words of its earliest place, from
+   there to the end of a block.  Only texts that are asked are moved.
+3. The document is parsed greedily: a factor starts at the first window that has an
+   earlier place and is extended word by word against that reference block as far as the
+   words agree.  The parse goes on from the factor's end, with a check of the windows
+   that cross this boundary.  Factors of ``window`` words or more are duplicate spans.
 """
 
 from __future__ import annotations
@@ -26,10 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webkiln.llm import words
-from webkiln.llm.staging import KEY, input_bytes, keyed
-
-RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ref_doc", "<i8"), ("ref_start", "<i4")])
-POST = np.dtype([("doc", "<i8"), ("pos", "<i4")])
+from webkiln.llm.bloom import maybe_in
+from webkiln.llm.staging import KEY, for_each_salt, heavy_keys, input_bytes, keyed, salted, stage
+
+#: Places are (doc, same, start): id, hash of the text (rows may repeat an id), word.
+RUN = np.dtype(
+    [("doc", "<i8"), ("same", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ref_doc", "<i8"), ("ref_same", "<i8"), ("ref_start", "<i4")]
+)
+RUNS = "doc long, same long, start int, n int, ref_doc long, ref_same long, ref_start int"
+#: Words of a reference block.
+BLOCK_WORDS = 512
+#: Text that a task settles at a time, and of the sample that hot anchors are looked for in.
+SLICE_BYTES, SAMPLE_BYTES = 4 << 20, 64 << 20
+#: An anchor is hot if the sample holds it this often.
+HOT = 32
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,213 +70,360 @@ def windows_of(hashed: words.Words, window: int, gram: int):
 
 
 def find_copies(anchor: np.ndarray, offset: np.ndarray, full: np.ndarray, doc: np.ndarray, start: np.ndarray):
-    """Index pairs (copy, earliest place of the same window); all arrays are by window.
+    """Index pairs (copy, earliest place of the same window), and what repeats a place; all arrays are by window.
 
     Two windows are the same if anchor hash, anchor offset and 40 bits of the window
-    hash agree (over 100 bits in all).
+    hash agree (over 100 bits in all); the parse compares their words.
     """
     many, place, counts = np.unique(anchor, return_inverse=True, return_counts=True)
     some = np.flatnonzero(counts[place] > 1)
     if not len(some):
-        return some, some
+        return some, some, some
     key = words.mix(anchor[some] ^ words.mix(full[some] * np.uint64(32) + offset[some].astype(np.uint64)))
     order = np.lexsort((start[some], doc[some], key))
     key, some = key[order], some[order]
     head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    first = some[np.repeat(head, np.diff(head, append=len(key)))]
+    size = np.diff(head, append=len(key))
+    first = some[np.repeat(head, size)]
     later = (doc[some] > doc[first]) | ((doc[some] == doc[first]) & (start[some] > start[first]))
-    return some[later], first[later]
-
-
-def as_runs(doc: np.ndarray, start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> np.ndarray:
-    """Merge windows that go on in the same reference block into runs."""
-    order = np.lexsort((start, doc))
-    doc, start, ref_doc, ref_start = doc[order], start[order], ref_doc[order], ref_start[order]
+    again = ~later
+    again[head] = False
+    return some[later], first[later], some[again]
+
+
+def ranks(*columns: np.ndarray) -> np.ndarray:
+    """Dense ranks of the rows of several columns, the first counting most."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def as_runs(rank: np.ndarray, doc: np.ndarray, same: np.ndarray, start: np.ndarray, copy: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Merge the copies that go on in the same reference into runs."""
+    order = np.lexsort((start[copy], rank[copy]))
+    copy, source = copy[order], source[order]
     goes_on = (
-        (doc[1:] == doc[:-1])
-        & (start[1:] == start[:-1] + 1)
-        & (ref_doc[1:] == ref_doc[:-1])
-        & (ref_start[1:] == ref_start[:-1] + 1)
+        (rank[copy][1:] == rank[copy][:-1])
+        & (start[copy][1:] == start[copy][:-1] + 1)
+        & (rank[source][1:] == rank[source][:-1])
+        & (start[source][1:] == start[source][:-1] + 1)
     )
-    head = np.flatnonzero(np.r_[True, ~goes_on][: len(doc)])
+    head = np.flatnonzero(np.r_[True, ~goes_on][: len(copy)])
     runs = np.zeros(len(head), RUN)
-    runs["doc"], runs["start"] = doc[head], start[head]
-    runs["n"] = np.diff(head, append=len(doc))
-    runs["ref_doc"], runs["ref_start"] = ref_doc[head], ref_start[head]
+    runs["n"] = np.diff(head, append=len(copy))
+    copy, source = copy[head], source[head]
+    runs["doc"], runs["same"], runs["start"] = doc[copy], same[copy], start[copy]
+    runs["ref_doc"], runs["ref_same"], runs["ref_start"] = doc[source], same[source], start[source]
     return runs
 
 
-def _post(window: int, gram: int, n_buckets: int):
-    """mapInArrow: slices of the input become postings and runs settled on the spot."""
+def _run_columns(runs: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(runs[c])) for c in RUN.names]
+
+
+#: A posting: anchors that stand somewhere, each with the windows around it.
+_POST = (("<u8", 0), ("<i8", 0), ("<i8", 0), ("<i4", 0), ("u1", 0), ("u1", 0), ("<u4", 1), ("u1", 1))
+
+
+def _pack(anchor, doc, same, pos, offset, size, full) -> bytes:
+    """All but ``full`` by anchor; full has ``size`` window hashes for each of them."""
+    arrays = (anchor, doc, same, pos, offset, size, full, full >> np.uint64(32))
+    return np.array([len(anchor), len(full)], "<i4").tobytes() + b"".join(
+        x.astype(kind).tobytes() for x, (kind, _) in zip(arrays, _POST, strict=True)
+    )
+
+
+def _unpack(posts: list[bytes]):
+    """Window arrays (anchor, offset, full, doc, same, start, rank) of a bucket's postings."""
+    parts = []
+    for post in posts:
+        counts = np.frombuffer(post, "<i4", 2)
+        at, arrays = 8, []
+        for kind, by in _POST:
+            arrays.append(np.frombuffer(post, kind, counts[by], at))
+            at += arrays[-1].nbytes
+        parts.append(arrays)
+    anchor, doc, same, pos, offset, size, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rank = ranks(doc, same)
+    size = size.astype(np.int64)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    anchor, doc, same, pos, offset, rank = (np.repeat(x, size) for x in (anchor, doc, same, pos, offset, rank))
+    offset = offset.astype(np.int64) - step
+    full = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+    return anchor, offset, full, doc, same, pos.astype(np.int64) - offset, rank
+
+
+def _anchors(window: int, gram: int):
+    """mapInArrow: how often each anchor stands in a slice."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.slices(batches, "text", SLICE_BYTES):
+            anchor, at, *_ = windows_of(words.hash_words(batch.column("text"), "raw"), window, gram)
+            found, n = np.unique(anchor[np.flatnonzero(np.diff(at, prepend=-1))], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+    return words.releasing(count)
+
+
+def hot_anchors(rows: DataFrame, n_bytes: int, window: int, gram: int) -> np.ndarray:
+    """Anchors that HOT places or more of a sample hold, sorted.
+
+    The sample is every document up to SAMPLE_BYTES of input and about so many bytes
+    beyond, so there are at most a few thousand.  It decides how windows are dealt to
+    tasks and never what is found.
+    """
+    part = max(1, n_bytes // SAMPLE_BYTES)
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
+    counts = sample.mapInArrow(_anchors(window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(counts.filter(F.col("n") >= HOT).toArrow().column("anchor").to_numpy().view(np.uint64))
+
+
+def _post(window: int, gram: int, n_buckets: int, n_salts: int, hot):
+    """mapInArrow: slices of the input become postings, and runs settled on the spot."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.slices(batches, "text", 8 << 20):
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for batch in words.slices(batches, "text", SLICE_BYTES):
+            ids, sames = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "same"))
             hashed = words.hash_words(batch.column("text"), "raw")
             anchor, at, start, full = windows_of(hashed, window, gram)
             if not len(anchor):
                 continue
             full &= np.uint64((1 << 40) - 1)
             text = np.searchsorted(hashed.first, start, side="right") - 1
-            doc, offset = ids[text], at - start
-            first = hashed.first[text]
-            copy, source = find_copies(anchor, offset, full, doc, start - first)
-            runs = as_runs(doc[copy], (start - first)[copy], doc[source], (start - first)[source])
+            rank, offset, first = ranks(ids, sames)[text], at - start, hashed.first[text]
+            copy, source, again = find_copies(anchor, offset, full, rank, start - first)
+            runs = as_runs(rank, ids[text], sames[text], start - first, copy, source)
             stays = np.ones(len(anchor), bool)
-            stays[copy] = False
-            anchor, at, full, doc, offset, first = (x[stays] for x in (anchor, at, full, doc, offset, first))
-            head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (np.diff(offset) != -1)])
+            stays[copy] = stays[again] = False
+            anchor, at, full, text, offset, first = (x[stays] for x in (anchor, at, full, text, offset, first))
+            alone = np.zeros(len(anchor), bool)
+            if len(hot.value):
+                alone = hot.value[np.minimum(np.searchsorted(hot.value, anchor), len(hot.value) - 1)] == anchor
+            new = np.r_[True, (at[1:] != at[:-1]) | (np.diff(offset) != -1)][: len(at)] | alone
+            head = np.flatnonzero(new)
             size = np.diff(head, append=len(at))
-            bucket = (words.mix(anchor[head]) % np.uint64(n_buckets)).astype(np.int64)
+            key = np.where(alone[head], words.mix(full[head] * np.uint64(32) + offset[head].astype(np.uint64)), 0)
+            bucket = (words.mix(anchor[head] ^ key) % np.uint64(n_buckets)).astype(np.int64) * 2 + alone[head]
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            rows: dict[str, list] = {"bucket": [], "post": [], "runs": []}
-            low, high = full.astype("<u4"), (full >> np.uint64(32)).astype(np.uint8)
-            for b in np.flatnonzero(np.diff(edges)):
-                mine = order[edges[b] : edges[b + 1]]
+            held, edges = np.unique(bucket[order], return_index=True)
+            salt = int(words.mix(ids[:1].view(np.uint64))[0] % np.uint64(n_salts))
+            posts = []
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+                mine = order[a:b]
                 h, n = head[mine], size[mine]
-                at_window = np.repeat(h, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows["bucket"].append(int(b))
-                rows["post"].append(
-                    b"".join(
-                        x.tobytes()
-                        for x in (
-                            np.array([len(h), n.sum()], "<i4"),
-                            anchor[h],
-                            doc[h].astype("<i8"),
-                            (at[h] - first[h]).astype("<i4"),
-                            offset[h].astype(np.uint8),
-                            n.astype(np.uint8),
-                            low[at_window],
-                            high[at_window],
-                        )
-                    )
-                )
-                rows["runs"].append(None)
-            if len(runs):
-                rows["bucket"].append(int(anchor[0] % np.uint64(n_buckets)) if len(anchor) else 0)
-                rows["post"].append(None)
-                rows["runs"].append(runs.tobytes())
+                windows = np.repeat(h, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                posts.append(_pack(anchor[h], ids[text[h]], sames[text[h]], at[h] - first[h], offset[h], n, full[windows]))
+            rows = len(posts) + bool(len(runs))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["bucket"], pa.int32()), pa.array(rows["post"], pa.binary()), pa.array(rows["runs"], pa.binary())],
-                ["bucket", "post", "runs"],
+                [
+                    pa.array([*(held >> 1).tolist(), salt][:rows], pa.int32()),
+                    pa.array([*np.where(held & 1, salt + 1, 0).tolist(), -1][:rows], pa.int32()),
+                    pa.array([*posts, runs.tobytes()][:rows], pa.binary()),
+                ],
+                ["bucket", "salt", "post"],
             )
 
-    return post
-
-
-def _unpack(posts: list[bytes]):
-    """Window arrays (anchor, offset, full, doc, start) of a bucket's postings."""
-    parts = []
-    for post in posts:
-        n, m = np.frombuffer(post, "<i4", 2)
-        at, arrays = 8, []
-        for kind, count in (("<u8", n), ("<i8", n), ("<i4", n), ("u1", n), ("u1", n), ("<u4", m), ("u1", m)):
-            arrays.append(np.frombuffer(post, kind, count, at))
-            at += arrays[-1].nbytes
-        parts.append(arrays)
-    anchor, doc, pos, offset, size, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-    # only anchors that stand in two places can hold copies
-    _, place, counts = np.unique(anchor, return_inverse=True, return_counts=True)
-    shared = counts[place] > 1
-    window = np.repeat(shared, size)
-    low, high, size = low[window], high[window], size[shared].astype(np.int64)
-    anchor, doc, pos, offset = (x[shared] for x in (anchor, doc, pos, offset))
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    offset = np.repeat(offset.astype(np.int64), size) - step
-    start = np.repeat(pos.astype(np.int64), size) - offset
-    full = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-    return np.repeat(anchor, size), offset, full, np.repeat(doc, size), start
+    return words.releasing(post)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over partitions sorted by bucket: one bucket at a time becomes runs."""
+    """mapInArrow over partitions sorted by bucket and salt: a bucket at a time becomes runs.
+
+    A salted bucket also hands on the earliest place of each of its windows, to meet
+    those of the bucket's other salts.
+    """
+    names = [*RUN.names, "bucket", "post"]
 
-    def emit(runs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(runs[c])) for c in RUN.names], list(RUN.names))
+    def runs_out(runs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*_run_columns(runs), pa.nulls(len(runs), pa.int32()), pa.nulls(len(runs), pa.binary())], names)
 
-    def settle(posts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if len(posts):
-            anchor, offset, full, doc, start = _unpack(posts)
-            copy, source = find_copies(anchor, offset, full, doc, start)
-            if len(copy):
-                yield emit(as_runs(doc[copy], start[copy], doc[source], start[source]))
+    def settle(bucket: int, salt: int, posts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        anchor, offset, full, doc, same, start, rank = _unpack(posts)
+        copy, source, again = find_copies(anchor, offset, full, rank, start)
+        if len(copy):
+            yield runs_out(as_runs(rank, doc, same, start, copy, source))
+        if salt:
+            stays = np.ones(len(anchor), bool)
+            stays[copy] = stays[again] = False
+            anchor, offset, full, doc, same, start = (x[stays] for x in (anchor, offset, full, doc, same, start))
+            left = _pack(anchor, doc, same, start + offset, offset, np.ones(len(anchor)), full)
+            row = [*[pa.nulls(1, c.type) for c in _run_columns(np.zeros(0, RUN))], pa.array([bucket], pa.int32()), pa.array([left])]
+            yield pa.RecordBatch.from_arrays(row, names)
 
     now, posts = None, []
     for batch in batches:
-        for bucket, post, runs in zip(*(batch.column(c) for c in ("bucket", "post", "runs")), strict=True):
-            if runs.is_valid:
-                yield emit(np.frombuffer(runs.as_py(), RUN))
+        for bucket, salt, post in zip(*(batch.column(c) for c in ("bucket", "salt", "post")), strict=True):
+            bucket, salt = bucket.as_py(), salt.as_py()
+            if salt < 0:
+                yield runs_out(np.frombuffer(post.as_py(), RUN))
                 continue
-            if bucket.as_py() != now:
-                yield from settle(posts)
-                now, posts = bucket.as_py(), []
+            if now != (bucket, salt):
+                if posts:
+                    yield from settle(*now, posts)
+                now, posts = (bucket, salt), []
             posts.append(post.as_py())
-    yield from settle(posts)
+    if posts:
+        yield from settle(*now, posts)
 
 
-def factor(runs: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, length, ref_doc, ref_start) in words from a document's runs.
+def merged(runs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """A document's runs in order, those that go on in one reference joined up to a block, and the words each asks for.
 
-    A run that continues the factor's reference lengthens it; any other run starts
-    the next factor at its first window, also where that window crosses the end of
-    the factor before.
+    A run asks for the words from its place to the end of the chain of runs that it
+    stands in, since no match can reach beyond that, or to the end of its block.
     """
-    runs = runs[np.argsort(runs["start"], kind="stable")]
-    goes_on = np.zeros(len(runs), bool)
-    goes_on[1:] = (
-        (runs["start"][1:] == runs["start"][:-1] + runs["n"][:-1])
-        & (runs["ref_doc"][1:] == runs["ref_doc"][:-1])
-        & (runs["ref_start"][1:] - runs["start"][1:] == runs["ref_start"][:-1] - runs["start"][:-1])
-    )
-    head = np.flatnonzero(~goes_on)
+    runs = np.unique(runs[list(RUN.names[2:])])
+    touches = np.r_[False, runs["start"][1:] == runs["start"][:-1] + runs["n"][:-1]]
+    goes_on = np.r_[
+        False,
+        (runs["ref_doc"][1:] == runs["ref_doc"][:-1])
+        & (runs["ref_same"][1:] == runs["ref_same"][:-1])
+        & (runs["ref_start"][1:] - runs["start"][1:] == runs["ref_start"][:-1] - runs["start"][:-1]),
+    ]
+    head = np.flatnonzero(~(touches & goes_on))
+    chain = np.flatnonzero(np.r_[~touches[1:], True])
+    chain_end = (runs["start"] + runs["n"])[chain[np.searchsorted(chain, head)]] + window - 1
     last = np.r_[head[1:], len(runs)] - 1
-    end = runs["start"][last] + runs["n"][last] + window - 1
-    start = runs["start"][head]
-    return list(
-        zip(start.tolist(), (end - start).tolist(), runs["ref_doc"][head].tolist(), runs["ref_start"][head].tolist(), strict=True)
-    )
+    out = runs[head].copy()
+    out["n"] = runs["start"][last] + runs["n"][last] - out["start"]
+    step = BLOCK_WORDS - window + 1
+    times = -(-out["n"] // step)
+    k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    out, chain_end = np.repeat(out, times), np.repeat(chain_end, times)
+    out["start"] += k * step
+    out["ref_start"] += k * step
+    out["n"] = np.minimum(step, out["n"] - k * step)
+    return out, np.minimum(chain_end - out["start"], BLOCK_WORDS)
+
+
+def _asks(window: int):
+    """mapInArrow: a document's runs as what they ask the reference for."""
+    names = [*RUN.names, "want"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            edges, values = lists.offsets.to_numpy(), lists.values
+            flat = np.zeros(len(values), RUN)
+            for c in RUN.names[2:]:
+                flat[c] = values.field(c).to_numpy(zero_copy_only=False)
+            parts, wants = [], []
+            for doc, same, a, b in zip(batch.column("doc").to_pylist(), batch.column("same").to_pylist(), edges[:-1], edges[1:], strict=True):
+                found, want = merged(flat[a:b], window)
+                part = np.zeros(len(found), RUN)
+                part["doc"], part["same"] = doc, same
+                for c in RUN.names[2:]:
+                    part[c] = found[c]
+                parts.append(part)
+                wants.append(want.astype("<i4"))
+            if parts:
+                yield pa.RecordBatch.from_arrays([*_run_columns(np.concatenate(parts)), pa.array(np.concatenate(wants))], names)
+
+    return words.releasing(ask)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over reference texts and what is asked of each: the words asked for, joined by spaces."""
+    names = [*RUN.names, "piece"]
+    for batch in words.slices(batches, "text"):
+        rows: list[tuple] = []
+        for text, doc, same, asks in zip(*(batch.column(c) for c in ("text", "ref_doc", "ref_same", "asks")), strict=True):
+            tokens = text.as_py().encode().split()
+            for ask in asks.as_py():
+                piece = b" ".join(tokens[ask["ref_start"] : ask["ref_start"] + ask["want"]])
+                rows.append((ask["doc"], ask["same"], ask["start"], ask["n"], doc.as_py(), same.as_py(), ask["ref_start"], piece))
+        if rows:
+            kinds = [*[c.type for c in _run_columns(np.zeros(0, RUN))], pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _starts(joined: bytes) -> np.ndarray:
+    """Where words that single spaces separate start; the last entry is where one more would."""
+    return np.r_[0, np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20) + 1]
+
+
+def parse(tokens: list[bytes], runs: list[dict], window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, ref_doc, ref_start) in words.
+
+    ``runs`` come in order of start, each with the reference's words from its place on.
+    """
+    text = b" ".join(tokens) + b" "
+    data, begin = np.frombuffer(text, np.uint8), _starts(text)
+    out, at, k = [], 0, 0
+    while k < len(runs):
+        run = runs[k]
+        at = max(at, run["start"])
+        if at >= run["start"] + run["n"]:
+            k += 1
+            continue
+        piece = run["piece"] + b" "
+        skip = at - run["start"]
+        block = np.frombuffer(piece, np.uint8)[_starts(piece)[skip] :]
+        mine = data[begin[at] : begin[at] + len(block)]
+        differ = np.flatnonzero(mine != block[: len(mine)])
+        agree = differ[0] if len(differ) else len(mine)
+        n = int(np.searchsorted(begin, begin[at] + agree, side="right")) - 1 - at
+        if n < window:  # the index's hashes agreed, the words do not
+            at += 1
+            continue
+        out.append((at, n, run["ref_doc"], run["ref_start"] + skip))
+        at += n - window + 1  # the first window that crosses the boundary
+    return out
+
+
+_OUT = (
+    "id long, n_words long, n_removed long, kept_text string, "
+    "factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>"
+)
 
 
 def _apply(window: int):
+    """mapInArrow over (id, text, runs): factors, and the text without them."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
-        for batch in words.slices(batches, "text", 16 << 20):
+        for batch in words.slices(batches, "text"):
             totals, removed, kept, spans = [], [], [], []
-            lists = batch.column("runs")
-            values, edges = lists.values, lists.offsets.to_numpy()
-            valid = lists.is_valid().to_numpy(zero_copy_only=False)
-            flat = np.zeros(len(values), RUN)
-            for c in RUN.names[1:]:
-                flat[c] = values.field(c).to_numpy(zero_copy_only=False)
-            for i, text in enumerate(batch.column("text")):
+            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
                 tokens = (text.as_py() or "").encode().split()
-                found = factor(flat[edges[i] : edges[i + 1]], window) if valid[i] else []
-                gone = 0
+                found = parse(tokens, runs.as_py(), window) if runs.is_valid else []
+                stays = tokens
                 if found:
                     edge = np.zeros(len(tokens) + 1, np.int32)
                     np.add.at(edge, [s for s, *_ in found], 1)
                     np.add.at(edge, [s + n for s, n, *_ in found], -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    gone = len(tokens) - int(stays.sum())
-                    kept.append(b" ".join([t for t, s in zip(tokens, stays.tolist(), strict=True) if s]).decode())
-                else:
-                    kept.append(b" ".join(tokens).decode())
+                    stays = [tokens[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+                kept.append(b" ".join(stays).decode())
                 totals.append(len(tokens))
-                removed.append(gone)
+                removed.append(len(tokens) - len(stays))
                 spans.append([dict(zip(("start", "length", "ref_doc", "ref_start"), x, strict=True)) for x in found])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(totals, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(kept, pa.string()),
-                    pa.array(spans, kind),
-                ],
-                ["id", "n_words", "n_removed", "kept_text", "factors"],
-            )
-
-    return apply
+            counts = [pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
+            columns = [batch.column("id"), *counts, pa.array(kept, pa.string()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text", "factors"])
+
+    return words.releasing(apply)
+
+
+def index_runs(rows: DataFrame, n_bytes: int, window: int, gram: int, bucket_bytes: int) -> DataFrame:
+    """Runs of windows of (id, same, text) that start earlier, with their earlier places."""
+    n_buckets = max(8, -(-n_bytes // bucket_bytes))
+    n_salts = max(1, round((n_bytes / SLICE_BYTES) ** 0.5))
+    hot = rows.sparkSession.sparkContext.broadcast(hot_anchors(rows, n_bytes, window, gram))
+    post = _post(window, gram, n_buckets, n_salts, hot)
+    settled = stage(
+        rows.mapInArrow(post, "bucket int, salt int, post binary")
+        .repartition("bucket", "salt")
+        .sortWithinPartitions("bucket", "salt")
+        .mapInArrow(words.releasing(_settle), f"{RUNS}, bucket int, post binary"),
+        "settled",
+    )
+    left = settled.filter("post IS NOT NULL").select("bucket", F.lit(0).alias("salt"), "post")
+    late = left.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(words.releasing(_settle), f"{RUNS}, bucket int, post binary")
+    return settled.filter("post IS NULL").unionByName(late).select(*RUN.names)
 
 
 def substring_dedup(
@@ -282,25 +441,38 @@ def substring_dedup(
     smaller id or earlier in the same one.  ``factors`` lists the duplicate spans in
     words with the place they copy.  Null and empty texts have no words.  Every row
     with a null id is a document of its own, before all that have one.  Rows that
-    repeat an id must repeat its text: they are one document, and each keeps its row.  An empty table gives no rows.
+    repeat an id and its text are one document, and each keeps its row; rows that
+    repeat an id with another text are documents of their own, in the order of their
+    texts' hashes.  Of several earlier places a factor copies the earliest of its first
+    window.  A text of any length is parsed whole, by one task, which holds it and at
+    most a block of words for each of its runs.  Other columns of ``docs`` are not read,
+    whatever their names.  An empty table gives no rows.
     ``bucket_bytes`` is the input that one bucket of the index stands for.
     """
     rows, id_of = keyed(docs, id_col)
-    rows = rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text"))
-    n_buckets = max(8, -(-input_bytes(docs, text_col) // bucket_bytes))
-    runs = (
-        rows.mapInArrow(_post(window, gram, n_buckets), "bucket int, post binary, runs binary")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_settle, "doc long, start int, n int, ref_doc long, ref_start int")
-    )
-    copies = runs.groupBy(F.col("doc").alias("id")).agg(
-        F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("runs")
-    )
-    out = rows.join(copies, "id", "left").mapInArrow(
-        _apply(window),
-        "id long, n_words long, n_removed long, kept_text string, "
-        "factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>",
+    rows = rows.select(F.col(KEY).alias("id"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+    found = index_runs(rows, input_bytes(docs, text_col), window, gram, bucket_bytes)
+    found = found.groupBy("doc", "same").agg(F.collect_list(F.struct(*RUN.names[2:])).alias("runs"))
+    asks = stage(found.mapInArrow(_asks(window), f"{RUNS}, want int"), "asks")
+
+    ref = ["ref_doc", "ref_same"]
+    sources = stage(asks.groupBy(*ref).count(), "sources")
+    heavy = heavy_keys(sources, ref)
+    asks = salted(asks, heavy, ref, ["doc", "same", "start"])
+    asked = asks.groupBy(*ref, "salt").agg(F.collect_list(F.struct("doc", "same", "start", "n", "ref_start", "want")).alias("asks"))
+    texts = rows.select(F.col("id").alias("ref_doc"), F.col("same").alias("ref_same"), "text")
+    wanted = maybe_in(sources.select("ref_doc").distinct(), "ref_doc")
+    texts = for_each_salt((texts if wanted is None else texts.filter(wanted)).dropDuplicates(ref), heavy, ref)
+    pieces = texts.join(asked, [*ref, "salt"]).mapInArrow(words.releasing(_answer), f"{RUNS}, piece binary")
+    runs = pieces.groupBy(F.col("doc").alias("id"), "same").agg(
+        F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start", "piece"))).alias("runs")
     )
+
+    hit = stage(asks.select(F.col("doc").alias("id")).distinct(), "copying")
+    hit = maybe_in(hit, "id")
+    copying, plain = (rows, rows.limit(0)) if hit is None else (rows.filter(hit), rows.filter(~hit))
+    out = copying.join(runs, ["id", "same"], "left").select("id", "text", "runs")
+    out = out.unionByName(plain.select("id", "text", F.lit(None).cast(out.schema["runs"].dataType).alias("runs")))
+    out = out.mapInArrow(_apply(window), _OUT)
     factors = F.transform("factors", lambda f: f.withField("ref_doc", id_of(f["ref_doc"])))
     return out.select(id_of(F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", factors.alias("factors"))

@@ -9,9 +9,7 @@ that refuses it has an odd number.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webkiln.llm.bloom import Bloom, bloom_of, n_bits_for
 from webkiln.llm.staging import stage
-from webkiln.llm.words import mix
 
 #: (action, host, path prefix)
 RULES = (
@@ -51,57 +49,6 @@ def page_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
 
 
-def position(h1: np.ndarray, h2: np.ndarray, i: int, level: int, n_bits: int) -> np.ndarray:
-    """Bit of the i-th hash; every level has hashes of its own, so no key fails them all."""
-    return mix(h1 + np.uint64(i) * (h2 | np.uint64(1)) + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_bits)
-
-
-@dataclass
-class Bloom:
-    """Bits and hash count; two 64-bit hashes of a key, salted by level, give its positions."""
-
-    bits: np.ndarray
-    n_bits: int
-    n_hashes: int
-    level: int
-
-    def hits(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h1), bool)
-        for i in range(self.n_hashes):
-            at = position(h1, h2, i, self.level, self.n_bits)
-            found &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-
-def bloom_of(keys: DataFrame, n_keys: int, rate: float, level: int, most_bytes: int) -> Bloom:
-    """Fold all keys' bits on the executors; only the finished words reach the driver.
-
-    The filter's size follows from n_keys and rate and is checked against
-    ``most_bytes`` before it is built or broadcast.
-    """
-    n_bits = max(64, math.ceil(-n_keys * math.log(rate) / math.log(2) ** 2))
-    n_hashes = max(1, round(n_bits / n_keys * math.log(2)))
-    if n_bits > 8 * most_bytes:
-        raise ValueError(f"a level of {n_bits // 8} bytes is over the bound of {most_bytes}")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            h1, h2 = (frame[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            at = np.concatenate([position(h1, h2, i, level, n_bits) for i in range(n_hashes)])
-            byte, bit = (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64))
-            order = np.argsort(byte, kind="stable")
-            byte, bit = byte[order], bit[order]
-            first = np.flatnonzero(np.diff(byte, prepend=-1))
-            if len(first):
-                yield pd.DataFrame({"byte": byte[first], "bit": np.bitwise_or.reduceat(bit, first)})
-
-    words = keys.select("h1", "h2").mapInPandas(fold, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit"))
-    bits = np.zeros(n_bits // 8 + 1, np.uint8)
-    for frame in [words.toPandas()]:  # bounded by most_bytes
-        bits[frame.iloc[:, 0].to_numpy(np.int64)] = frame.iloc[:, 1].to_numpy(np.int64)
-    return Bloom(bits, n_bits, n_hashes, level)
-
-
 def cascade_hits(levels: list[Bloom], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Exact membership: refused first at an odd level, or passing all of an odd number of levels."""
     verdict = np.full(len(h1), len(levels) % 2 == 1)
@@ -127,89 +74,114 @@ def hashed(keys: DataFrame) -> DataFrame:
     return keys.select("key", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), "key").alias("h2"))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, most_bytes: int = 64 << 20) -> list[Bloom]:
+def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Bloom]:
     """Levels over ``universe`` (key, h1, h2; distinct) that are exact for ``listed``.
 
     Level 0 gets the false-positive rate |listed| / |universe|, so that about as
     many keys as are listed pass it wrongly whatever the corpus holds; the later
-    levels use 1/2.  Listed keys need not occur in the corpus.
+    levels use 1/2.  Listed keys need not occur in the corpus.  The universe is only
+    filtered by level 0; the keys that pass it are then told from the listed ones.
     """
     n_listed, n_universe = listed.count(), universe.count()
     if not n_listed:
         return []
-    include, n_include = listed, n_listed
-    exclude = universe.join(F.broadcast(listed.select("key")) if n_listed <= 100_000 else listed.select("key"), "key", "left_anti")
+    include, n_include, exclude = listed, n_listed, universe
     levels: list[Bloom] = []
     rate = min(0.5, n_listed / max(n_universe, 1))
     while True:
-        levels.append(bloom_of(include, n_include, rate, len(levels), most_bytes))
-        wrong = stage(_passing(exclude, levels[-1]), "cascade")
+        levels.append(bloom_of(include, n_include, rate, len(levels)))
+        wrong = _passing(exclude, levels[-1])
+        if len(levels) == 1:
+            wrong = wrong.join(listed.select("key"), "key", "left_anti")
+        wrong = stage(wrong, "cascade")
         n_wrong = wrong.count()
         if not n_wrong:
             return levels
         include, n_include, exclude, rate = wrong, n_wrong, include, 0.5
 
 
+def n_shards(n_listed: int, n_universe: int, most_bytes: int) -> int:
+    """Parts that the keys are dealt to so that no filter is larger than ``most_bytes``."""
+    rate = min(0.5, max(n_listed, 1) / max(n_universe, 1))
+    return max(1, -(-n_bits_for(max(n_listed, 1), rate) // (8 * most_bytes)))
+
+
 def rule_frame(spark: SparkSession, rules) -> DataFrame:
-    return spark.createDataFrame([(a, h + "\n" + p) for a, h, p in rules], "action string, key string")
+    """(action, key) of rules (action, host, path) that are given as a table or as tuples."""
+    rows = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "action string, host string, path string")
+    return rows.select("action", F.concat("host", F.lit("\n"), "path").alias("key"))
+
+
+def _member(levels, shard: int, shards: int):
+    """Which keys of an array (by their hashes) are listed in this shard; null for keys of other shards."""
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def listed_keys(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        sizes = h1.map(len).to_numpy()
+        flat = [np.concatenate([np.asarray(x, np.int64) for x in h] or [np.zeros(0, np.int64)]).view(np.uint64) for h in (h1, h2)]
+        found = np.zeros(len(flat[0]), bool)
+        mine = np.flatnonzero(flat[1] % np.uint64(shards) == shard)
+        found[mine] = cascade_hits(levels.value, flat[0][mine], flat[1][mine])
+        return pd.Series([x.tolist() for x in np.split(found, np.cumsum(sizes)[:-1])] if len(sizes) else [])
+
+    return listed_keys
 
 
 def filter_urls(
-    pages: DataFrame, rules=RULES, default: str = "allow", url_col: str = "url", keep: tuple[str, ...] = ("page_id",)
+    pages: DataFrame,
+    rules: DataFrame | tuple = RULES,
+    default: str = "allow",
+    url_col: str = "url",
+    keep: tuple[str, ...] = ("page_id",),
+    most_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Judge every url: the ``keep`` columns, host, path, rule and verdict.
 
-    A rule fits its host and all subdomains if the url's path starts with the
-    rule's; the longest fitting rule wins (ties: block before allow).  One cascade
-    per action tells which of a page's keys are listed.  Urls that are null or lack
-    ``://`` have empty host and path, no rule and the default verdict; so do all
-    urls without a fitting rule.  Repeated rows each get their row; an empty table
-    gives none.
+    A rule (action, host, path prefix; a tuple, or a table for long lists) fits its host
+    and all subdomains if the url's path starts with the rule's; the longest fitting rule
+    wins (ties: block before allow).  One cascade per action tells which of a page's keys
+    are listed.  Lists whose first filter would be larger than ``most_bytes`` are split
+    by the keys' hashes into shards, each with a cascade of its own, which the rows pass
+    one after the other.  Urls that are null or lack ``://`` have empty host and path, no
+    rule and the default verdict; so do all urls without a fitting rule.  Urls of any
+    length are read whole.  Repeated rows each get their row; other columns of ``pages``,
+    whatever their names, are not read; an empty table gives none.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(p) for _, _, p in rules})
+    listed = rule_frame(spark, rules)
+    lengths = sorted(r[0] for r in listed.select(F.char_length(F.substring_index("key", "\n", -1))).distinct().collect())
     judged = pages.select(*keep, F.col(url_col).alias("url")).select(
         *keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
     keys = judged.select(F.explode(page_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
     universe = stage(hashed(keys), "url-keys")
-    listed = rule_frame(spark, rules)
-    cascades = {
-        action: spark.sparkContext.broadcast(
-            build_cascade(universe, hashed(listed.filter(F.col("action") == action).select("key").distinct()))
-        )
-        for action in ("block", "allow")
-    }
-
-    def member(action: str):
-        levels = cascades[action]
-
-        @F.pandas_udf(T.ArrayType(T.BooleanType()))
-        def listed_keys(h1: pd.Series, h2: pd.Series) -> pd.Series:
-            sizes = h1.map(len).to_numpy()
-            flat = [
-                np.concatenate([np.asarray(x, np.int64) for x in h] or [np.zeros(0, np.int64)]).view(np.uint64)
-                for h in (h1, h2)
-            ]
-            found = cascade_hits(levels.value, *flat)
-            return pd.Series([list(map(bool, x)) for x in np.split(found, np.cumsum(sizes)[:-1])] if len(sizes) else [])
-
-        return listed_keys
-
+    n_universe = universe.count()
     judged = judged.withColumn("keys", page_keys(F.col("host"), F.col("path"), lengths))
     judged = judged.withColumn("k1", F.transform("keys", lambda k: F.xxhash64(k)))
     judged = judged.withColumn("k2", F.transform("keys", lambda k: F.xxhash64(F.lit(11), k)))
-    judged = judged.withColumn("b", member("block")("k1", "k2")).withColumn("a", member("allow")("k1", "k2"))
+    for action in ("block", "allow"):
+        mine = hashed(listed.filter(F.col("action") == action).select("key").distinct())
+        shards = n_shards(mine.count(), n_universe, most_bytes)
+        for shard in range(shards):
+            part = F.expr(f"h2 % {shards}") + F.when(F.expr("h2 < 0"), F.lit((2**64) % shards)).otherwise(0)
+            part = F.pmod(part, F.lit(shards)) == shard  # h2 as an unsigned number
+            levels = spark.sparkContext.broadcast(build_cascade(universe.filter(part), mine.filter(part)))
+            found = _member(levels, shard, shards)("k1", "k2")
+            if shard:
+                found = F.zip_with(action, found, lambda x, y: x | y)
+            judged = judged.withColumn(action, found)
+            if shards > 1:  # one shard's filters at a time
+                judged = stage(judged, "judged")
+                levels.unpersist()
     marked = F.transform(
         "keys",
         lambda k, i: F.struct(
             F.char_length(k).alias("size"),
-            F.when(F.get("b", i), F.lit("block")).when(F.get("a", i), F.lit("allow")).alias("action"),
+            F.when(F.get("block", i), F.lit("block")).when(F.get("allow", i), F.lit("allow")).alias("action"),
             k.alias("key"),
         ),
     )
-    best = F.array_max(F.filter(marked, lambda m: m["action"].isNotNull()))
-    judged = judged.withColumn("best", best)
+    judged = judged.withColumn("best", F.array_max(F.filter(marked, lambda m: m["action"].isNotNull())))
     return judged.select(
         *keep,
         "host",

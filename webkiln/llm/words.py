@@ -1,13 +1,16 @@
 """Vectorised word hashing over Arrow string columns.
 
 A whole Arrow batch is treated as one byte array: separators are found by table
-lookup and every word's 64-bit hash comes from one prefix sum of a polynomial in
-the bytes (arithmetic modulo 2**64), so no Python object is made per word.
+lookup and every word's 64-bit hash comes from one prefix sum, in blocks, of a
+polynomial in the bytes (arithmetic modulo 2**64), so no Python object is made per
+word and the tables have a constant size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,17 +33,39 @@ _PUNCT[0x00:0x30] = _PUNCT[0x3A:0x61] = _PUNCT[0x7B:0x80] = True
 #: name -> (separator table, lower-case A-Z first)
 STYLES = {"raw": (_SPACE, False), "lower": (_SPACE, True), "alnum": (_PUNCT, True)}
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that one step of a prefix sum covers; the power tables have this many entries, whatever the text.
+BLOCK = 1 << 16
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            table = np.full(size, base & (2**64 - 1), np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+def _powers_of(base: int) -> np.ndarray:
+    table = np.full(BLOCK, base & (2**64 - 1), np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
+
+
+_POWER, _INVERSE = _powers_of(_BASE), _powers_of(_BASE_INV)
+
+
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc: nothing to trim
+        return
+
+
+def releasing(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``task`` for mapInArrow, with ``release`` at its end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,6 +83,9 @@ class Words:
 
     hashes: np.ndarray
     first: np.ndarray
+    #: where each word lies among the bytes of all texts
+    begin: np.ndarray
+    end: np.ndarray
 
     @property
     def text_of(self) -> np.ndarray:
@@ -79,22 +107,29 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[begin:end] for every pair, from one prefix sum."""
-    n = len(data)
-    power, inverse = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _LENGTH)
+    """64-bit hashes of data[begin:end] for every pair, from one prefix sum; both arrays ascend.
 
-
-def hash_words(texts: pa.Array, style: str) -> Words:
-    separator, lower = STYLES[style]
-    data, offsets = text_bytes(texts)
+    The sum runs over blocks, so that memory beyond the result does not grow with the text.
+    """
+    at_begin, at_end = np.zeros(len(begin), np.uint64), np.zeros(len(end), np.uint64)
+    carry, sums = np.uint64(0), np.zeros(BLOCK + 1, np.uint64)
+    inverse = np.empty(len(begin), np.uint64)
+    for k in range(-(-len(data) // BLOCK)):
+        low, high = k * BLOCK, min((k + 1) * BLOCK, len(data))
+        n, scale = high - low, np.uint64(pow(_BASE, low, 2**64))
+        np.cumsum(_BYTE[data[low:high]] * _POWER[:n], out=sums[1 : n + 1])
+        a, b = np.searchsorted(begin, (low, high))
+        at_begin[a:b] = sums[begin[a:b] - low] * scale + carry
+        inverse[a:b] = _INVERSE[begin[a:b] - low] * np.uint64(pow(_BASE_INV, low, 2**64))
+        a, b = np.searchsorted(end, (low, high), side="right")
+        at_end[a:b] = sums[end[a:b] - low] * scale + carry
+        carry = sums[n : n + 1] * scale + carry
+    return mix((at_end - at_begin) * inverse + (end - begin).astype(np.uint64) * _LENGTH)
+
+
+def _edges(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every word; a word never crosses the end of a text."""
     n = len(data)
-    if not n:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    if lower:
-        data = _LOWER[data]
     inside = ~separator[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
@@ -103,8 +138,19 @@ def hash_words(texts: pa.Array, style: str) -> Words:
     cuts = offsets[(offsets > 0) & (offsets < n)]
     start[cuts] = inside[cuts]
     stop[cuts - 1] = inside[cuts - 1]
-    begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    return Words(hash_spans(data, begin, end), np.searchsorted(begin, offsets))
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def hash_words(texts: pa.Array, style: str) -> Words:
+    separator, lower = STYLES[style]
+    data, offsets = text_bytes(texts)
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none)
+    if lower:
+        data = _LOWER[data]
+    begin, end = _edges(data, offsets, separator)
+    return Words(hash_spans(data, begin, end), np.searchsorted(begin, offsets), begin, end)
 
 
 def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -133,7 +179,7 @@ def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(done[:n] + np.uint64(k))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of text; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
