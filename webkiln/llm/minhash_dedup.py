@@ -347,7 +347,8 @@ def minhash_dedup(
     texts = stage(_sets_of(rows, families, shingle), "sets")
     sure = stage(_confirmed(near, texts, percent), "sure")
 
-    known = components(sure).select(F.col("node").alias("id"), F.col("component").alias("joined"))
+    joined = stage(components(sure), "joined")
+    known = joined.select(F.col("node").alias("id"), F.col("component").alias("joined"))
     known = stage(families.join(known, "id", "left").select("id", "family", F.coalesce("joined", "id").alias("joined")), "known")
     apart = known.groupBy("family").agg(F.min("joined").alias("low"), F.max("joined").alias("high")).filter("low <> high").select("family")
     apart = known.join(apart, "family", "left_semi")
@@ -358,8 +359,10 @@ def minhash_dedup(
     late = _by_pair(_blocks(rest, "family", block, percent), "family").mapInArrow(_set_links(percent), "a long, b long")
     several = members.filter("n > 0").groupBy("id").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
     repeated = members.filter("rep <> id").join(several, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = stage(sure.unionByName(late).unionByName(repeated), "links")
-    labels = components(links).select(F.col("node").alias("rep"), "component")
+    more = stage(late.unionByName(repeated), "links")
+    stars = joined.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    labels = joined if more.isEmpty() else components(stars.unionByName(more))
+    labels = labels.select(F.col("node").alias("rep"), "component")
 
     counts = members.groupBy("rep").agg(F.count("*").alias("rows"))
     labels = stage(labels.join(counts, "rep"), "labels")

@@ -108,7 +108,7 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, rounds: int, seed: int):
     """Dual coordinate descent for the hinge loss; classes weigh the same in all."""
     rng = np.random.default_rng(seed)
-    values = [scaled(ratio, found) for found in rows]
+    values = [scaled(ratio, found).astype(np.float32) for found in rows]
     most = np.where(y > 0, c * len(y) / (2 * max((y > 0).sum(), 1)), c * len(y) / (2 * max((y < 0).sum(), 1)))
     weight, bias, alpha = np.zeros(N_FEATURES), 0.0, np.zeros(len(y))
     for _ in range(rounds):
@@ -193,9 +193,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(known), "id").select("id", "label", "text")  # at most most_rows rows
     rows = sample.select("label", "text").mapInArrow(words.releasing(extract), "label int, found binary").toArrow()
-    found = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("found")]
-    order = sorted(range(len(found)), key=lambda i: found[i].tobytes())  # whatever order the rows arrive in
-    return fit([found[i] for i in order], np.array(rows.column("label").to_pylist())[order] if order else np.zeros(0))
+    rows = rows.sort_by([("found", "ascending"), ("label", "ascending")])  # whatever order they arrive in
+    model = fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("found")], rows.column("label").to_numpy())
+    del rows
+    words.release()  # the driver outlives the fit
+    return model
 
 
 def score_quality(
