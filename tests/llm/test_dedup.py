@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from webkiln.llm import components, exact_dedup, line_dedup, minhash_dedup, substring_dedup, words
 
 
-@pytest.mark.parametrize("bucket_bytes", [8 << 20, 2000])
-def test_substring_dedup(docs, pairs, bucket_bytes):
+@pytest.mark.parametrize(("bucket_bytes", "most_postings"), [(8 << 20, 200_000), (2000, 8)])
+def test_substring_dedup(docs, pairs, bucket_bytes, most_postings, monkeypatch):
+    """With few postings allowed, anchors of the sample are hot and their windows meet in two levels."""
+    monkeypatch.setattr(substring_dedup, "MOST_POSTINGS", most_postings)
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
     rows = substring_dedup.substring_dedup(docs, bucket_bytes=bucket_bytes).collect()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows}
     assert got == brute.repeated_windows(pairs, 20)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webkiln.llm.staging import stage
+from webkiln.llm.staging import join_hot, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n")), "low")
+    tied = join_hot(both.filter("v > u"), low, ["u"], "n", ["v"])  # a centre may have a third of all edges
+    return tied.select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ __all__ = ["stage"]
 MOST_BROADCAST = 1_000_000
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], count: str = "count", least: int = 2048, most: int = 10_000) -> DataFrame:
+def heavy_keys(counts: DataFrame, keys: list[str], count: str = "count", least: int = 512, most: int = 10_000) -> DataFrame:
     """(keys, salts) of the keys that hold more than a ``most``-th part of all rows, and ``least`` rows.
 
     There are at most ``most`` such keys, so the table can be broadcast; ``salts`` is how

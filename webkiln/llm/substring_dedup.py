@@ -39,9 +39,9 @@ RUNS = "doc long, same long, start int, n int, ref_doc long, ref_same long, ref_
 #: Words of a reference block.
 BLOCK_WORDS = 512
 #: Text that a task settles at a time, and of the sample that hot anchors are looked for in.
-SLICE_BYTES, SAMPLE_BYTES = 4 << 20, 64 << 20
-#: An anchor is hot if the sample holds it this often.
-HOT = 32
+SLICE_BYTES, SAMPLE_BYTES = 4 << 20, 1 << 30
+#: Postings that an anchor may bring to a bucket; it is hot if it has more, and HOT of them or more in the sample.
+MOST_POSTINGS, HOT = 200_000, 8
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -137,8 +137,11 @@ def _pack(anchor, doc, same, pos, offset, size, full) -> bytes:
     )
 
 
-def _unpack(posts: list[bytes]):
-    """Window arrays (anchor, offset, full, doc, same, start, rank) of a bucket's postings."""
+def _unpack(posts: list[bytes], all_: bool):
+    """Window arrays (anchor, offset, full, doc, same, start, rank) of a bucket's postings.
+
+    Unless all are asked for, only of anchors that stand in two places: others hold no copies.
+    """
     parts = []
     for post in posts:
         counts = np.frombuffer(post, "<i4", 2)
@@ -148,8 +151,14 @@ def _unpack(posts: list[bytes]):
             at += arrays[-1].nbytes
         parts.append(arrays)
     anchor, doc, same, pos, offset, size, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-    rank = ranks(doc, same)
     size = size.astype(np.int64)
+    if not all_:
+        _, place, counts = np.unique(anchor, return_inverse=True, return_counts=True)
+        shared = counts[place] > 1
+        window = np.repeat(shared, size)
+        anchor, doc, same, pos, offset, size = (x[shared] for x in (anchor, doc, same, pos, offset, size))
+        low, high = low[window], high[window]
+    rank = ranks(doc, same)
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     anchor, doc, same, pos, offset, rank = (np.repeat(x, size) for x in (anchor, doc, same, pos, offset, rank))
     offset = offset.astype(np.int64) - step
@@ -158,28 +167,36 @@ def _unpack(posts: list[bytes]):
 
 
 def _anchors(window: int, gram: int):
-    """mapInArrow: how often each anchor stands in a slice."""
+    """mapInArrow: in how many places of a slice each anchor has windows that the slice does not repeat."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text", SLICE_BYTES):
-            anchor, at, *_ = windows_of(words.hash_words(batch.column("text"), "raw"), window, gram)
+            anchor, at, start, full = windows_of(words.hash_words(batch.column("text"), "raw"), window, gram)
+            copy, _, _ = find_copies(anchor, at - start, full, np.zeros(len(at), np.int64), start)
+            stays = np.ones(len(anchor), bool)
+            stays[copy] = False
+            anchor, at = anchor[stays], at[stays]
             found, n = np.unique(anchor[np.flatnonzero(np.diff(at, prepend=-1))], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["anchor", "n"])
+            often = n >= 2
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["anchor", "n"])
 
     return words.releasing(count)
 
 
 def hot_anchors(rows: DataFrame, n_bytes: int, window: int, gram: int) -> np.ndarray:
-    """Anchors that HOT places or more of a sample hold, sorted.
+    """Anchors that would bring more than MOST_POSTINGS postings to a bucket, sorted.
 
-    The sample is every document up to SAMPLE_BYTES of input and about so many bytes
-    beyond, so there are at most a few thousand.  It decides how windows are dealt to
-    tasks and never what is found.
+    They are estimated on a sample: an eighth of the documents, or SAMPLE_BYTES of text
+    where that is less, so that there are at most some hundred thousand.  The estimate decides
+    how windows are dealt to tasks and never what is found.
     """
-    part = max(1, n_bytes // SAMPLE_BYTES)
+    part = max(8, n_bytes // SAMPLE_BYTES)
+    if n_bytes < 8 * MOST_POSTINGS:  # not so many words
+        return np.zeros(0, np.uint64)
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
     counts = sample.mapInArrow(_anchors(window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return np.sort(counts.filter(F.col("n") >= HOT).toArrow().column("anchor").to_numpy().view(np.uint64))
+    least = max(HOT, MOST_POSTINGS // part)
+    return np.sort(counts.filter(F.col("n") >= least).toArrow().column("anchor").to_numpy().view(np.uint64))
 
 
 def _post(window: int, gram: int, n_buckets: int, n_salts: int, hot):
@@ -242,7 +259,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*_run_columns(runs), pa.nulls(len(runs), pa.int32()), pa.nulls(len(runs), pa.binary())], names)
 
     def settle(bucket: int, salt: int, posts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        anchor, offset, full, doc, same, start, rank = _unpack(posts)
+        anchor, offset, full, doc, same, start, rank = _unpack(posts, salt > 0)
         copy, source, again = find_copies(anchor, offset, full, rank, start)
         if len(copy):
             yield runs_out(as_runs(rank, doc, same, start, copy, source))
