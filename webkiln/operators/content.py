@@ -16,6 +16,7 @@ ENTRY_POINTS = (
 )
 #: The blocks that compete where no entry point is found.
 BLOCKS = ("div", "section", "article", "main", "aside", "header", "footer", "nav", "content")
+#: What a date and a byline look like.
 DATE = r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b"
 BYLINE = r"(?i)\b(?:by|written by|author:)\s+[A-Za-z\s]+\b"
 

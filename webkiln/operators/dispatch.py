@@ -1,8 +1,8 @@
-"""Which site extractor a url belongs to: a join of urls with a small ordered pattern table."""
+"""Which site extractor a url belongs to: one ordered chain of conditions made from a small table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webkiln.functions import urls
@@ -32,31 +32,28 @@ class Registry:
         self.mappings.append((name, tuple(patterns)))
         return self
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """(priority, extractor, kind, pattern); as long as the registry."""
-        rows = [
-            (i, name, *(("regex", p[3:]) if p.startswith("re:") else ("host", p)))
-            for i, (name, patterns) in enumerate(self.mappings)
-            for p in patterns
-        ]
-        return spark.createDataFrame(rows, "priority int, extractor string, kind string, pattern string")
+    def of(self, url: Column) -> Column:
+        """Name of the first mapping whose host or url pattern fits; null if none does.
+
+        Hosts fit if they equal, end in or contain the pattern.
+        """
+        url = F.coalesce(url, F.lit(""))
+        host, out = F.coalesce(urls.host(url), F.lit("")), None
+        for name, patterns in self.mappings:
+            fits = F.lit(False)
+            for p in patterns:
+                fits = fits | (url.rlike(p[3:]) if p.startswith("re:") else host.contains(p))
+            out = F.when(fits, F.lit(name)) if out is None else out.when(fits, F.lit(name))
+        return F.lit(None).cast("string") if out is None else out
+
+    def names(self) -> list[str]:
+        return [name for name, _ in self.mappings]
 
 
 def dispatch(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """(page_id, url, extractor): the first mapping whose host or url pattern fits.
-
-    Hosts fit if they equal, end in or contain the pattern.  The pattern table is
-    bounded by the registry, so it is broadcast whatever the corpus holds.
-    """
-    table = (registry or Registry()).frame(pages.sparkSession)
-    hosts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
-    hosts = hosts.withColumn("host", F.coalesce(urls.host(F.col("url")), F.lit("")))
-    fits = F.when(F.col("kind") == "host", F.col("host").contains(F.col("pattern"))).otherwise(F.expr("url RLIKE pattern"))
-    return (
-        hosts.join(F.broadcast(table), fits)
-        .groupBy("page_id", "url")
-        .agg(F.min_by("extractor", "priority").alias("extractor"))
-    )
+    """(page_id, url, extractor) of every page, without a join or a shuffle."""
+    url = F.coalesce("url", F.lit(""))
+    return pages.select("page_id", url.alias("url"), (registry or Registry()).of(url).alias("extractor")).filter("extractor IS NOT NULL")
 
 
 def comment_threads(turns: DataFrame, group: str, order: str, depth: str, author: str, body: str) -> DataFrame:

@@ -114,7 +114,11 @@ def page_metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
         name("authorlist"), names(schema("author")), names(F.coalesce("byline", F.lit(""))), name("copyright"),
         schema("copyrightHolder.name"), prop("og:site_name"), schema("publisher.name"), name("twitter:creator"), name("application-name"),
     )
+    rows = rows.select("*", document_url.alias("document_url"), site.alias("site"), title.alias("title"), author.alias("author"))
+    document_url, site, title, author = (F.col(c) for c in ("document_url", "site", "title", "author"))  # each chain is written once
     icon = text.first_filled(prop("og:image:favicon"), F.col("icon"), name("msapplication-tileimage"), F.when(document_url != "", F.lit("/favicon.ico")))
+    rows = rows.withColumn("favicon", icon)
+    icon = F.col("favicon")
     return rows.select(
         "page_id",
         text.clean_title(title, site).alias("title"),
@@ -131,7 +135,7 @@ def page_metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
             text.first_filled(F.trim("lang"), name("content-language"), prop("og:locale"), F.col("http_language"), schema("inLanguage"))
         ).alias("language"),
         text.first_filled(
-            schema("datePublished"), schema("publishDate"), prop("article:published_time"), F.col("abbr"), F.col("time"),
+            schema("datePublished"), name("publishdate"), prop("article:published_time"), F.col("abbr"), F.col("time"),
             name("sailthru.date"), name("date"),
         ).alias("published"),
         author.alias("author"),

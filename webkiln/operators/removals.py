@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webkiln.operators.blocks import low_blocks
-from webkiln.operators.content import classes
+from webkiln.operators.content import ENTRY_POINTS, classes
 
 # Exact removal rules, by what they test.
 TAGS = (
@@ -31,22 +31,35 @@ ROLES = ("banner", "navigation", "dialog", "listbox", "option")
 HREF_PARTS = ("/tag/", "/tags/", "/author/", "/author?", "#toc")
 HREFS = ("#top", "#Top", "#page-header", "#content", "#site-content", "#main-content")
 TESTED = ("class", "id", "data-component", "data-test", "data-testid", "data-test-id", "data-qa", "data-cy")
-# Rule for partial matches: a part of a page, then something that is told about it.
-PARTS = ("article", "author", "entry", "post", "story", "publication", "page", "section", "site", "side", "top", "bottom", "footer")
-ABOUT = (
-    "author", "badges?", "banner", "bio", "bottom", "box", "card", "category", "categories", "citation", "date", "footer", "header",
-    "index", "info", "item", "links?", "list", "logo", "meta", "name", "nav", "navigation", "separator", "share", "snippet",
-    "subject", "tags?", "title", "topics?", "wrapper",
+#: Words that name clutter when they are a whole part of a class, id or data name (parts end at
+#: marks, digits and capitals).  A rule of this module, not a list of known sites' names; pass another.
+CLUTTER_WORDS = (
+    "ad", "ads", "advert", "advertisement", "advertising", "badge", "banner", "breadcrumb", "breadcrumbs", "btn", "byline", "captcha",
+    "comments", "consent", "cookie", "cookies", "cta", "dateline", "disclaimer", "disqus", "donate", "donation", "dropdown", "eyebrow",
+    "facebook", "feedback", "footer", "instagram", "kicker", "lightbox", "login", "masthead", "menu", "metadata", "modal", "nav",
+    "navbar", "navigation", "newsletter", "outbrain", "overlay", "pagination", "paywall", "pinterest", "popular", "popup", "print",
+    "profile", "promo", "promoted", "pubdate", "rating", "recirc", "recommended", "register", "related", "share", "sharing", "sidebar",
+    "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "tags", "taxonomy", "teaser",
+    "timestamp", "toc", "toolbar", "tooltip", "topbar", "trending", "twitter", "upsell", "whatsapp", "widget",
 )
-WHOLE = (
-    "advert", "breadcrumb", "byline", "captcha", "comments", "consent", "dateline", "disclaimer", "disqus", "donat(e|ion)", "dropdown",
-    "eyebrow", "facebook", "feedback", "footer", "further-reading", "invisible", "keep-?reading", "kicker", "lastupdated", "masthead",
-    "marketing", "metadata", "most-read", "newsletter", "noprint", "paywall", "popular", "profile", "pubdate", "read-?more",
-    "recirc", "recommend", "register", "related", "screen-reader-text", "sharedaddy", "sponsor", "sr-only", "submenu", "taxonomy",
-    "timestamp", "topbar", "trending", "twitter", "upsell", "visually-hidden", "yarpp", "-menu", "menu-", "nav[-_]", "-btn", "btn-",
-    "cta[-_]", "[-_]cta", "[-_]modal", "[-_]search",
+#: Pairs of neighbouring parts that name clutter though neither does alone.
+CLUTTER_PAIRS = (
+    ("author", "bio"), ("author", "box"), ("author", "info"), ("author", "name"), ("entry", "meta"), ("post", "meta"), ("article", "meta"),
+    ("post", "date"), ("publish", "date"), ("read", "more"), ("read", "next"), ("further", "reading"), ("keep", "reading"), ("most", "read"),
+    ("screen", "reader"), ("sr", "only"), ("visually", "hidden"), ("up", "next"), ("you", "may"), ("site", "header"), ("page", "header"),
+    ("side", "bar"), ("sign", "up"), ("sign", "in"), ("pull", "quote"),
 )
-PARTIAL = "(?i)(" + "|".join(WHOLE) + "|(" + "|".join(PARTS) + ")[-_]{1,2}(" + "|".join(ABOUT) + "))"
+
+
+def clutter_pattern(words: tuple[str, ...] = CLUTTER_WORDS, pairs: tuple[tuple[str, str], ...] = CLUTTER_PAIRS) -> str:
+    """A pattern for names whose parts were separated by blanks and lower-cased."""
+    both = [f"{a} {b}" for a, b in pairs]
+    return r"(^| )(" + "|".join([*words, *both]) + r")( |$)"
+
+
+def name_parts(name: Column) -> Column:
+    """``siteHeader-top_2`` as ``site header top``."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(name, r"(?<=[a-z])(?=[A-Z])", " "), r"[^A-Za-z]+", " ")))
 
 
 def _attr(name: str) -> Column:
@@ -69,6 +82,8 @@ def exact_victim() -> Column:
         | (F.array_contains(classes(F.col("attrs")), "ad") & ~_attr("class").contains("gradient"))
         | (F.array_contains(classes(F.col("attrs")), "header") & ~F.array_contains(classes(F.col("attrs")), "banner"))
         | low.rlike(r"^ad-|-ad$|pagination|^logo$")
+        | ((tag == "header") & ~F.coalesce(F.col("has_p"), F.lit(True)))
+        | F.lower(_attr("alt")).contains("advert")
         | F.lower(_attr("id")).rlike(r"^ad-|-ad$|^comments?$")
         | ((tag == "div") & F.concat(_attr("class"), F.lit(" "), _attr("id")).contains("cover-"))
         | F.col("attrs")["hidden"].isNotNull()
@@ -82,9 +97,14 @@ def exact_victim() -> Column:
     )
 
 
-def partial_victim() -> Column:
-    tested = F.concat_ws(" ", *[F.col("attrs")[a] for a in TESTED])
-    return tested.rlike(PARTIAL) & ~F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")
+def partial_victim(pattern: str | None = None) -> Column:
+    """Elements whose class, id or data names say clutter, but for headings and what an entry point names."""
+    tested = F.concat_ws(" | ", *[F.col("attrs")[a] for a in TESTED])
+    named = classes(F.col("attrs"))
+    entry = F.arrays_overlap(named, F.array(*[F.lit(v) for kind, v in ENTRY_POINTS if kind == "class"])) | _attr("id").isin(
+        *[v for kind, v in ENTRY_POINTS if kind == "id"]
+    )
+    return name_parts(tested).rlike(pattern or clutter_pattern()) & ~entry & ~F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def hidden_victim() -> Column:
@@ -110,9 +130,13 @@ def small_images(nodes: DataFrame) -> DataFrame:
 REASONS = {"hidden": hidden_victim, "exact": exact_victim, "partial": partial_victim}
 
 
-def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("small", "hidden", "low", "exact", "partial")) -> DataFrame:
+def mark_victims(
+    nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("small", "hidden", "low", "exact", "partial"), low: DataFrame | None = None
+) -> DataFrame:
     """The node table with ``reason``: why the element itself is to go, else null.
 
+    ``low`` are the low-scoring blocks where they are at hand already.
+
     Elements that are or hold the main content are kept from all steps but hidden,
     what stands in pre or code from the exact and partial ones.
     """
@@ -120,6 +144,10 @@ def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("s
     held = main.select("page_id", F.col("pre").alias("main_pre"), F.col("last").alias("main_last"))
     rows = nodes.join(held, "page_id", "left")
     code_end = F.max(F.when(F.col("tag").isin("pre", "code"), F.col("last"))).over(order)
+    next_p = F.min(F.when(F.col("tag") == "p", F.col("pre"))).over(
+        Window.partitionBy("page_id").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
+    )
+    rows = rows.withColumn("has_p", F.coalesce(next_p <= F.col("last"), F.lit(False)))
     rows = rows.withColumn("in_code", F.coalesce(code_end >= F.col("pre"), F.lit(False)) | F.col("tag").isin("pre", "code"))
     holds = F.coalesce((F.col("pre") <= F.col("main_pre")) & (F.col("last") >= F.col("main_last")), F.lit(False))
     reason = F.lit(None).cast("string")
@@ -128,12 +156,13 @@ def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("s
         rows = rows.withColumn("key", F.when(F.col("tag").isin("img", "svg"), image_key())).join(keys, ["page_id", "key"], "left")
         reason = F.coalesce(reason, F.when(F.col("small"), F.lit("small_image")))
     if "low" in steps:
-        rows = rows.join(low_blocks(nodes).withColumn("low", F.lit(True)), ["page_id", "pre"], "left")
+        low = low_blocks(nodes) if low is None else low
+        rows = rows.join(low.withColumn("low", F.lit(True)), ["page_id", "pre"], "left")
     element = F.col("kind") == "element"
     for step in ("hidden", "low", "exact", "partial"):
         if step == "low" and step in steps:
-            low = F.col("low") & ~holds & ~F.col("in_code")
-            reason = F.coalesce(reason, F.when(F.coalesce(low, F.lit(False)), F.lit("low_score")))
+            unlikely = F.col("low") & ~holds & ~F.col("in_code")
+            reason = F.coalesce(reason, F.when(F.coalesce(unlikely, F.lit(False)), F.lit("low_score")))
         elif step in steps:
             free = F.lit(True) if step == "hidden" else ~holds & ~F.col("in_code")
             reason = F.coalesce(reason, F.when(element & free & F.coalesce(REASONS[step](), F.lit(False)), F.lit(step)))

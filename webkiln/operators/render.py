@@ -52,25 +52,37 @@ def standardise(nodes: DataFrame, titles: DataFrame) -> DataFrame:
     return remove(rows.drop("__title", "__says"))
 
 
-def _written(marks: DataFrame, name: str) -> DataFrame:
-    """Concatenate (at, side, depth, out) marks: starts before ends, inner ends before outer ones."""
-    order = F.sort_array(F.collect_list(F.struct("at", "side", "depth", "out")))
-    return marks.groupBy("page_id").agg(F.array_join(F.transform(order, lambda m: m["out"]), "").alias(name))
+def _written(nodes: DataFrame, **marks: tuple[Column, Column]) -> DataFrame:
+    """(page_id, and a column for each of ``marks``): (opening, closing) marks in document order.
 
+    Starts come before ends, inner ends before outer ones.  All columns are written by
+    one sort of the page's nodes.
+    """
+    start = [opening.alias(name) for name, (opening, _) in marks.items()]
+    end = [closing.alias(name) for name, (_, closing) in marks.items()]
+    place = lambda at, side, depth: [at.alias("at"), F.lit(side).alias("side"), depth.alias("depth")]
+    both = F.array(
+        F.struct(*place(F.col("pre"), 0, F.lit(0)), *start), F.struct(*place(F.col("last"), 1, -F.col("depth")), *end)
+    )
+    rows = nodes.select("page_id", F.explode(both).alias("m")).filter(" OR ".join(f"m.{name} <> ''" for name in marks))
+    order = F.sort_array(F.collect_list("m"))
+    rows = rows.groupBy("page_id").agg(order.alias("ms"))
+    return rows.select("page_id", *[F.array_join(F.col("ms").getField(name), "").alias(name) for name in marks])
 
-def _marks(nodes: DataFrame, opening: Column, closing: Column) -> DataFrame:
-    start = F.struct(F.col("pre").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("depth"), opening.alias("out"))
-    end = F.struct(F.col("last").alias("at"), F.lit(1).alias("side"), (-F.col("depth")).alias("depth"), closing.alias("out"))
-    return nodes.select("page_id", F.explode(F.array(start, end)).alias("m")).select("page_id", "m.*").filter("out <> ''")
+
+def _text_marks() -> tuple[Column, Column]:
+    return F.coalesce("text", F.lit("")), F.lit("")
 
 
 def to_text(nodes: DataFrame) -> DataFrame:
-    return _written(_marks(nodes, F.coalesce("text", F.lit("")), F.lit("")), "content_text")
+    return _written(nodes, content_text=_text_marks())
 
 
-def to_html(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, content): sanitised HTML of what is left."""
-    rows = nodes.join(pages.select("page_id", F.coalesce("url", F.lit("")).alias("__url")), "page_id")
+def _with_url(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    return nodes.join(pages.select("page_id", F.coalesce("url", F.lit("")).alias("__url")), "page_id")
+
+
+def _html_marks() -> tuple[Column, Column]:
     attrs = F.map_entries(safe_attrs(F.coalesce("attrs", F.expr("map()").cast("map<string,string>")), F.col("__url")))
     quoted = F.array_join(
         F.transform(attrs, lambda a: F.concat(F.lit(" "), a["key"], F.lit('="'), F.replace(escape_text(a["value"]), F.lit('"'), F.lit("&quot;")), F.lit('"'))),
@@ -79,7 +91,12 @@ def to_html(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     element = F.col("kind") == "element"
     opening = F.when(element, F.concat(F.lit("<"), F.col("tag"), quoted, F.lit(">"))).otherwise(escape_text(F.coalesce("text", F.lit(""))))
     closing = F.when(element & ~F.col("tag").isin(*VOID), F.concat(F.lit("</"), F.col("tag"), F.lit(">"))).otherwise("")
-    return _written(_marks(rows, opening, closing), "content")
+    return opening, closing
+
+
+def to_html(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, content): sanitised HTML of what is left."""
+    return _written(_with_url(nodes, pages), content=_html_marks())
 
 
 #: Markdown marks before and after an element.
@@ -92,23 +109,25 @@ MARKS = {
 }
 
 
-def to_markdown(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, content_markdown): headings, emphasis, links, images, lists, code, quotes and table rows.
-
-    List items are indented by the number of lists around them and numbered in
-    ordered lists; white space collapses outside pre.
-    """
+def _markdown_rows(rows: DataFrame) -> DataFrame:
+    """What Markdown needs to know of a node: whether it stands in pre, its number, the lists around an item."""
     order = Window.partitionBy("page_id").orderBy("pre")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = nodes.join(pages.select("page_id", F.coalesce("url", F.lit("")).alias("__url")), "page_id")
     pre_end = F.max(F.when(F.col("tag") == "pre", F.col("last"))).over(before)
     rows = rows.withColumn("__raw", F.coalesce(pre_end >= F.col("pre"), F.lit(False)))
-    lists = F.collect_list(F.when(F.col("tag").isin("ul", "ol"), F.struct("pre", "last", "tag"))).over(before)
-    around = F.filter(lists, lambda x: x["last"] >= F.col("pre"))
-    rows = rows.withColumn("__lists", F.when(F.col("tag") == "li", around))
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("pre")))
-    indent = F.repeat(F.lit("    "), F.greatest(F.size("__lists") - 1, F.lit(0)))
-    item = F.when(F.element_at("__lists", -1)["tag"] == "ol", F.concat(F.col("__n").cast("string"), F.lit(". "))).otherwise("- ")
+    # lists opened and lists closed before the item; the innermost one is the nearest list that still is open
+    listed = F.when(F.col("tag").isin("ul", "ol"), 1)
+    rows = rows.withColumn("__opened", F.count(listed).over(before))
+    ends = rows.filter(F.col("tag").isin("ul", "ol")).groupBy("page_id", F.col("last").alias("pre")).agg(F.count("*").alias("__ends"))
+    rows = rows.join(ends, ["page_id", "pre"], "left")
+    closed = F.coalesce(F.sum(F.coalesce("__ends", F.lit(0))).over(before), F.lit(0))
+    rows = rows.withColumn("__lists", (F.col("__opened") - closed).cast("int"))
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("pre")))
+
+
+def _markdown_marks() -> tuple[Column, Column]:
+    indent = F.repeat(F.lit("    "), F.greatest(F.col("__lists") - 1, F.lit(0)))
+    item = F.when(F.col("parent_tag") == "ol", F.concat(F.col("__n").cast("string"), F.lit(". "))).otherwise("- ")
     target = lambda a: urls.resolve(F.coalesce(F.col("attrs")[a], F.lit("")), F.col("__url"))
     table = F.create_map(*[F.lit(x) for tag, (a, _) in MARKS.items() for x in (tag, a)])
     ends = F.create_map(*[F.lit(x) for tag, (_, b) in MARKS.items() for x in (tag, b)])
@@ -127,5 +146,28 @@ def to_markdown(nodes: DataFrame, pages: DataFrame) -> DataFrame:
         .when(inline_code, F.lit(""))
         .otherwise(F.coalesce(F.try_element_at(ends, F.col("tag")), F.lit("")))
     )
-    out = _written(_marks(rows, opening, closing), "content_markdown")
-    return out.withColumn("content_markdown", tidy_markdown(F.regexp_replace("content_markdown", r"\n[ \t]+\n", "\n\n")))
+    return opening, closing
+
+
+def _tidied(name: str) -> Column:
+    return tidy_markdown(F.regexp_replace(name, r"\n[ \t]+\n", "\n\n"))
+
+
+def to_markdown(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, content_markdown): headings, emphasis, links, images, lists, code, quotes and table rows.
+
+    List items are indented by the number of lists around them and numbered in
+    ordered lists; white space collapses outside pre.
+    """
+    out = _written(_markdown_rows(_with_url(nodes, pages)), content_markdown=_markdown_marks())
+    return out.withColumn("content_markdown", _tidied("content_markdown"))
+
+
+def to_all(nodes: DataFrame, pages: DataFrame, markdown: bool) -> DataFrame:
+    """(page_id, content, content_text, content_markdown if asked for) by one aggregation."""
+    rows = _with_url(nodes, pages)
+    marks = {"content": _html_marks(), "content_text": _text_marks()}
+    if not markdown:
+        return _written(rows, **marks)
+    out = _written(_markdown_rows(rows), **marks, content_markdown=_markdown_marks())
+    return out.withColumn("content_markdown", _tidied("content_markdown"))

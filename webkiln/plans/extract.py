@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from webkiln.functions.text import count_words
 from webkiln.html.shred import shred
-from webkiln.operators import content, dispatch, metadata, removals, render
+from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render
 from webkiln.sources.shared import materialise
 
 
 @dataclass(frozen=True)
 class Options:
-    """What a plan does; a step that is None stays at its default, which is on."""
+    """What a plan does; a step that is None stays at its default, which is on but for content patterns.
+
+    Content patterns cost as much as all other removals together.
+    """
 
     markdown: bool = False
     remove_small_images: bool | None = None
@@ -23,9 +26,10 @@ class Options:
     remove_exact: bool | None = None
     remove_partial: bool | None = None
     remove_low_scoring: bool | None = None
+    remove_content_patterns: bool = False
 
     def steps(self) -> tuple[str, ...]:
-        flags = {"small": self.remove_small_images, "hidden": self.remove_hidden, "low": self.remove_low_scoring, "exact": self.remove_exact, "partial": self.remove_partial}
+        flags = {"small": self.remove_small_images, "hidden": self.remove_hidden, "low": self.remove_low_scoring, "exact": self.remove_exact, "partial": self.remove_partial, "patterns": self.remove_content_patterns}
         return tuple(step for step, on in flags.items() if on is not False)
 
 
@@ -35,10 +39,14 @@ def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, materialise(content.main_content(nodes), "main"), materialise(metadata.page_metadata(pages, nodes), "metadata")
 
 
-def cleaned(nodes: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+def cleaned(nodes: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[str, ...], low: DataFrame | None = None) -> DataFrame:
     """The main content's nodes after removal and standardisation."""
-    left = removals.remove(removals.mark_victims(nodes, main, steps))
-    return render.standardise(removals.subtree(left, main), titles)
+    left = removals.remove(removals.mark_victims(nodes, main, steps, low))
+    left = removals.subtree(left, main)
+    if "patterns" in steps:
+        left = materialise(left, "inside")
+        left = removals.remove(patterns.mark_patterns(left, main))
+    return render.standardise(left, titles)
 
 
 #: Fixed values: (steps to leave out, tried below so many words, must grow by this factor).
@@ -51,12 +59,13 @@ def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: O
     Every rung is a plan over the pages that are still short; a page takes the rung's
     result if it has enough more words than before.
     """
-    best = materialise(cleaned(nodes, main, titles, options.steps()).withColumn("retry_step", F.lit(0)), "rung")
+    low = materialise(blocks.low_blocks(nodes), "low") if "low" in options.steps() else None  # no rung changes them
+    best = materialise(cleaned(nodes, main, titles, options.steps(), low).withColumn("retry_step", F.lit(0)), "rung")
     for rung, (without, below, factor) in enumerate(LADDER, 1):
         words = render.to_text(best).select("page_id", count_words("content_text").alias("words"))
         short = materialise(main.join(words, "page_id", "left").filter(F.coalesce("words", F.lit(0)) < below), "short")
         steps = tuple(s for s in options.steps() if s not in without)
-        again = materialise(cleaned(nodes.join(short.select("page_id"), "page_id", "left_semi"), short, titles, steps), "rung")
+        again = materialise(cleaned(nodes.join(short.select("page_id"), "page_id", "left_semi"), short, titles, steps, low), "rung")
         more = render.to_text(again).select("page_id", count_words("content_text").alias("more"))
         won = short.select("page_id", "words").join(more, "page_id").filter(F.col("more") > F.coalesce("words", F.lit(0)) * factor).select("page_id")
         won = materialise(won, "won")
@@ -80,14 +89,14 @@ def extract(
     else:
         left = cleaned(nodes, main, about, options.steps()).withColumn("retry_step", F.lit(0))
     left = materialise(left, "cleaned")
-    text = render.to_text(left).select("page_id", count_words(F.trim("content_text")).alias("word_count"))
+    written = render.to_all(left, pages, options.markdown)
+    written = written.withColumn("word_count", count_words(F.trim("content_text"))).drop("content_text")
     out = (
         about.join(dispatch.dispatch(pages).select("page_id", "extractor"), "page_id")
-        .join(render.to_html(left, pages), "page_id", "left")
-        .join(text, "page_id", "left")
+        .join(written, "page_id", "left")
         .withColumn("word_count", F.coalesce("word_count", F.lit(0)))
     )
     if retry_step:
         steps = left.groupBy("page_id").agg(F.max("retry_step").alias("retry_step"))
         out = out.join(steps, "page_id", "left").withColumn("retry_step", F.coalesce("retry_step", F.lit(0)))
-    return out.join(render.to_markdown(left, pages), "page_id", "left") if options.markdown else out
+    return out

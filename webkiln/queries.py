@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webkiln.functions import text, urls
 from webkiln.html.shred import shred
-from webkiln.operators import blocks, content, dispatch, metadata, removals, render
+from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render
 from webkiln.plans import extract as plan
 from webkiln.sources.shared import materialise
 from webkiln.streaming import pages as streams
@@ -51,6 +51,14 @@ def element_counts(spark, sf_dir):
     return tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+def content_patterns(spark, sf_dir):
+    """How many elements each content pattern finds in the main contents."""
+    nodes = _nodes(spark, sf_dir)
+    main = materialise(content.main_content(nodes), "main")
+    inside = materialise(removals.subtree(nodes, main), "inside")
+    return patterns.pattern_victims(inside, main).groupBy("page_id", "reason").agg(F.count("*").alias("n"))
+
+
 def article_text(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     main = content.main_content(nodes)
@@ -167,7 +175,7 @@ def longest_by_host(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, article_text, main_content, candidate_rank, best_block,
+        page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, article_text, content_patterns, main_content, candidate_rank, best_block,
         removal_counts, low_score_blocks, page_links, extractor_dispatch, url_parts, url_dedupe, host_rollup, host_sets, document_words, language_words,
         conversation_threads, event_properties, event_windows, event_sessions, longest_by_host,
     ]
