@@ -71,21 +71,34 @@ def bloom_of(keys: DataFrame, n_keys: int, rate: float, level: int) -> Bloom:
     return Bloom(words, n_bits, n_hashes, level)
 
 
-def maybe_in(ids: DataFrame, *columns: str) -> Column | None:
-    """A condition that holds for every row whose ``columns`` are in ``ids`` (distinct), and for few others.
+def hashes(*columns: str) -> tuple[Column, Column]:
+    """The two hashes of a key that a filter takes, as h1 and h2."""
+    return F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(11), *columns).alias("h2")
 
-    None beyond MOST_FILTERED rows, where all rows have to take part in the join.
-    """
+
+def sent_filter(ids: DataFrame, *columns: str):
+    """A broadcast filter of the ``columns`` of ``ids`` (distinct); None beyond MOST_FILTERED rows."""
     n = ids.count()
     if n > MOST_FILTERED:
         return None
-    if not n:
-        return F.lit(False)
-    hashes = (F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(11), *columns).alias("h2"))
-    shared = ids.sparkSession.sparkContext.broadcast(bloom_of(ids.select(*hashes), n, 0.01, 0))
+    found = bloom_of(ids.select(*hashes(*columns)), n, 0.01, 0) if n else Bloom(np.zeros(2, np.uint64), 64, 1, 0)
+    return ids.sparkSession.sparkContext.broadcast(found)
+
+
+def hit_by(shared, *columns: str) -> Column:
+    """Whether a row passes a broadcast filter."""
 
     @F.pandas_udf(T.BooleanType())
     def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(shared.value.hits(*(h.to_numpy(np.int64).view(np.uint64) for h in (h1, h2))))
 
-    return listed(*hashes)
+    return listed(*hashes(*columns))
+
+
+def maybe_in(ids: DataFrame, *columns: str) -> Column | None:
+    """A condition that holds for every row whose ``columns`` are in ``ids`` (distinct), and for few others.
+
+    None beyond MOST_FILTERED rows, where all rows have to take part in the join.
+    """
+    shared = sent_filter(ids, *columns)
+    return None if shared is None else hit_by(shared, *columns)

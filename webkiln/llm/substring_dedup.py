@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webkiln.llm import words
-from webkiln.llm.bloom import maybe_in
+from webkiln.llm.bloom import hashes, hit_by, maybe_in, sent_filter
 from webkiln.llm.staging import KEY, for_each_salt, heavy_keys, input_bytes, keyed, salted, stage
 
 #: Places are (doc, same, start): id, hash of the text (rows may repeat an id), word.
@@ -398,12 +398,21 @@ _OUT = (
 )
 
 
-def _apply(window: int):
-    """mapInArrow over (id, text, runs): factors, and the text without them."""
+def _without(batches: Iterator[pa.RecordBatch], but) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
+        yield batch.filter(pa.array(~but.value.hits(h1, h2)))
+
+
+def _apply(window: int, but=None):
+    """mapInArrow over (id, text, runs): factors, and the text without them.
+
+    Rows that the filter ``but`` holds, by their columns h1 and h2, are left out.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(_without(batches, but) if but is not None else batches, "text"):
             totals, removed, kept, spans = [], [], [], []
             for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
                 tokens = (text.as_py() or "").encode().split()
@@ -485,11 +494,12 @@ def substring_dedup(
         F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start", "piece"))).alias("runs")
     )
 
-    hit = stage(asks.select(F.col("doc").alias("id")).distinct(), "copying")
-    hit = maybe_in(hit, "id")
-    copying, plain = (rows, rows.limit(0)) if hit is None else (rows.filter(hit), rows.filter(~hit))
-    out = copying.join(runs, ["id", "same"], "left").select("id", "text", "runs")
-    out = out.unionByName(plain.select("id", "text", F.lit(None).cast(out.schema["runs"].dataType).alias("runs")))
-    out = out.mapInArrow(_apply(window), _OUT)
+    copying = sent_filter(stage(asks.select(F.col("doc").alias("id")).distinct(), "copying"), "id")
+    some = rows if copying is None else rows.filter(hit_by(copying, "id"))
+    some = some.join(runs, ["id", "same"], "left").select("id", "text", "runs")
+    out = some.mapInArrow(_apply(window), _OUT)
+    if copying is not None:  # the other texts stay where they are
+        none = F.lit(None).cast(some.schema["runs"].dataType).alias("runs")
+        out = out.unionByName(rows.select("id", "text", none, *hashes("id")).mapInArrow(_apply(window, copying), _OUT))
     factors = F.transform("factors", lambda f: f.withField("ref_doc", id_of(f["ref_doc"])))
     return out.select(id_of(F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", factors.alias("factors"))
