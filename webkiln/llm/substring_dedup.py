@@ -458,7 +458,7 @@ def substring_dedup(
     text_col: str = "text",
     window: int = 20,
     gram: int = 8,
-    bucket_bytes: int = 8 << 20,
+    bucket_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Return one row per input row: id, n_words, n_removed, kept_text, factors.
 
