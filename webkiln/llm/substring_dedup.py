@@ -11,7 +11,8 @@ The reference of a document is everything that starts before it, cut into blocks
    are found on a bounded sample beforehand; their windows are posted one by one, dealt
    by their own hashes, and meet in two levels, so no bucket grows with a hot anchor.
 2. Each run of windows asks the reference for the words of its earliest place, from
-   there to the end of a block.  Only texts that are asked are moved.
+   there to the end of a block.  Only texts that are asked are moved; what is asked of a
+   text is sorted behind it, so a task holds one text at a time.
 3. The document is parsed greedily: a factor starts at the first window that has an
    earlier place and is extended word by word against that reference block as far as the
    words agree.  The parse goes on from the factor's end, with a check of the windows
@@ -40,6 +41,8 @@ RUNS = "doc long, same long, start int, n int, ref_doc long, ref_same long, ref_
 BLOCK_WORDS = 512
 #: Text that a task settles at a time, and of the sample that hot anchors are looked for in.
 SLICE_BYTES, SAMPLE_BYTES = 4 << 20, 1 << 30
+#: Text, and rows, that a task hands on at a time.
+OUT_BYTES, OUT_ROWS = 1 << 20, 2000
 #: Postings that an anchor may bring to a bucket; it is hot if it has more, and HOT of them or more in the sample.
 MOST_POSTINGS, HOT = 200_000, 8
 
@@ -343,97 +346,173 @@ def _asks(window: int):
     return words.releasing(ask)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over reference texts and what is asked of each: the words asked for, joined by spaces."""
-    names = [*RUN.names, "piece"]
-    for batch in words.slices(batches, "text"):
-        rows: list[tuple] = []
-        for text, doc, same, asks in zip(*(batch.column(c) for c in ("text", "ref_doc", "ref_same", "asks")), strict=True):
-            tokens = text.as_py().encode().split()
-            for ask in asks.as_py():
-                piece = b" ".join(tokens[ask["ref_start"] : ask["ref_start"] + ask["want"]])
-                rows.append((ask["doc"], ask["same"], ask["start"], ask["n"], doc.as_py(), same.as_py(), ask["ref_start"], piece))
-        if rows:
-            kinds = [*[c.type for c in _run_columns(np.zeros(0, RUN))], pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _spaced(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The text's words with a space after each, and where they start; the last entry is the end."""
+    joined = b"".join(t + b" " for t in text.split())
+    return joined, _starts(joined)
+
 
+def _starts(spaced: bytes) -> np.ndarray:
+    return np.r_[0, np.flatnonzero(np.frombuffer(spaced, np.uint8) == 0x20) + 1]
 
-def _starts(joined: bytes) -> np.ndarray:
-    """Where words that single spaces separate start; the last entry is where one more would."""
-    return np.r_[0, np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20) + 1]
 
+def _groups(is_text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row of the text or -1, first, end) of the stretches of rows that follow a text."""
+    heads = np.flatnonzero(is_text).tolist()
+    if len(is_text) and (not heads or heads[0]):
+        yield -1, 0, heads[0] if heads else len(is_text)
+    for a, b in zip(heads, [*heads[1:], len(is_text)], strict=True):
+        yield a, a + 1, b
 
-def parse(tokens: list[bytes], runs: list[dict], window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, length, ref_doc, ref_start) in words.
 
-    ``runs`` come in order of start, each with the reference's words from its place on.
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over reference texts, each before what is asked of it: the words asked for, joined by spaces.
+
+    A task holds one text and OUT_BYTES of answers.
     """
-    text = b" ".join(tokens) + b" "
-    data, begin = np.frombuffer(text, np.uint8), _starts(text)
-    out, at, k = [], 0, 0
-    while k < len(runs):
-        run = runs[k]
-        at = max(at, run["start"])
-        if at >= run["start"] + run["n"]:
-            k += 1
-            continue
-        piece = run["piece"] + b" "
-        skip = at - run["start"]
-        block = np.frombuffer(piece, np.uint8)[_starts(piece)[skip] :]
-        mine = data[begin[at] : begin[at] + len(block)]
-        differ = np.flatnonzero(mine != block[: len(mine)])
-        agree = differ[0] if len(differ) else len(mine)
-        n = int(np.searchsorted(begin, begin[at] + agree, side="right")) - 1 - at
-        if n < window:  # the index's hashes agreed, the words do not
-            at += 1
-            continue
-        out.append((at, n, run["ref_doc"], run["ref_start"] + skip))
-        at += n - window + 1  # the first window that crosses the boundary
-    return out
+    spaced, begin = b"", np.zeros(1, np.int64)
+    for batch in batches:
+        at, want = (batch.column(c).to_numpy() for c in ("ref_start", "want"))
+        columns = [batch.column(c) for c in RUN.names]
+        rows, pieces, held = [], [], 0
+
+        def answers() -> pa.RecordBatch:
+            take = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*[c.take(take) for c in columns], pa.array(pieces, pa.binary())], [*RUN.names, "piece"])
+
+        for text, a, b in _groups(at < 0):
+            if text >= 0:
+                spaced, begin = _spaced(batch.column("text")[text].as_py().encode())
+            low = begin[at[a:b]].tolist()
+            high = begin[np.minimum(at[a:b] + want[a:b], len(begin) - 1)].tolist()
+            for row, x, y in zip(range(a, b), low, high, strict=True):
+                rows.append(row)
+                pieces.append(spaced[x : y - 1])
+                held += y - x
+                if held >= OUT_BYTES:
+                    yield answers()
+                    rows, pieces, held = [], [], 0
+        if rows:
+            yield answers()
+
+
+class Parse:
+    """The greedy factors (start, length, ref_doc, ref_start), in words, of one text; runs come in order of start."""
+
+    def __init__(self, text: bytes, window: int):
+        self.text, self.begin = _spaced(text)
+        self.data, self.window, self.at = np.frombuffer(self.text, np.uint8), window, 0
+        self.factors: list[tuple[int, int, int, int]] = []
+
+    def feed(self, start: int, n: int, ref_doc: int, ref_start: int, piece: bytes) -> None:
+        """A run of windows and the reference's words from its place on."""
+        at, begin = max(self.at, start), self.begin
+        piece = piece + b" "
+        block, words_at = np.frombuffer(piece, np.uint8), _starts(piece)
+        while at < start + n:
+            left = block[words_at[at - start] :]
+            mine = self.data[begin[at] : begin[at] + len(left)]
+            differ = np.flatnonzero(mine != left[: len(mine)])
+            agree = differ[0] if len(differ) else len(mine)
+            length = int(np.searchsorted(begin, begin[at] + agree, side="right")) - 1 - at
+            if length < self.window:  # the index's hashes agreed, the words do not
+                at += 1
+                continue
+            self.factors.append((at, length, ref_doc, ref_start + at - start))
+            at += length - self.window + 1  # the first window that crosses the boundary
+        self.at = at
+
+    def kept(self) -> tuple[str, int, int]:
+        """The text without its factors, and how many words it had and lost."""
+        n = len(self.begin) - 1
+        edge = np.zeros(n + 1, np.int64)
+        for start, length, *_ in self.factors:
+            edge[start] += 1
+            edge[start + length] -= 1
+        gone = np.cumsum(edge) > 0
+        cuts = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=1, append=1))  # kept stretches from and to
+        parts = [self.text[self.begin[a] : self.begin[b]] for a, b in zip(cuts[::2], np.minimum(cuts[1::2], n), strict=True)]
+        return b"".join(parts)[:-1].decode(), n, int(gone[:n].sum())
 
 
 _OUT = (
     "id long, n_words long, n_removed long, kept_text string, "
     "factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>"
 )
+_FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
 
-def _without(batches: Iterator[pa.RecordBatch], but) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
-        yield batch.filter(pa.array(~but.value.hits(h1, h2)))
+def _rows_out(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (id, n_words, n_removed, kept_text, factors) as a batch."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), _FACTORS]
+    names = ["id", "n_words", "n_removed", "kept_text", "factors"]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _apply(window: int, but=None):
-    """mapInArrow over (id, text, runs): factors, and the text without them.
+def _apply(window: int):
+    """mapInArrow over texts, each before its runs and their words: factors, and the text without them.
 
-    Rows that the filter ``but`` holds, by their columns h1 and h2, are left out.
+    A task holds one text and its factors, however many runs it has.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
-        for batch in words.slices(_without(batches, but) if but is not None else batches, "text"):
-            totals, removed, kept, spans = [], [], [], []
-            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-                tokens = (text.as_py() or "").encode().split()
-                found = parse(tokens, runs.as_py(), window) if runs.is_valid else []
-                stays = tokens
-                if found:
-                    edge = np.zeros(len(tokens) + 1, np.int32)
-                    np.add.at(edge, [s for s, *_ in found], 1)
-                    np.add.at(edge, [s + n for s, n, *_ in found], -1)
-                    stays = [tokens[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                kept.append(b" ".join(stays).decode())
-                totals.append(len(tokens))
-                removed.append(len(tokens) - len(stays))
-                spans.append([dict(zip(("start", "length", "ref_doc", "ref_start"), x, strict=True)) for x in found])
-            counts = [pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
-            columns = [batch.column("id"), *counts, pa.array(kept, pa.string()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text", "factors"])
+        key, copies, parsing, rows, held = None, 0, None, [], 0
+
+        def done() -> int:
+            kept, n, removed = parsing.kept()
+            found = [dict(zip(("start", "length", "ref_doc", "ref_start"), x, strict=True)) for x in parsing.factors]
+            rows.extend([(key[0], n, removed, kept, found)] * copies)
+            return len(kept) * copies
+
+        for batch in batches:
+            ids, same, salt, start, n, ref_doc, ref_start = (
+                batch.column(c).to_numpy() for c in ("id", "same", "salt", "start", "n", "ref_doc", "ref_start")
+            )
+            pieces = batch.column("piece")
+            for text, a, b in _groups(start < 0):
+                if text >= 0:
+                    this = (int(ids[text]), int(same[text]), int(salt[text]))
+                    if this == key:
+                        copies += 1
+                    else:
+                        if parsing is not None:
+                            held += done()
+                        if held >= OUT_BYTES or len(rows) >= OUT_ROWS:
+                            yield _rows_out(rows)
+                            rows.clear()
+                            held = 0
+                        key, copies = this, 1
+                        parsing = Parse((batch.column("text")[text].as_py() or "").encode(), window)
+                ends = start[a:b] + n[a:b]
+                for k in range(a, b):
+                    if ends[k - a] > parsing.at:
+                        parsing.feed(int(start[k]), int(n[k]), int(ref_doc[k]), int(ref_start[k]), pieces[k].as_py())
+        if parsing is not None:
+            done()
+        if rows:
+            yield _rows_out(rows)
 
     return words.releasing(apply)
 
 
+def _whole(but):
+    """mapInArrow over texts without copies, which the filter ``but`` does not hold (columns h1 and h2): all words stay."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))
+            for part in words.slices(iter([batch.filter(pa.array(~but.value.hits(h1, h2)))]), "text"):
+                tokens = [(text.as_py() or "").encode().split() for text in part.column("text")]
+                yield _rows_out([(id_, len(t), 0, b" ".join(t).decode(), []) for id_, t in zip(part.column("id").to_pylist(), tokens, strict=True)])
+
+    return words.releasing(whole)
+
+
+def _nothing(rows: DataFrame, *numbers: str) -> DataFrame:
+    """Zeros where a text's row has no numbers, so that Arrow columns hold no nulls."""
+    return rows.withColumns({c: F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)) for c in numbers})
+
+
 def index_runs(rows: DataFrame, n_bytes: int, window: int, gram: int, bucket_bytes: int) -> DataFrame:
     """Runs of windows of (id, same, text) that start earlier, with their earlier places."""
     n_buckets = max(8, -(-n_bytes // bucket_bytes))
@@ -470,8 +549,8 @@ def substring_dedup(
     repeat an id and its text are one document, and each keeps its row; rows that
     repeat an id with another text are documents of their own, in the order of their
     texts' hashes.  Of several earlier places a factor copies the earliest of its first
-    window.  A text of any length is parsed whole, by one task, which holds it and at
-    most a block of words for each of its runs.  Other columns of ``docs`` are not read,
+    window.  A text of any length is parsed whole, by one task, which holds it and its
+    factors; its runs arrive sorted behind it, each with at most a block of words.  Other columns of ``docs`` are not read,
     whatever their names.  An empty table gives no rows.
     ``bucket_bytes`` is the input that one bucket of the index stands for.
     """
@@ -480,26 +559,36 @@ def substring_dedup(
     found = index_runs(rows, input_bytes(docs, text_col), window, gram, bucket_bytes)
     found = found.groupBy("doc", "same").agg(F.collect_list(F.struct(*RUN.names[2:])).alias("runs"))
     asks = stage(found.mapInArrow(_asks(window), f"{RUNS}, want int"), "asks")
+    repeats = stage(rows.groupBy("id", "same").count().filter("count > 1"), "repeats")
 
     ref = ["ref_doc", "ref_same"]
     sources = stage(asks.groupBy(*ref).count(), "sources")
     heavy = heavy_keys(sources, ref)
-    asks = salted(asks, heavy, ref, ["doc", "same", "start"])
-    asked = asks.groupBy(*ref, "salt").agg(F.collect_list(F.struct("doc", "same", "start", "n", "ref_start", "want")).alias("asks"))
     texts = rows.select(F.col("id").alias("ref_doc"), F.col("same").alias("ref_same"), "text")
     wanted = maybe_in(sources.select("ref_doc").distinct(), "ref_doc")
-    texts = for_each_salt((texts if wanted is None else texts.filter(wanted)).dropDuplicates(ref), heavy, ref)
-    pieces = texts.join(asked, [*ref, "salt"]).mapInArrow(words.releasing(_answer), f"{RUNS}, piece binary")
-    runs = pieces.groupBy(F.col("doc").alias("id"), "same").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start", "piece"))).alias("runs")
-    )
+    texts = texts if wanted is None else texts.filter(wanted)
+    texts = for_each_salt(texts if repeats.isEmpty() else texts.dropDuplicates(ref), heavy, ref)
+    texts = texts.withColumn("ref_start", F.lit(-1))
+    asked = texts.unionByName(salted(asks, heavy, ref, ["doc", "same", "start"]), allowMissingColumns=True)
+    asked = _nothing(asked, "doc", "same", "start", "n", "want")
+    order = [*ref, "salt"]
+    pieces = asked.repartition(*order).sortWithinPartitions(*order, "ref_start").mapInArrow(words.releasing(_answer), f"{RUNS}, piece binary")
 
     copying = sent_filter(stage(asks.select(F.col("doc").alias("id")).distinct(), "copying"), "id")
     some = rows if copying is None else rows.filter(hit_by(copying, "id"))
-    some = some.join(runs, ["id", "same"], "left").select("id", "text", "runs")
-    out = some.mapInArrow(_apply(window), _OUT)
+    heavy = heavy_keys(repeats, ["id", "same"])
+    some = salted(some.withColumn("row", F.monotonically_increasing_id()), heavy, ["id", "same"], ["row"])
+    some = some.drop("row").withColumn("start", F.lit(-1))
+    pieces = for_each_salt(pieces.withColumnRenamed("doc", "id"), heavy, ["id", "same"])
+    some = _nothing(some.unionByName(pieces, allowMissingColumns=True), "n", "ref_doc", "ref_start")
+    order = ["id", "same", "salt"]
+    out = (
+        some.repartition(*order)
+        .sortWithinPartitions(*order, "start", "n", "ref_doc", "ref_same", "ref_start")
+        .select(*order, "start", "n", "ref_doc", "ref_start", "piece", "text")
+        .mapInArrow(_apply(window), _OUT)
+    )
     if copying is not None:  # the other texts stay where they are
-        none = F.lit(None).cast(some.schema["runs"].dataType).alias("runs")
-        out = out.unionByName(rows.select("id", "text", none, *hashes("id")).mapInArrow(_apply(window, copying), _OUT))
+        out = out.unionByName(rows.select("id", "text", *hashes("id")).mapInArrow(_whole(copying), _OUT))
     factors = F.transform("factors", lambda f: f.withField("ref_doc", id_of(f["ref_doc"])))
     return out.select(id_of(F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", factors.alias("factors"))
