@@ -18,6 +18,16 @@ def is_cjk(text: Column) -> Column:
     return text.rlike(CJK)
 
 
+def trim_space(text: Column) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.regexp_replace(text, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z", "")
+
+
+def is_word_char(char: Column) -> Column:
+    """Starts with an ASCII letter, digit or underscore."""
+    return char.rlike("^[0-9A-Za-z_]")
+
+
 def first_filled(*columns: Column) -> Column:
     """The first column that is neither null nor empty; else the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
@@ -43,6 +53,19 @@ def date_text(text: Column) -> Column:
     return F.when(F.octet_length(text) <= 200, F.regexp_extract(text, pattern, 1)).otherwise("")
 
 
+#: Months as a byline spells them.
+MONTHS = "January February March April May June July August September October November December".split()
+
+
+def posted_date(text: Column) -> Column:
+    """The day of the first ``Posted May 3, 2020`` as 2020-05-03; else empty."""
+    day = F.regexp_extract(text, r"(?i)Posted\s+(\w+\s+\d{1,2},\s+\d{4})", 1)
+    parts = rf"^({'|'.join(MONTHS)}) \s*(\d{{1,2}}), \s*(\d{{4}})"
+    month, date, year = (F.regexp_extract(day, parts, i) for i in (1, 2, 3))
+    number = F.array_position(F.array(*map(F.lit, MONTHS)), month).cast("string")
+    return F.when(month == "", "").otherwise(F.concat_ws("-", year, F.lpad(number, 2, "0"), F.lpad(date, 2, "0")))
+
+
 def truncate(text: Column, most: int) -> Column:
     """At most ``most`` code points, then an ellipsis."""
     return F.when(F.char_length(text) > most, F.concat(F.substr(text, F.lit(1), F.lit(most)), F.lit("..."))).otherwise(text)

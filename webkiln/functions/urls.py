@@ -70,5 +70,45 @@ def canonical(url: Column) -> Column:
     return F.regexp_replace(plain, r"(\.html)?/*$", "")
 
 
+#: What counts readers, by its url.
+TRACKING = [r"pixel\.gif", r"1x1\.gif", r"tracking\.gif", "analytics", "metrics", "beacon"]
+
+
 def is_tracking_pixel(src: Column) -> Column:
-    return src.rlike(r"(?i)(pixel|tracking|beacon|analytics|1x1|spacer)")
+    return src.rlike(f"(?i)({'|'.join(TRACKING)})")
+
+
+def citation_domain(url: Column) -> Column:
+    """The host as it is written, without port, brackets and a leading ``www.``; empty without a host.
+
+    A url that cannot be read (control characters, broken escapes outside the query) stays as it is.
+    """
+    found = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    broken = url.rlike(r"[\x00-\x1F\x7F]|^[^?#]*%(?![0-9A-Fa-f]{2})|^[^#]*#.*%(?![0-9A-Fa-f]{2})")
+    return F.when(broken, url).otherwise(F.regexp_replace(F.regexp_replace(found, r"^\[|\]$", ""), r"^www\.", ""))
+
+
+def fragment_text(url: Column) -> Column:
+    """What ``#:~:text=`` quotes, as `` — start...`` if it names start and end, else `` — text``; empty without it."""
+    quoted = F.regexp_extract(url, r"(?s)^.*?#:~:text=(.*)\z", 1)
+    quoted = F.replace(F.coalesce(F.try_url_decode(quoted), F.lit("")), F.lit("%2C"), F.lit(","))
+    start = F.trim(F.substring_index(quoted, ",", 1))
+    ends = F.when(F.contains(quoted, F.lit(",")), F.concat(start, F.lit("..."))).otherwise(F.trim(quoted))
+    return F.when(url.isNotNull(), F.when(start == "", "").otherwise(F.concat(F.lit(" — "), ends)))
+
+
+def unwrap_redirect(href: Column) -> Column:
+    """The url in the query's first ``u``, decoded twice; without one, or where that fails, ``href`` itself."""
+    pairs = F.split(F.regexp_extract(href, r"^[^?#]*\?([^#]*)", 1), "&")
+    named = F.filter(pairs, lambda p: p.rlike(r"^u(=[^;]*)?\z") & F.try_url_decode(p).isNotNull())
+    value = F.try_url_decode(F.regexp_replace(F.get(named, F.lit(0)), "^u=?", ""))
+    return F.coalesce(F.try_url_decode(F.nullif(value, F.lit(""))), href)
+
+
+def large_image(src: Column) -> Column:
+    """The url of an image service that takes ``name`` as the size, asking for the large one."""
+    return (
+        F.when(F.contains(src, F.lit("&name=")), F.regexp_replace(src, r"&name=\w+", "&name=large"))
+        .when(F.contains(src, F.lit("?")), F.concat(src, F.lit("&name=large")))
+        .otherwise(F.concat(src, F.lit("?name=large")))
+    )
