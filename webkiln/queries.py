@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webkiln.functions import text, urls
+from webkiln.functions import media, text, urls
 from webkiln.html.shred import shred
 from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render
 from webkiln.plans import extract as plan
@@ -112,6 +112,31 @@ def url_parts(spark, sf_dir):
     )
 
 
+def url_marks(spark, sf_dir):
+    url = F.col("url")
+    return _pages(spark, sf_dir).select(
+        "page_id",
+        urls.citation_domain(url).alias("citation_domain"),
+        urls.fragment_text(url).alias("fragment_text"),
+        urls.unwrap_redirect(url).alias("target"),
+        urls.large_image(url).alias("large_image"),
+        urls.is_tracking_pixel(url).alias("tracking"),
+        media.is_image_url(url).alias("image"),
+    )
+
+
+def text_marks(spark, sf_dir):
+    body = F.col("text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id",
+        F.sha2(media.tidy_code(body), 256).alias("code_sha256"),
+        media.looks_like_latex(body).alias("latex"),
+        media.is_caption(body).alias("caption"),
+        text.is_word_char(body).alias("word_char"),
+        F.size(media.class_tokens(body)).cast("long").alias("n_tokens"),
+    )
+
+
 def url_dedupe(spark, sf_dir):
     pages = _pages(spark, sf_dir).select("page_id", urls.canonical(F.col("url")).alias("canonical"))
     return pages.groupBy("canonical").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
@@ -176,7 +201,7 @@ def longest_by_host(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, article_text, content_patterns, main_content, candidate_rank, best_block,
-        removal_counts, low_score_blocks, page_links, extractor_dispatch, url_parts, url_dedupe, host_rollup, host_sets, document_words, language_words,
+        removal_counts, low_score_blocks, page_links, extractor_dispatch, url_parts, url_marks, text_marks, url_dedupe, host_rollup, host_sets, document_words, language_words,
         conversation_threads, event_properties, event_windows, event_sessions, longest_by_host,
     ]
     return {f.__name__: f for f in found}
@@ -226,6 +251,24 @@ SELECT page_id, link, replace(href, '&amp;', '&') AS href,
   regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || replace(href, '&amp;', '&') AS target FROM l""",
         "extractor_dispatch": "SELECT page_id, url, 'generic' AS extractor FROM pages",
         "url_parts": rf"SELECT page_id, {_DOMAIN} AS domain, {_CANONICAL} AS canonical, false AS dangerous FROM pages",
+        "url_marks": r"""
+SELECT page_id, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), '^www\.', '') AS citation_domain,
+  CASE WHEN position('#:~:text=' IN url) > 0 THEN ' — ' || split_part(url, '#:~:text=', 2) ELSE '' END AS fragment_text,
+  coalesce(nullif(regexp_extract(url, '[?&]u=([^&#;]*)', 1), ''), url) AS target,
+  CASE WHEN contains(url, '&name=') THEN regexp_replace(url, '&name=\w+', '&name=large', 'g')
+    WHEN contains(url, '?') THEN url || '&name=large' ELSE url || '?name=large' END AS large_image,
+  regexp_matches(lower(url), '(pixel|1x1|tracking)\.gif|analytics|metrics|beacon') AS tracking,
+  regexp_matches(url, '(?i:\.(jpg|jpeg|png|webp|gif|avif)(\?.*)?$)|image|img|photo') AND NOT starts_with(url, 'data:') AS image
+FROM pages""",
+        "text_marks": r"""
+WITH t AS (SELECT doc_id, text, regexp_replace(text, '^[\s\x0b\x{85}\pZ]+|[\s\x0b\x{85}\pZ]+$', '', 'g') AS plain FROM documents)
+SELECT doc_id, sha256(regexp_replace(replace(replace(plain, chr(9), '    '), chr(160), ' '), '\n{3,}', chr(10) || chr(10), 'g')) AS code_sha256,
+  regexp_matches(text, '(?-s)\$.*\$|\\\w|\{.*\}|\^|_') AS latex,
+  strlen(plain) >= 10 AND NOT regexp_matches(plain,
+    '^https?://|(?i:^[\w\-./\\]+\.(jpg|jpeg|png|gif|webp|svg)$)|^\d+$|^\d{4}-\d{2}-\d{2}$') AS caption,
+  regexp_matches(text, '^[0-9A-Za-z_]') AS word_char,
+  CASE WHEN plain = '' THEN 0 ELSE 1 + len(regexp_extract_all(plain, '[\s\x0b\x{85}\pZ]+')) END AS n_tokens
+FROM t""",
         "url_dedupe": rf"SELECT {_CANONICAL} AS canonical, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1",
         "host_rollup": rf"""
 WITH p AS (SELECT {_DOMAIN} AS domain, regexp_extract(url, '^([a-z]+):', 1) AS scheme, strlen(html) AS bytes FROM pages)
