@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from webkiln.functions import media, text, urls
+from webkiln.functions import jsonld, media, text, urls
 
 SMALL, LARGE = "A" * 132, "A" * 133
 
@@ -104,3 +104,33 @@ def test_decorative(spark):
     rows = spark.createDataFrame(cases, "width string, height string, classes string, src string, want boolean")
     got = rows.select(media.is_decorative(*(F.col(c) for c in ("width", "height", "classes", "src"))).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+LD = """[{"@type":"Article","publisher":[{"name":"One"},{"name":"Two"}],"author":{"name":"Ann"},"keywords":["a",3,"b"],"rating":4,
+ "image":{"url":"/i.png"},"tags":[["x"],"y"],"isPartOf":{"@id":"#site"}},{"@type":["Article","Thing"],"author":{"name":"Bob"}}]"""
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [
+        ("publisher.name", "One, Two"),
+        ("publisher", "One, Two"),
+        ("author.name", "Ann, Bob"),
+        ("author", "Ann, Bob"),
+        ("keywords", "a, 3, b"),
+        ("keywords.[2]", "b"),
+        ("rating", ""),
+        ("image.url", "/i.png"),
+        ("image", ""),
+        ("isPartOf.name", ""),
+        ("none.at.all", ""),
+    ],
+)
+def test_schema_path(spark, path, want):
+    found = jsonld.items(F.lit(LD))
+    assert spark.range(1).select(jsonld.joined(found, path)).first()[0] == want
+
+
+def test_schema_types(spark):
+    assert spark.range(1).select(jsonld.n_types(jsonld.items(F.lit(LD)))).first()[0] == 2
+    assert spark.range(1).select(jsonld.joined(F.lit(None).cast("array<variant>"), "a")).first()[0] == ""

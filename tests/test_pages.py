@@ -176,11 +176,11 @@ def test_text_functions(spark):
         text.clean_title(F.lit("A title | Si.te"), F.lit("Si.te")).alias("b"),
         text.date_text(F.lit("Posted on 3 May 2021 by x")).alias("c"),
         text.tidy_markdown(F.lit("# T\n\nx [](u) y!![a](b)\n\n\n\nz\n")).alias("d"),
-        jsonld.first_value(jsonld.items(F.lit('[{"a":{"name":"n"}},{"a":"m","b":["x",{"name":"y"}]}]')), "a").alias("e"),
-        jsonld.first_value(jsonld.items(F.lit('[{"b":["x",{"name":"y"}]}]')), "b").alias("f"),
+        jsonld.joined(jsonld.items(F.lit('[{"a":{"name":"n"}},{"a":"m","b":["x",{"name":"y"}]}]')), "a").alias("e"),
+        jsonld.joined(jsonld.items(F.lit('[{"b":["x",{"name":"y"}]}]')), "b").alias("f"),
         jsonld.items(F.lit("not json")).isNull().alias("g"),
     ).first()
-    assert tuple(one) == ("A title", "A title", "3 May 2021", "x  y! ![a](b)\n\nz", "n", "x, y", True)
+    assert tuple(one) == ("A title", "A title", "3 May 2021", "x  y! ![a](b)\n\nz", "n, m", "x, y", True)
 
 
 @pytest.mark.parametrize(

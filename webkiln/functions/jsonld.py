@@ -32,18 +32,46 @@ def is_valid(item: Column) -> Column:
     return (kind != "") | id_.contains("schema.org") | id_.contains("http") | (held >= 2)
 
 
-def value(item: Column, path: str) -> Column:
-    """A dotted path as text: a string, an object's name, or a list of either joined by commas."""
+def _unlisted(found: Column) -> Column:
+    """Variants with the entries of lists in their lists' places."""
+    return F.flatten(F.transform(found, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
 
-    def plain(v: Column) -> Column:
-        return F.coalesce(F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$", "string"))
 
-    at = "$." + path
-    listed = F.array_join(F.transform(F.try_variant_get(item, at, "array<variant>"), plain), ", ")
-    return F.coalesce(F.nullif(listed, F.lit("")), plain(F.try_variant_get(item, at, "variant")))
+def _get(found: Column, at: str) -> Column:
+    """What stands at a path of each variant, where something does."""
+    return F.filter(F.transform(found, lambda v: F.try_variant_get(v, at, "variant")), lambda v: v.isNotNull())
 
 
-def first_value(found: Column, path: str) -> Column:
-    """The first item's value that is filled."""
-    values = F.transform(found, lambda i: value(i, path))
-    return F.coalesce(F.get(F.filter(values, lambda v: F.coalesce(v, F.lit("")) != ""), 0), F.lit(""))
+def values(found: Column, path: str) -> Column:
+    """All filled texts at a dotted path of the items: strings, names of objects, and numbers in lists.
+
+    Lists may stand anywhere on the path, ``[n]`` takes the n-th entry of one.  A lone number
+    or truth value and an object without a name give nothing.
+    """
+    for step in path.split("."):
+        if step.startswith("["):
+            found = _get(found, f"${step}")
+        else:
+            found = _get(_unlisted(found), f'$["{step}"]')
+
+    def text(v: Column, listed: Column) -> Column:
+        kind, name = F.schema_of_variant(v), F.try_variant_get(v, "$.name", "variant")
+        plain = (kind == "STRING") | (listed & kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"))
+        named = F.when(F.schema_of_variant(name) == "STRING", name)
+        return F.try_variant_get(F.when(plain, v).otherwise(named), "$", "string")
+
+    def texts(v: Column) -> Column:
+        entries = F.try_variant_get(v, "$", "array<variant>")
+        return F.transform(F.coalesce(entries, F.array(v)), lambda e: text(e, entries.isNotNull()))
+
+    return F.filter(F.flatten(F.transform(found, texts)), lambda t: F.coalesce(t, F.lit("")) != "")
+
+
+def joined(found: Column, path: str) -> Column:
+    """The texts at a path of all items, joined by commas; empty where there are none."""
+    return F.coalesce(F.array_join(values(found, path), ", "), F.lit(""))
+
+
+def n_types(found: Column) -> Column:
+    """How many different types the items name."""
+    return F.size(F.array_distinct(values(found, "@type"))).cast("int")

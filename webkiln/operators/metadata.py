@@ -11,6 +11,12 @@ FIELDS = (
     "title", "description", "domain", "favicon", "image", "language",
     "published", "author", "site", "schema_org", "word_count",
 )
+#: What the chains read from JSON-LD.
+SCHEMA_PATHS = (
+    "url", "mainEntityOfPage.url", "mainEntity.url", "WebSite.url", "publisher.name", "WebSite.name",
+    "sourceOrganization.name", "copyrightHolder.name", "isPartOf.name", "headline", "author.name", "description",
+    "image.url", "image", "inLanguage", "datePublished",
+)
 
 
 def meta_tags(nodes: DataFrame) -> DataFrame:
@@ -90,9 +96,11 @@ def page_metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     ld = schema_items(nodes).groupBy("page_id").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pre", F.transform("items", lambda i: F.to_json(i)).alias("j")))), lambda s: s["j"])).alias("ld")
     )
+    items = F.col("items")  # read before the join, so that each path is planned once however many chains name it
+    ld = ld.withColumn("items", F.transform("ld", lambda j: F.try_parse_json(j)))
+    ld = ld.select("page_id", "ld", F.struct(*[jsonld.joined(items, path).alias(path) for path in SCHEMA_PATHS]).alias("schema"))
     rows = pages.select("page_id", "url").join(heads, "page_id").join(ld, "page_id", "left").join(_byline(nodes, heads), "page_id", "left")
-    rows = rows.withColumn("items", F.transform("ld", lambda j: F.try_parse_json(j)))
-    schema = lambda path: jsonld.first_value(F.col("items"), path)
+    schema = lambda path: F.coalesce(F.col("schema")[path], F.lit(""))
     name, prop = (lambda n: _meta("name", n)), (lambda n: _meta("property", n))
     last_first = lambda a: F.regexp_replace(a, r"^\s*([^,]+),\s*(.+?)\s*$", "$2 $1")
     cited = F.transform(
@@ -100,19 +108,20 @@ def page_metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     document_url = text.first_filled(
         F.col("url"), prop("og:url"), prop("twitter:url"), schema("url"), schema("mainEntityOfPage.url"), schema("mainEntity.url"),
-        F.col("canonical"), F.col("base"),
+        schema("WebSite.url"), F.col("canonical"), F.col("base"),
     )
     site = text.first_filled(
-        schema("publisher.name"), prop("og:site_name"), schema("sourceOrganization.name"), schema("copyrightHolder.name"),
-        schema("isPartOf.name"), name("application-name"),
+        schema("publisher.name"), prop("og:site_name"), schema("WebSite.name"), schema("sourceOrganization.name"), name("copyright"),
+        schema("copyrightHolder.name"), schema("isPartOf.name"), name("application-name"),
     )
     title = text.first_filled(
         prop("og:title"), name("twitter:title"), schema("headline"), name("title"), name("sailthru.title"), F.trim("title_text")
     )
     author = text.first_filled(
         F.array_join(F.array_distinct(cited), ", "), name("sailthru.author"), prop("author"), name("author"), name("byl"),
-        name("authorlist"), names(schema("author")), names(F.coalesce("byline", F.lit(""))), name("copyright"),
-        schema("copyrightHolder.name"), prop("og:site_name"), schema("publisher.name"), name("twitter:creator"), name("application-name"),
+        name("authorlist"), names(schema("author.name")), names(F.coalesce("byline", F.lit(""))), name("copyright"),
+        schema("copyrightHolder.name"), prop("og:site_name"), schema("publisher.name"),
+        schema("sourceOrganization.name"), schema("isPartOf.name"), name("twitter:creator"), name("application-name"),
     )
     rows = rows.select("*", document_url.alias("document_url"), site.alias("site"), title.alias("title"), author.alias("author"))
     document_url, site, title, author = (F.col(c) for c in ("document_url", "site", "title", "author"))  # each chain is written once
