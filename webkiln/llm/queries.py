@@ -20,6 +20,7 @@ from webkiln.llm import (
     minhash_dedup,
     packing,
     quality,
+    sentence_pieces,
     substring_dedup,
     url_filter,
 )
@@ -123,6 +124,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentence_pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), model)
+    out = sentence_pieces.decode_documents(encoded, model)
+    decimal = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(decimal).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -135,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,
+        "op11_sentencepiece": op11_sentencepiece,
     }
 
 
