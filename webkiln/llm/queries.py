@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webkiln.llm import (
     chat_format,
+    conversation_repair,
     conversation_trie,
     decontaminate,
     exact_dedup,
@@ -140,6 +141,12 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversation_repair.repair_conversations(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+    digest = sha256(conversation_repair.repaired_text(F.col("repaired"))).alias("repaired_sha256")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"), head, F.col("conv") - F.col("conv") % 100)
@@ -158,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,
         "op11_sentencepiece": op11_sentencepiece,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_conversation_trie": op13_conversation_trie,
     }
 
@@ -173,6 +181,69 @@ def _crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda a, v: {fold}), 4294967295)"
 
 
+def _repair_sql() -> str:
+    """Forward dynamic programming over the rows; a state's value is its cost and letters, then its repaired rows."""
+
+    def step(state: str, cost: str, letter: str, line: str | None) -> str:
+        key = f"printf('%09d', CAST(substr({state}.k, 1, 9) AS INTEGER) + {cost}) || substr({state}.k, 10) || '{letter}'"
+        rows = f"list_append({state}.r, {line})" if line else f"{state}.r"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'k': {key}, 'r': {rows}}} END"
+
+    def least(*options: str) -> str:
+        return f"least({', '.join(options)})"
+
+    must_go, extra = "fault IN ('b', 'd')", "(CASE WHEN fault = 't' THEN 1 ELSE 0 END)"
+
+    def moved(to: int, delete: str, forced: list[str], role: str, keeps: list[tuple[str, str]]) -> str:
+        kept = [f"CASE WHEN letter = '{i}' AND NOT {must_go} THEN {step(s, extra, 'K', 'role || chr(58) || text')} END" for s, i in keeps]
+        changed = [f"CASE WHEN NOT {must_go} THEN {step(s, '2 + ' + extra, 'R', chr(39) + role + ':' + chr(39) + ' || text')} END" for s in forced]
+        return f"{least(step(delete, '3', 'D', None), *kept, *changed)} AS m{to}"
+
+    after = [
+        f"{step('s0', '3', 'D', None)} AS m0",
+        moved(1, "s1", [], "", [("s0", "s")]),
+        moved(2, "s2", ["s0", "s1", "s3"], "user", [("s0", "u"), ("s1", "u"), ("s3", "u")]),
+        moved(3, "s3", ["s2"], "assistant", [("s2", "a")]),
+    ]
+    user = least("m2", *[step(m, "2", "I", "'user:'") for m in ("m0", "m1", "m3")])
+    assistant = least("m3", step("n2", "2", "I", "'assistant:'"))
+    nothing = "CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR[]))"
+    begin = f"{{'k': '000000000', 'r': CAST([] AS VARCHAR[])}} AS m0, {nothing} AS m1, {nothing} AS m2, {nothing} AS m3"
+
+    def closed(states: str) -> str:
+        return f"SELECT *, {assistant} AS n3 FROM (SELECT *, {user} AS n2 FROM ({states}))"
+
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32_sql("conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations WHERE conv_id IS NOT NULL),
+d AS (
+  SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+x AS (
+  SELECT *, substr(role, 1, 1) AS letter, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS seen,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS kept FROM o),
+y AS (
+  SELECT *, CASE WHEN kept = '' THEN 'b' WHEN seen THEN 'd' WHEN right(kept, 1) IN ('.', '!', '?') THEN '.' ELSE 't' END AS fault,
+    lag(letter) OVER (PARTITION BY c ORDER BY i) || letter AS pair FROM x),
+f AS (
+  SELECT c, 0 AS i, m0 AS s0, m1 AS s1, n2 AS s2, n3 AS s3 FROM ({closed(f"SELECT DISTINCT c, {begin} FROM t")})
+  UNION ALL
+  SELECT c, i, m0, m1, n2, n3 FROM ({closed(f"SELECT f.c, y.i, {', '.join(after)} FROM f JOIN y ON y.c = f.c AND y.i = f.i + 1")})),
+e AS (SELECT c, least(s0, s3) AS best FROM f QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1),
+g AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM y GROUP BY c)
+SELECT c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(substr(best.k, 1, 9) AS BIGINT) AS cost,
+  substr(best.k, 10) AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
+FROM e LEFT JOIN g USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_format": f"""
@@ -229,6 +300,7 @@ j AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id <> g.keeper AS gone FROM k LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+        "op12_conversation_repair": _repair_sql(),
         "op13_conversation_trie": rf"""
 WITH t AS (
   SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
