@@ -12,24 +12,14 @@ from pyspark.sql import functions as F
 from webkiln.functions import urls
 from webkiln.functions.text import tidy_markdown
 from webkiln.html.shred import VOID
-from webkiln.operators.removals import remove
-
-#: Attributes that survive.
-ALLOWED = (
-    "alt", "allow", "allowfullscreen", "aria-label", "checked", "colspan", "controls", "data-latex", "data-src", "data-srcset",
-    "data-lang", "dir", "display", "frameborder", "headers", "height", "href", "kind", "label", "lang", "role", "rowspan", "src",
-    "srclang", "srcset", "start", "title", "type", "width", "encoding", "mathvariant", "xmlns", "viewbox", "d", "fill", "stroke",
-)
-UNSAFE_TAGS = ("object", "embed", "applet", "frame", "frameset")
-
 
 def escape_text(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def safe_attrs(attrs: Column, url: Column) -> Column:
-    """Allowed attributes without handlers and dangerous urls; links are resolved against ``url``."""
-    kept = F.map_filter(attrs, lambda k, v: k.isin(*ALLOWED) & ~(k.isin("href", "src", "action") & urls.is_dangerous(v)))
+    """Attributes without handlers and dangerous urls; links are resolved against ``url``."""
+    kept = F.map_filter(attrs, lambda k, v: ~k.startswith("on") & ~(k.isin("href", "src", "action") & urls.is_dangerous(v)))
     return F.transform_values(
         kept,
         lambda k, v: F.when(k.isin("href", "src", "poster", "data-src", "action"), urls.resolve(v, url))
@@ -38,20 +28,6 @@ def safe_attrs(attrs: Column, url: Column) -> Column:
     )
 
 
-def standardise(nodes: DataFrame, titles: DataFrame) -> DataFrame:
-    """h1 becomes h2; the first h2 that says the page's title, comments and unsafe tags leave."""
-    title = titles.select("page_id", F.lower(F.trim("title")).alias("__title"))
-    rows = nodes.filter("kind <> 'comment'").join(title, "page_id", "left")
-    rows = rows.withColumn("tag", F.when(F.col("tag") == "h1", "h2").otherwise(F.col("tag")))
-    order = Window.partitionBy("page_id").orderBy("pre")
-    says = F.when((F.col("tag") == "h2") & (F.lower(F.trim(F.lead("text").over(order))) == F.col("__title")), F.col("pre"))
-    rows = rows.withColumn("__says", says)
-    first = F.min("__says").over(Window.partitionBy("page_id"))
-    unsafe = F.col("tag").isin(*UNSAFE_TAGS)
-    rows = rows.withColumn("reason", F.when((F.col("pre") == first) | F.coalesce(unsafe, F.lit(False)), F.lit("standardise")))
-    return remove(rows.drop("__title", "__says"))
-
-
 def _written(nodes: DataFrame, **marks: tuple[Column, Column]) -> DataFrame:
     """(page_id, and a column for each of ``marks``): (opening, closing) marks in document order.
 
@@ -60,10 +36,8 @@ def _written(nodes: DataFrame, **marks: tuple[Column, Column]) -> DataFrame:
     """
     start = [opening.alias(name) for name, (opening, _) in marks.items()]
     end = [closing.alias(name) for name, (_, closing) in marks.items()]
-    place = lambda at, side, depth: [at.alias("at"), F.lit(side).alias("side"), depth.alias("depth")]
-    both = F.array(
-        F.struct(*place(F.col("pre"), 0, F.lit(0)), *start), F.struct(*place(F.col("last"), 1, -F.col("depth")), *end)
-    )
+    place = lambda at, side, inner: [at.alias("at"), F.lit(side).alias("side"), inner.alias("inner")]
+    both = F.array(F.struct(*place(F.col("pre"), 0, F.lit(0)), *start), F.struct(*place(F.col("last"), 1, -F.col("pre")), *end))
     rows = nodes.select("page_id", F.explode(both).alias("m")).filter(" OR ".join(f"m.{name} <> ''" for name in marks))
     order = F.sort_array(F.collect_list("m"))
     rows = rows.groupBy("page_id").agg(order.alias("ms"))

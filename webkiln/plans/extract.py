@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webkiln.functions.text import count_words
 from webkiln.html.shred import shred
-from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render
+from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render, standardise
 from webkiln.sources.shared import materialise
 
 
@@ -46,7 +46,7 @@ def cleaned(nodes: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[s
     if "patterns" in steps:
         left = materialise(left, "inside")
         left = removals.remove(patterns.mark_patterns(left, main))
-    return render.standardise(left, titles)
+    return standardise.standardise(left, titles)
 
 
 #: Fixed values: (steps to leave out, tried below so many words, must grow by this factor).
