@@ -141,12 +141,12 @@ def best_cells(nodes: DataFrame, least: float = 50.0) -> DataFrame:
     bonus = cells.groupBy("page_id", "pre").agg(F.max_by("points", "t").alias("bonus"))
     measured_ = measured(own)
     rows = scored(measured_, measured_.filter("tag = 'td'").join(bonus, ["page_id", "pre"])).filter(F.col("content_score") > least)
-    best = F.struct("pre", "last", "tag", F.lit(None).cast("int").alias("sel_idx"), F.col("content_score").alias("score"))
+    best = F.struct("pre", "last", "tag", F.lit(None).cast("int").alias("sel_idx"), F.col("content_score").alias("score"), "words")
     return rows.groupBy("page_id").agg(F.max_by(best, F.struct("content_score", -F.col("pre"))).alias("cell"))
 
 
 def main_content(nodes: DataFrame) -> DataFrame:
-    """(page_id, pre, last, tag, sel_idx, score): the node that holds the page's content.
+    """(page_id, pre, last, tag, sel_idx, score, words): the node that holds the page's content.
 
     The best-scored candidate, ties by selector and document order; unless it holds
     three articles or more, contained candidates of a better selector with more than
@@ -166,7 +166,7 @@ def main_content(nodes: DataFrame) -> DataFrame:
     rows = ranked.select("page_id", chosen.alias("best"), only_body.alias("only_body")).join(best_cells(nodes), "page_id", "left")
     instead = F.col("only_body") & F.col("cell").isNotNull()
     return rows.select(
-        "page_id", *[F.when(instead, F.col(f"cell.{c}")).otherwise(F.col(f"best.{c}")).alias(c) for c in ("pre", "last", "tag", "sel_idx", "score")]
+        "page_id", *[F.when(instead, F.col(f"cell.{c}")).otherwise(F.col(f"best.{c}")).alias(c) for c in ("pre", "last", "tag", "sel_idx", "score", "words")]
     )
 
 

@@ -130,10 +130,13 @@ def small_images(nodes: DataFrame) -> DataFrame:
 REASONS = {"hidden": hidden_victim, "exact": exact_victim, "partial": partial_victim}
 
 
-def mark_victims(
-    nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = ("small", "hidden", "low", "exact", "partial"), low: DataFrame | None = None
-) -> DataFrame:
-    """The node table with ``reason``: why the element itself is to go, else null.
+#: Removal steps in the order in which they name a victim.
+STEPS = ("small", "hidden", "low", "exact", "partial")
+NAMES = {"small": "small_image", "low": "low_score"}
+
+
+def mark_steps(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS, low: DataFrame | None = None) -> DataFrame:
+    """The node table with a boolean column per step: whether the element itself is one of the step's victims.
 
     ``low`` are the low-scoring blocks where they are at hand already.
 
@@ -141,32 +144,38 @@ def mark_victims(
     what stands in pre or code from the exact and partial ones.
     """
     order = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("page_id").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
     held = main.select("page_id", F.col("pre").alias("main_pre"), F.col("last").alias("main_last"))
     rows = nodes.join(held, "page_id", "left")
     code_end = F.max(F.when(F.col("tag").isin("pre", "code"), F.col("last"))).over(order)
-    next_p = F.min(F.when(F.col("tag") == "p", F.col("pre"))).over(
-        Window.partitionBy("page_id").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
-    )
-    rows = rows.withColumn("has_p", F.coalesce(next_p <= F.col("last"), F.lit(False)))
-    rows = rows.withColumn("in_code", F.coalesce(code_end >= F.col("pre"), F.lit(False)) | F.col("tag").isin("pre", "code"))
+    next_p = F.min(F.when(F.col("tag") == "p", F.col("pre"))).over(back)
+    rows = rows.withColumns({
+        "in_code": F.coalesce(code_end >= F.col("pre"), F.lit(False)) | F.coalesce(F.col("tag").isin("pre", "code"), F.lit(False)),
+        "has_p": F.coalesce(next_p <= F.col("last"), F.lit(False)),
+    })
     holds = F.coalesce((F.col("pre") <= F.col("main_pre")) & (F.col("last") >= F.col("main_last")), F.lit(False))
-    reason = F.lit(None).cast("string")
     if "small" in steps:
         keys = small_images(nodes).withColumn("small", F.lit(True))
         rows = rows.withColumn("key", F.when(F.col("tag").isin("img", "svg"), image_key())).join(keys, ["page_id", "key"], "left")
-        reason = F.coalesce(reason, F.when(F.col("small"), F.lit("small_image")))
     if "low" in steps:
         low = low_blocks(nodes) if low is None else low
         rows = rows.join(low.withColumn("low", F.lit(True)), ["page_id", "pre"], "left")
-    element = F.col("kind") == "element"
-    for step in ("hidden", "low", "exact", "partial"):
-        if step == "low" and step in steps:
-            unlikely = F.col("low") & ~holds & ~F.col("in_code")
-            reason = F.coalesce(reason, F.when(F.coalesce(unlikely, F.lit(False)), F.lit("low_score")))
-        elif step in steps:
-            free = F.lit(True) if step == "hidden" else ~holds & ~F.col("in_code")
-            reason = F.coalesce(reason, F.when(element & free & F.coalesce(REASONS[step](), F.lit(False)), F.lit(step)))
-    return rows.withColumn("reason", reason).select(*nodes.columns, "reason")
+    tests = {"small": lambda: F.col("small"), "low": lambda: F.col("low"), **REASONS}
+    element, free = F.col("kind") == "element", ~holds & ~F.col("in_code")
+    allowed = {"small": F.lit(True), "hidden": element, "low": free, "exact": element & free, "partial": element & free}
+    found = [F.coalesce(allowed[step] & tests[step](), F.lit(False)).alias(f"is_{step}") for step in STEPS if step in steps]
+    return rows.select(*nodes.columns, *found)
+
+
+def reason(steps: tuple[str, ...], unless: dict[str, Column] | None = None) -> Column:
+    """The first step that found the element, else null; ``unless`` says where a step does not count."""
+    unless = unless or {}
+    return F.coalesce(*[F.when(F.col(f"is_{s}") & ~unless.get(s, F.lit(False)), F.lit(NAMES.get(s, s))) for s in STEPS if s in steps], F.lit(None).cast("string"))
+
+
+def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS, low: DataFrame | None = None) -> DataFrame:
+    """The node table with ``reason``: why the element itself is to go, else null."""
+    return mark_steps(nodes, main, steps, low).select(*nodes.columns, reason(steps).alias("reason"))
 
 
 def remove(marked: DataFrame) -> DataFrame:

@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from webkiln.functions.text import count_words
 from webkiln.html.shred import shred
-from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render, standardise
+from webkiln.operators import content, dispatch, metadata, patterns, removals, render, standardise
 from webkiln.sources.shared import materialise
 
 
 @dataclass(frozen=True)
 class Options:
-    """What a plan does; a step that is None stays at its default, which is on but for content patterns.
-
-    Content patterns cost as much as all other removals together.
-    """
+    """What a plan does; a step that is None stays at its default, which is on.  ``debug`` keeps structure and debugging attributes."""
 
     markdown: bool = False
     remove_small_images: bool | None = None
@@ -26,7 +23,8 @@ class Options:
     remove_exact: bool | None = None
     remove_partial: bool | None = None
     remove_low_scoring: bool | None = None
-    remove_content_patterns: bool = False
+    remove_content_patterns: bool | None = None
+    debug: bool = False
 
     def steps(self) -> tuple[str, ...]:
         flags = {"small": self.remove_small_images, "hidden": self.remove_hidden, "low": self.remove_low_scoring, "exact": self.remove_exact, "partial": self.remove_partial, "patterns": self.remove_content_patterns}
@@ -39,40 +37,78 @@ def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, materialise(content.main_content(nodes), "main"), materialise(metadata.page_metadata(pages, nodes), "metadata")
 
 
-def cleaned(nodes: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[str, ...], low: DataFrame | None = None) -> DataFrame:
-    """The main content's nodes after removal and standardisation."""
-    left = removals.remove(removals.mark_victims(nodes, main, steps, low))
+def cleaned(marked: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[str, ...], debug: bool = False, tries: DataFrame | None = None) -> DataFrame:
+    """The main content's nodes after removal and standardisation.
+
+    ``marked`` are the nodes with their marks per step.  With ``tries`` (page_id, rung, try_id) every page is cleaned
+    once for each of its rungs, which leave steps out; ``try_id`` is then the id of the page.
+    """
+    unless = None
+    if tries is not None:
+        unless = {s: F.col("rung").isin(*[r for r, (without, _, _) in enumerate(LADDER, 1) if s in without]) for s in steps}
+        marked, main, titles = (x.join(tries, "page_id").withColumn("page_id", F.col("try_id")).drop("try_id") for x in (marked, main, titles))
+    kept = [c for c in marked.columns if not c.startswith("is_")]
+    left = removals.remove(marked.select(*kept, removals.reason(steps, unless).alias("reason")))
     left = removals.subtree(left, main)
     if "patterns" in steps:
         left = materialise(left, "inside")
-        left = removals.remove(patterns.mark_patterns(left, main))
-    return standardise.standardise(left, titles)
+        left = patterns.mark_patterns(left, main)
+        if tries is not None:
+            left = left.withColumn("reason", F.when(~unless["patterns"], F.col("reason")))
+        left = removals.remove(left)
+    return standardise.standardise(left, titles, debug)
 
 
 #: Fixed values: (steps to leave out, tried below so many words, must grow by this factor).
-LADDER = ((("partial",), 200, 1), (("hidden",), 50, 2), (("low", "partial"), 50, 1))
+LADDER = ((("partial",), 200, 1), (("hidden",), 50, 2), (("low", "partial", "patterns"), 50, 1))
+
+
+#: The first plan tries the rungs of pages that have up to so many times a rung's words before any removal.
+LIKELY = 2
+
+
+def _tries(words: DataFrame, first: bool) -> DataFrame:
+    """(page_id, rung, try_id): the rungs that pages (page_id, words) come to; the first plan has rung 0 of all."""
+    rungs = [F.when(F.col("words") < below, F.lit(rung)) for rung, (_, below, _) in enumerate(LADDER, 1)]
+    tries = words.select("page_id", F.explode(F.array_compact(F.array(*[F.lit(0)] * first, *rungs))).alias("rung"))
+    at = F.monotonically_increasing_id() * 2 + (0 if first else 1)
+    return materialise(tries.withColumn("try_id", at), "tries")
 
 
 def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: Options) -> DataFrame:
     """Cleaned nodes and the ladder step that gave them, pages with few words retried with fewer steps.
 
-    Every rung is a plan over the pages that are still short; a page takes the rung's
-    result if it has enough more words than before.
+    What a step finds does not depend on the others, so elements are marked once.  One plan cleans all pages, and those
+    with few words before any removal for each rung that they may come to as well; a second one does
+    the rungs of pages that only removal made short, if there are any.  A page then climbs the rungs by its
+    counts of words, each of which has to be enough more than the one before.
     """
-    low = materialise(blocks.low_blocks(nodes), "low") if "low" in options.steps() else None  # no rung changes them
-    best = materialise(cleaned(nodes, main, titles, options.steps(), low).withColumn("retry_step", F.lit(0)), "rung")
-    for rung, (without, below, factor) in enumerate(LADDER, 1):
-        words = render.to_text(best).select("page_id", count_words("content_text").alias("words"))
-        short = materialise(main.join(words, "page_id", "left").filter(F.coalesce("words", F.lit(0)) < below), "short")
-        steps = tuple(s for s in options.steps() if s not in without)
-        again = materialise(cleaned(nodes.join(short.select("page_id"), "page_id", "left_semi"), short, titles, steps, low), "rung")
-        more = render.to_text(again).select("page_id", count_words("content_text").alias("more"))
-        won = short.select("page_id", "words").join(more, "page_id").filter(F.col("more") > F.coalesce("words", F.lit(0)) * factor).select("page_id")
-        won = materialise(won, "won")
-        best = best.join(won, "page_id", "left_anti").unionByName(
-            again.join(won, "page_id", "left_semi").withColumn("retry_step", F.lit(rung))
-        )
-    return best
+    steps = options.steps()
+    marked = materialise(removals.mark_steps(nodes, main, steps), "marked")
+    tries = _tries(main.select("page_id", (F.col("words") / LIKELY).alias("words")), True)
+    done = materialise(cleaned(marked, main, titles, steps, options.debug, tries), "rungs")
+
+    def counted(done: DataFrame, tries: DataFrame) -> DataFrame:
+        words = render.to_text(done).select(F.col("page_id").alias("try_id"), count_words(F.trim("content_text")).alias("words"))
+        return materialise(tries.join(words, "try_id", "left").withColumn("words", F.coalesce("words", F.lit(0))), "words")
+
+    words = counted(done, tries)
+    rungs = words.groupBy("page_id").agg(F.max(F.when(F.col("rung") == 0, F.col("words"))).alias("words"), F.max("rung").alias("tried"))
+    needed = F.array_max(F.array(F.lit(0), *[F.when(F.col("words") < below, F.lit(rung)) for rung, (_, below, _) in enumerate(LADDER, 1)]))
+    late = materialise(rungs.filter(F.col("tried") < needed).select("page_id", "words"), "late")
+    if not late.isEmpty():
+        missing = _tries(late, False).join(tries.select("page_id", "rung"), ["page_id", "rung"], "left_anti")
+        missing = materialise(missing, "tries")
+        again = materialise(cleaned(marked, main, titles, steps, options.debug, missing), "rungs")
+        done, words = done.unionByName(again), words.unionByName(counted(again, missing))
+    pivot = words.groupBy("page_id").agg(*[F.max(F.when(F.col("rung") == r, F.col("words"))).alias(f"w{r}") for r in range(len(LADDER) + 1)])
+    at = F.struct(F.col("w0").alias("words"), F.lit(0).alias("rung"))
+    for rung, (_, below, factor) in enumerate(LADDER, 1):
+        better = F.coalesce((at["words"] < below) & (F.col(f"w{rung}") > at["words"] * factor), F.lit(False))
+        at = F.when(better, F.struct(F.col(f"w{rung}").alias("words"), F.lit(rung).alias("rung"))).otherwise(at)
+    won = words.select("page_id", "rung", "try_id").join(pivot.select("page_id", at["rung"].alias("rung")), ["page_id", "rung"])
+    columns = [c for c in done.columns if c != "page_id"]
+    return done.withColumnRenamed("page_id", "try_id").join(won, "try_id").select("page_id", *columns, F.col("rung").alias("retry_step"))
 
 
 def extract(
@@ -87,7 +123,8 @@ def extract(
     if ladder:
         left = with_ladder(nodes, main, about, options)
     else:
-        left = cleaned(nodes, main, about, options.steps()).withColumn("retry_step", F.lit(0))
+        marked = removals.mark_steps(nodes, main, options.steps())
+        left = cleaned(marked, main, about, options.steps(), options.debug).withColumn("retry_step", F.lit(0))
     left = materialise(left, "cleaned")
     written = render.to_all(left, pages, options.markdown)
     written = written.withColumn("word_count", count_words(F.trim("content_text"))).drop("content_text")
