@@ -98,7 +98,7 @@ def test_extract(pages):
     assert html.startswith("<article><p>First <b>bold <i>both</i></b>") and "<h1" not in html and "<h2" not in html
     assert 'href="https://www.Site.org/a/y?z=1#f"' in html and "javascript" not in html and "onclick" not in html and "<object" not in html
     assert "a  &lt; b" in html
-    assert "[a link](https://www.Site.org/a/y?z=1#f)" in md and "**bold *both" in md and "- one" in md and "    1. deep" in md
+    assert "[a link](https://www.Site.org/a/y?z=1#f)" in md and "**bold *both***" in md and "- one" in md and "\n  1. deep" in md
     assert "```\na  < b\n```" in md
     assert got[3].content == "<body>plain <b>text</b></body>" and got[3].word_count == 2
     assert got[2].word_count == 0 and got[4].word_count == 0

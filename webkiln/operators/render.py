@@ -6,12 +6,12 @@ by position writes the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webkiln.functions import urls
-from webkiln.functions.text import tidy_markdown
 from webkiln.html.shred import VOID
+from webkiln.operators import markdown
 
 def escape_text(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -28,20 +28,26 @@ def safe_attrs(attrs: Column, url: Column) -> Column:
     )
 
 
-def _written(nodes: DataFrame, **marks: tuple[Column, Column]) -> DataFrame:
+def _written(nodes: DataFrame, tokens: tuple[Column, Column] | None = None, **marks: tuple[Column, Column]) -> DataFrame:
     """(page_id, and a column for each of ``marks``): (opening, closing) marks in document order.
 
+    ``tokens`` are arrays instead of texts; they are strung together as the column ``tokens``.
+
     Starts come before ends, inner ends before outer ones.  All columns are written by
     one sort of the page's nodes.
     """
     start = [opening.alias(name) for name, (opening, _) in marks.items()]
     end = [closing.alias(name) for name, (_, closing) in marks.items()]
+    if tokens is not None:
+        start, end = [*start, tokens[0].alias("tokens")], [*end, tokens[1].alias("tokens")]
     place = lambda at, side, inner: [at.alias("at"), F.lit(side).alias("side"), inner.alias("inner")]
     both = F.array(F.struct(*place(F.col("pre"), 0, F.lit(0)), *start), F.struct(*place(F.col("last"), 1, -F.col("pre")), *end))
-    rows = nodes.select("page_id", F.explode(both).alias("m")).filter(" OR ".join(f"m.{name} <> ''" for name in marks))
+    says = [*(f"m.{name} <> ''" for name in marks), *(["size(m.tokens) > 0"] if tokens is not None else [])]
+    rows = nodes.select("page_id", F.explode(both).alias("m")).filter(" OR ".join(says))
     order = F.sort_array(F.collect_list("m"))
     rows = rows.groupBy("page_id").agg(order.alias("ms"))
-    return rows.select("page_id", *[F.array_join(F.col("ms").getField(name), "").alias(name) for name in marks])
+    flat = [F.flatten("ms.tokens").alias("tokens")] if tokens is not None else []
+    return rows.select("page_id", *[F.array_join(F.col("ms").getField(name), "").alias(name) for name in marks], *flat)
 
 
 def _text_marks() -> tuple[Column, Column]:
@@ -73,75 +79,17 @@ def to_html(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return _written(_with_url(nodes, pages), content=_html_marks())
 
 
-#: Markdown marks before and after an element.
-MARKS = {
-    **{f"h{n}": ("\n\n" + "#" * n + " ", "\n\n") for n in range(1, 7)},
-    "p": ("\n\n", "\n\n"), "div": ("\n\n", "\n\n"), "section": ("\n\n", "\n\n"), "article": ("\n\n", "\n\n"), "br": ("  \n", ""),
-    "hr": ("\n\n* * *\n\n", ""), "b": ("**", "**"), "strong": ("**", "**"), "i": ("*", "*"), "em": ("*", "*"), "del": ("~~", "~~"),
-    "mark": ("==", "=="), "code": ("`", "`"), "pre": ("\n\n```\n", "\n```\n\n"), "blockquote": ("\n\n> ", "\n\n"),
-    "ul": ("\n\n", "\n\n"), "ol": ("\n\n", "\n\n"), "td": (" | ", ""), "th": (" | ", ""), "tr": ("\n", " |"), "figcaption": ("\n\n", "\n\n"),
-}
-
-
-def _markdown_rows(rows: DataFrame) -> DataFrame:
-    """What Markdown needs to know of a node: whether it stands in pre, its number, the lists around an item."""
-    order = Window.partitionBy("page_id").orderBy("pre")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    pre_end = F.max(F.when(F.col("tag") == "pre", F.col("last"))).over(before)
-    rows = rows.withColumn("__raw", F.coalesce(pre_end >= F.col("pre"), F.lit(False)))
-    # lists opened and lists closed before the item; the innermost one is the nearest list that still is open
-    listed = F.when(F.col("tag").isin("ul", "ol"), 1)
-    rows = rows.withColumn("__opened", F.count(listed).over(before))
-    ends = rows.filter(F.col("tag").isin("ul", "ol")).groupBy("page_id", F.col("last").alias("pre")).agg(F.count("*").alias("__ends"))
-    rows = rows.join(ends, ["page_id", "pre"], "left")
-    closed = F.coalesce(F.sum(F.coalesce("__ends", F.lit(0))).over(before), F.lit(0))
-    rows = rows.withColumn("__lists", (F.col("__opened") - closed).cast("int"))
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("pre")))
-
-
-def _markdown_marks() -> tuple[Column, Column]:
-    indent = F.repeat(F.lit("    "), F.greatest(F.col("__lists") - 1, F.lit(0)))
-    item = F.when(F.col("parent_tag") == "ol", F.concat(F.col("__n").cast("string"), F.lit(". "))).otherwise("- ")
-    target = lambda a: urls.resolve(F.coalesce(F.col("attrs")[a], F.lit("")), F.col("__url"))
-    table = F.create_map(*[F.lit(x) for tag, (a, _) in MARKS.items() for x in (tag, a)])
-    ends = F.create_map(*[F.lit(x) for tag, (_, b) in MARKS.items() for x in (tag, b)])
-    inline_code = (F.col("tag") == "code") & F.col("__raw")
-    opening = (
-        F.when(F.col("kind") == "text", F.when(F.col("__raw"), F.col("text")).otherwise(F.regexp_replace("text", r"\s+", " ")))
-        .when(F.col("tag") == "a", F.lit("["))
-        .when(F.col("tag") == "img", F.concat(F.lit("!["), F.coalesce(F.col("attrs")["alt"], F.lit("")), F.lit("]("), target("src"), F.lit(")")))
-        .when(F.col("tag") == "li", F.concat(F.lit("\n"), indent, item))
-        .when(inline_code, F.lit(""))
-        .otherwise(F.coalesce(F.try_element_at(table, F.col("tag")), F.lit("")))
-    )
-    closing = (
-        F.when(F.col("kind") == "text", F.lit(""))
-        .when(F.col("tag") == "a", F.concat(F.lit("]("), target("href"), F.lit(")")))
-        .when(inline_code, F.lit(""))
-        .otherwise(F.coalesce(F.try_element_at(ends, F.col("tag")), F.lit("")))
-    )
-    return opening, closing
-
-
-def _tidied(name: str) -> Column:
-    return tidy_markdown(F.regexp_replace(name, r"\n[ \t]+\n", "\n\n"))
-
-
 def to_markdown(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, content_markdown): headings, emphasis, links, images, lists, code, quotes and table rows.
-
-    List items are indented by the number of lists around them and numbered in
-    ordered lists; white space collapses outside pre.
-    """
-    out = _written(_markdown_rows(_with_url(nodes, pages)), content_markdown=_markdown_marks())
-    return out.withColumn("content_markdown", _tidied("content_markdown"))
+    """(page_id, content_markdown): what ``markdown`` writes of the nodes."""
+    rows = markdown.with_context(_with_url(nodes, pages))
+    return markdown.folded(_written(rows, markdown.marks(*_html_marks())), "tokens", "content_markdown")
 
 
-def to_all(nodes: DataFrame, pages: DataFrame, markdown: bool) -> DataFrame:
+def to_all(nodes: DataFrame, pages: DataFrame, as_markdown: bool) -> DataFrame:
     """(page_id, content, content_text, content_markdown if asked for) by one aggregation."""
     rows = _with_url(nodes, pages)
     marks = {"content": _html_marks(), "content_text": _text_marks()}
-    if not markdown:
+    if not as_markdown:
         return _written(rows, **marks)
-    out = _written(_markdown_rows(rows), **marks, content_markdown=_markdown_marks())
-    return out.withColumn("content_markdown", _tidied("content_markdown"))
+    rows = markdown.with_context(rows)
+    return markdown.folded(_written(rows, markdown.marks(*_html_marks()), **marks), "tokens", "content_markdown")
