@@ -18,3 +18,10 @@ def test_repeated_notices(spark):
     assert whole == [(29 * k, 29 * k + 28) for k in range(4)]
     assert "gpl" in [s.label for s in got[6].spans if not s.base] and got[6].score == 1.0
     assert all(s.last - s.first < 2 * len(parts) for s in got[6].spans)
+
+
+def test_a_part_of_a_short_notice_is_none(spark):
+    texts = ["we discussed all rights of way", "these are rights reserved seats", "all other rights reserved", "so: All rights reserved."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(rows).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("", 0.0), 3: ("all-rights-reserved", 1.0)}

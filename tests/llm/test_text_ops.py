@@ -199,8 +199,7 @@ def test_encode_equals_tokenizer(texts, monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    hard = ["a\x1c b", "x\t\n y  z   w  \n", "don't  'll   ", "<|endoftext|> hi\r\n\r\n", " \u3000a\u00a0 b", "c\u0085 d\u2003 e", "日本 語", "\x7f"]
+    hard = ["a<|endoftext|>", "x <|endoftext|>  <|endoftext|>, b<|endoftext|>c\n<|endoftext|", "a\x1c b", "x\t\n y  z   w  \n", "don't  'll   ", "<|endoftext|> hi\r\n\r\n", " \u3000a\u00a0 b", "c\u0085 d\u2003 e", "日本 語", "\x7f"]
     some = [*texts, *hard, "", None]
     want = [[*x.ids, 1] for x in tokenizer.encode_batch([t or "" for t in some], add_special_tokens=False)]
     for _ in range(2):  # the second time from the cache

@@ -102,12 +102,14 @@ def scan_licenses(
     long_: int = 4,
     max_shift: int = 3,
     min_cover: float = 0.6,
+    whole: int = 8,
 ) -> DataFrame:
     """Return one row per document: id, n_words, spans, base_labels, labels, score.
 
     Words are what remains of a text after A-Z are lower-cased and cut at ASCII
     characters that are no letters or digits.  ``spans`` lists what was found:
-    label, base, first, last (words), cover.  Base spans are complete phrases; the
+    label, base, first, last (words), cover.  Base spans are complete phrases, and so
+    are those of templates of less than ``whole`` words, which a part would not tell from other prose; the
     other templates count from ``min_cover`` of their words on; spans of one label
     may overlap where shuffled parts of its notice follow each other.  ``score`` is the
     best cover, 0 without a span.  Null and empty texts have no words.  Rows that
@@ -119,11 +121,11 @@ def scan_licenses(
     rows = rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text"))
     grams = rows.mapInArrow(_grams((short, long_)), "id long, i int, h long")
     hits = grams.join(F.broadcast(template_grams(docs.sparkSession, short, long_)), "h")
-    return spans_of(hits, short, long_, max_shift, min_cover, id_of).withColumnRenamed("id", id_col)
+    return spans_of(hits, short, long_, max_shift, min_cover, id_of, whole).withColumnRenamed("id", id_col)
 
 
 def spans_of(
-    hits: DataFrame, short: int, long_: int, max_shift: int, min_cover: float, id_of: Callable[[Column], Column] = lambda key: key
+    hits: DataFrame, short: int, long_: int, max_shift: int, min_cover: float, id_of: Callable[[Column], Column] = lambda key: key, whole: int = 8
 ) -> DataFrame:
     """Count votes by diagonal, merge neighbours, verify spans, gather them by the id of their document."""
     spark = hits.sparkSession
@@ -133,13 +135,14 @@ def spans_of(
     )
     votes = votes.join(known, "template", "left")
     along = Window.partitionBy("id", "template").orderBy("diagonal")
+    complete = F.col("base") | (F.col("n") < whole)
     shift = F.least(F.lit(max_shift), F.ceil(F.col("n") / 2) - 1)
     chain = Window.partitionBy("id", "template", "group")
     half = F.ceil(F.col("n") / 2)
     window = F.floor(F.col("diagonal") / half)
     too_long = F.max("high").over(chain) - F.min("low").over(chain) >= 2 * F.col("n")
     merged = (
-        votes.withColumn("new", (F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > shift)).cast("int"))
+        votes.withColumn("new", (complete | (F.col("diagonal") - F.lag("diagonal").over(along) > shift)).cast("int"))
         .withColumn("group", F.sum(F.coalesce("new", F.lit(0))).over(along))
         .withColumn("too_long", too_long)
         .withColumn("window", F.explode(F.when(F.col("too_long"), F.array(window - 1, window)).otherwise(F.array(F.lit(None).cast("long")))))
@@ -151,7 +154,7 @@ def spans_of(
         )
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + F.col("k") - 1)))))
-    least = F.when(F.col("base"), F.lit(1.0)).otherwise(F.lit(min_cover))
+    least = F.when(complete, F.lit(1.0)).otherwise(F.lit(min_cover))
     cover = covered / F.col("n")
     span = F.struct(
         F.col("first").cast("long").alias("first"),

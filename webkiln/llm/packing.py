@@ -46,9 +46,7 @@ class Vocabulary:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+        return Tokenizer.from_file(self.path)
 
 
 #: Bytes after which a space or a line feed may start a unit: printable ASCII, and
@@ -89,6 +87,30 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _joined(tokenizer, data: np.ndarray, start: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``start`` without the places that lie inside a special token's text, which is one id.
+
+    An end of such a text would cut nothing; only its inside may not be cut.
+    """
+    raw = None
+    for token in tokenizer.get_added_tokens_decoder().values():
+        name = token.content.encode()
+        if not _cut_inside(name):
+            continue
+        raw = data.tobytes() if raw is None else raw
+        at = raw.find(name)
+        while at >= 0:
+            start = start[(start <= at) | (start >= at + len(name)) | np.isin(start, offsets)]
+            at = raw.find(name, at + 1)
+    return start
+
+
+def _cut_inside(name: bytes) -> bool:
+    """Whether ``units_of`` may begin a unit inside this text."""
+    data = np.frombuffer(name, np.uint8)
+    return len(units_of(data, np.array([0, len(data)]))) > 2
+
+
 class UnitCache:
     """Ids of units by hash, as sorted arrays, and the units' bytes; one per worker and vocabulary."""
 
@@ -143,7 +165,7 @@ def encode(texts: pa.Array, vocabulary: Vocabulary, end_id: int) -> tuple[np.nda
         _open[vocabulary] = UnitCache(vocabulary)
     cache = _open[vocabulary]
     data, offsets = words.text_bytes(texts)
-    start = units_of(data, offsets)
+    start = _joined(cache.tokenizer, data, units_of(data, offsets), offsets)
     begin, end = start[:-1], start[1:]
     key = words.hash_spans(data, begin, end)
     if len(cache.key) > _MOST_CACHED or len(cache.text) > _MOST_CACHED_BYTES:
