@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webkiln.functions import media, text, urls
 from webkiln.html.shred import shred
-from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render
+from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render, standardise
 from webkiln.plans import extract as plan
 from webkiln.sources.shared import materialise
 from webkiln.streaming import pages as streams
@@ -68,6 +68,26 @@ def article_text(spark, sf_dir):
     )
 
 
+def article_markdown(spark, sf_dir):
+    """Markdown of the whole main contents, as a digest of its words and the number of its blocks."""
+    nodes = _nodes(spark, sf_dir)
+    main = content.main_content(nodes)
+    rows = render.to_markdown(removals.subtree(nodes, main), _pages(spark, sf_dir))
+    plain = F.trim(F.regexp_replace("content_markdown", r"[*\s]+", " "))
+    blocks_ = F.size(F.split("content_markdown", "\n\n"))
+    return rows.select("page_id", F.sha2(plain.cast("binary"), 256).alias("plain_sha256"), blocks_.cast("long").alias("blocks"))
+
+
+def standard_form(spark, sf_dir):
+    """The main contents in standard form: elements by tag, and characters that are no white space."""
+    nodes = _nodes(spark, sf_dir)
+    main = content.main_content(nodes)
+    titles = metadata.page_metadata(_pages(spark, sf_dir), nodes).select("page_id", "title")
+    rows = standardise.standardise(removals.subtree(nodes, main), titles)
+    counts = [F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in ("p", "h1", "h2", "br", "div")]
+    return rows.groupBy("page_id").agg(*counts, F.sum(F.char_length(F.regexp_replace("text", r"\s", ""))).alias("chars"))
+
+
 def main_content(spark, sf_dir):
     return content.main_content(_nodes(spark, sf_dir)).select("page_id", "tag", "sel_idx")
 
@@ -200,7 +220,7 @@ def longest_by_host(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, article_text, content_patterns, main_content, candidate_rank, best_block,
+        page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, article_text, article_markdown, standard_form, content_patterns, main_content, candidate_rank, best_block,
         removal_counts, low_score_blocks, page_links, extractor_dispatch, url_parts, url_marks, text_marks, url_dedupe, host_rollup, host_sets, document_words, language_words,
         conversation_threads, event_properties, event_windows, event_sessions, longest_by_host,
     ]
@@ -237,6 +257,18 @@ WHERE len(regexp_extract_all(html, '<' || tag || '[ >]')) > 0""",
         "article_text": rf"""
 WITH a AS (SELECT page_id, {_TEXT.format(_ARTICLE)} AS t FROM pages)
 SELECT page_id, sha256(t) AS text_sha256, len(regexp_extract_all(t, '\S+')) AS words FROM a""",
+        "article_markdown": rf"""
+WITH a AS (SELECT page_id, regexp_replace({_ARTICLE}, '(?s)<h1>.*?</h1>', '') AS t FROM pages),
+b AS (
+  SELECT page_id, {_TEXT.format("regexp_replace(t, '<(p|br)[^>]*>', ' ', 'g')")} AS plain,
+    len(list_filter(string_split(t, '<p>'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ' || chr(10)) <> '')) AS blocks FROM a)
+SELECT page_id, sha256(trim(regexp_replace(plain, '[*\s]+', ' ', 'g'))) AS plain_sha256, blocks FROM b""",
+        "standard_form": rf"""
+WITH a AS (SELECT page_id, regexp_replace({_ARTICLE}, '(?s)<h1>.*?</h1>', '') AS t FROM pages)
+SELECT page_id,
+  len(list_filter(string_split(t, '<p>'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ' || chr(10)) <> '')) AS n_p,
+  0 AS n_h1, 0 AS n_h2, len(regexp_extract_all(t, '<br>')) AS n_br, 0 AS n_div,
+  length(regexp_replace({_TEXT.format("t")}, '\s', '', 'g')) AS chars FROM a""",
         "main_content": "SELECT page_id, 'article' AS tag, 12 AS sel_idx FROM pages",
         "removal_counts": r"""
 WITH c AS (SELECT page_id, unnest(['nav', 'footer', 'script', 'style', 'meta']) AS tag, 'exact' AS reason, html FROM pages
