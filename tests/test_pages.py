@@ -51,7 +51,7 @@ def outline(html):
         ("<p><b>a<p>b", [(2, "p"), (3, "b"), (4, "a"), (2, "p"), (3, "b"), (4, "b")]),
         ("<ul><li>a<li>b</ul>c", [(2, "ul"), (3, "li"), (4, "a"), (3, "li"), (4, "b"), (2, "c")]),
         ("a<br>b</p>", [(2, "a"), (2, "br"), (2, "b"), (2, "p")]),
-        ("<table><tr><td>a<td>b<tr><td>c</table>", [(2, "table"), (3, "tr"), (4, "td"), (5, "a"), (4, "td"), (5, "b"), (3, "tr"), (4, "td"), (5, "c")]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", [(2, "table"), (3, "tbody"), (4, "tr"), (5, "td"), (6, "a"), (5, "td"), (6, "b"), (4, "tr"), (5, "td"), (6, "c")]),
         ("<textarea><p>&amp;</textarea>x", [(2, "textarea"), (3, "<p>&"), (2, "x")]),
         ("1 < 2 &lt; <!-- c --> 3", [(2, "1 "), (2, "<"), (2, " 2 < "), (2, " c "), (2, " 3")]),
     ],

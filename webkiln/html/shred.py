@@ -42,10 +42,15 @@ IMPLIED_END = {
     "tr": (("tr",), frozenset({"table"})),
     "td": (("td", "th"), frozenset({"tr", "table"})),
     "th": (("td", "th"), frozenset({"tr", "table"})),
-    "tbody": (("tbody", "thead", "tfoot"), frozenset({"table"})),
-    "tfoot": (("tbody", "thead", "tfoot"), frozenset({"table"})),
+    **{t: (("tbody", "thead", "tfoot", "caption", "colgroup"), frozenset({"table"})) for t in ("tbody", "thead", "tfoot")},
 }
 
+#: Open elements that take nothing but parts of a table, and what each of those needs around it.
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+SECTIONS = ("tbody", "thead", "tfoot")
+CELLS = ("td", "th", "caption")
+ONLY_IN_TABLES = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
+
 SCHEMA = (
     "page_id long, pre int, last int, parent int, depth int, kind string, tag string, "
     "attrs map<string,string>, text string, parent_tag string"
@@ -56,28 +61,84 @@ class _Builder:
     def __init__(self):
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.open_tags: list[str] = []
         self.active: list[tuple[str, tuple]] = []
+        self.marks: list[int] = []  # where the formatting of each open cell begins
+        self.fostered: dict[int, int] = {}  # row -> the table that it stands before
         self.element("html", ())
         self.head_open = True
         self.element("head", ())
 
     def add(self, kind: str, tag: str | None, attrs: tuple, text: str | None) -> int:
         parent = self.open[-1] if self.open else None
-        parent_tag = self.rows[parent][5] if parent is not None else None
         at = len(self.rows)
+        if parent is not None and self.open_tags[-1] in TABLE_PARTS and self.strange(kind, tag, text):
+            table = max(k for k, t in enumerate(self.open_tags) if t == "table")
+            parent, self.fostered[at] = self.open[table - 1], self.open[table]
+        parent_tag = self.rows[parent][5] if parent is not None else None
         self.rows.append([at, at, parent, len(self.open), kind, tag, attrs, text, parent_tag])
         return at
 
+    def strange(self, kind: str, tag: str | None, text: str | None) -> bool:
+        """Whether a table takes this not, so that it goes before the table."""
+        if kind == "text":
+            return bool(text.strip())
+        return kind == "element" and "table" in self.open_tags and tag not in ONLY_IN_TABLES and tag not in ("style", "script", "template", "form")
+
     def element(self, tag: str, attrs: tuple) -> None:
         self.open.append(self.add("element", tag, attrs, None))
+        self.open_tags.append(tag)
 
     def pop(self) -> str:
         at = self.open.pop()
         self.rows[at][1] = len(self.rows) - 1
-        return self.rows[at][5]
+        tag = self.open_tags.pop()
+        if tag in CELLS and self.marks:
+            del self.active[self.marks.pop() :]
+        return tag
 
     def tags(self) -> list[str]:
-        return [self.rows[i][5] for i in self.open]
+        return self.open_tags
+
+    def table_part(self, tag: str) -> bool:
+        """Open what the part of a table needs around it; false where it stands in no table and is ignored."""
+        if "table" not in self.open_tags:
+            return False
+        depth = max(k for k, t in enumerate(self.open_tags) if t == "table")
+        around = ("tr",) if tag in ("td", "th") else SECTIONS if tag == "tr" else ("colgroup",) if tag == "col" else ()
+        while len(self.open) > depth + 1 and self.open_tags[-1] not in around and not (tag in ("td", "th") and self.open_tags[-1] in SECTIONS):
+            self.pop()
+        if tag in ("tr", "td", "th") and self.open_tags[-1] == "table":
+            self.element("tbody", ())
+        if tag in ("td", "th") and self.open_tags[-1] != "tr":
+            self.element("tr", ())
+        return True
+
+    def ordered(self) -> list[list]:
+        """The rows in document order, with what was put before a table in its place."""
+        if not self.fostered:
+            return self.rows
+        children: dict = {}
+        before: dict[int, list[int]] = {}
+        for at, row in enumerate(self.rows):
+            if at in self.fostered:
+                before.setdefault(self.fostered[at], []).append(at)
+            else:
+                children.setdefault(row[2], []).append(at)
+        place, todo = {}, [("in", 0, None, 0)]
+        out: list[list] = []
+        while todo:
+            kind, at, parent, depth = todo.pop()
+            if kind == "out":
+                out[place[at]][1] = len(out) - 1
+                continue
+            place[at] = len(out)
+            row = self.rows[at]
+            out.append([len(out), len(out), parent, depth, *row[4:8], out[parent][5] if parent is not None else None])
+            todo.append(("out", at, None, 0))
+            below = [x for child in children.get(at, ()) for x in (*before.get(child, ()), child)]
+            todo += [("in", child, place[at], depth + 1) for child in reversed(below)]
+        return out
 
     def close(self, names: tuple[str, ...], hidden_by: frozenset) -> bool:
         """Close up to the innermost open element named so, unless something hides it."""
@@ -100,9 +161,11 @@ class _Builder:
 
     def reopen(self) -> None:
         """Formatting elements that an implied end tag closed start again."""
+        if not self.active:
+            return
         tags = [(self.rows[i][5], self.rows[i][6]) for i in self.open]
-        at = len(self.active)
-        while at and self.active[at - 1] not in tags:
+        at, mark = len(self.active), self.marks[-1] if self.marks else 0
+        while at > mark and self.active[at - 1] not in tags:
             at -= 1
         held = sum(1 for t in tags if t in self.active[at:])
         for tag, attrs in self.active[at + held :] if held else self.active[at:]:
@@ -118,17 +181,23 @@ class _Builder:
             return
         if self.head_open and tag not in HEAD:
             self.body()
+        if tag == "table" and self.open_tags[-1] in TABLE_PARTS:
+            self.close(("table",), frozenset())  # a table directly in a table ends that one
         if tag in CLOSES_P:
             self.close(("p",), P_SCOPE)
         if tag in IMPLIED_END:
             self.close(*IMPLIED_END[tag])
+        if tag in ONLY_IN_TABLES and not self.table_part(tag):
+            return
         if tag[0] == "h" and tag[1:] in tuple("123456") and self.tags()[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.pop()
         if tag not in CLOSES_P and tag not in HEAD and tag not in IMPLIED_END:
-            if tag == "a" and any(t == "a" for t, _ in self.active):
+            if tag == "a" and any(t == "a" for t, _ in self.active[self.marks[-1] if self.marks else 0 :]):
                 self.end("a")
             self.reopen()
         self.element(tag, attrs)
+        if tag in CELLS and "table" in self.open_tags:
+            self.marks.append(len(self.active))
         if tag in VOID:
             self.pop()
         elif tag in FORMATTING:
@@ -143,7 +212,7 @@ class _Builder:
                 self.body()
             return
         if tag in FORMATTING:
-            for k in range(len(self.active) - 1, -1, -1):
+            for k in range(len(self.active) - 1, (self.marks[-1] if self.marks else 0) - 1, -1):
                 if self.active[k][0] == tag:
                     del self.active[k]
                     break
@@ -157,7 +226,8 @@ class _Builder:
                 return
             self.body()
         if data.strip() or self.open:
-            self.reopen()
+            if data.strip() or self.open_tags[-1] not in TABLE_PARTS:
+                self.reopen()
             self.add("text", None, (), data)
 
 
@@ -189,7 +259,7 @@ def parse(source: str) -> list[list]:
     tree.body()
     while tree.open:
         tree.pop()
-    return tree.rows
+    return tree.ordered()
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
