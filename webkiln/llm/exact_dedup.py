@@ -49,7 +49,7 @@ def merge_round(runs: DataFrame, fan_in: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> DataFrame:
     """Return one row per input row: id, keep_id, group_size, kept, digest.
 
     Null and empty texts are equal to each other.  A null id sorts before all ids,
