@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +50,17 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_mine = threading.local()
+
+
 def written(spark: SparkSession) -> list[str]:
-    """The session's materialised tables, oldest first."""
-    context = spark.sparkContext
-    if not hasattr(context, "_webkiln_written"):
-        context._webkiln_written = []
-    return context._webkiln_written
+    """The tables that this thread has materialised in the session, oldest first.
+
+    Queries that run side by side in threads of one session do not see each other's.
+    """
+    if getattr(_mine, "session", None) is not spark.sparkContext:
+        _mine.session, _mine.paths = spark.sparkContext, []
+    return _mine.paths
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
