@@ -4,7 +4,7 @@ Nodes carry an interval (``pre``, ``last``): x lies below a if a.pre < x.pre <=
 on the same page, and document order is the order of ``pre``.  Everything after this
 step is relational; the helper below only splits markup and keeps the stack of open
 elements, with the HTML rules for implied tags and for formatting elements that stay
-open across paragraphs.
+open across paragraphs, and puts declarative shadow trees and streamed slots in place.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: How a server that streams a page names a boundary and the slot that belongs there.
+_STREAMED = re.compile(r"\$RC\(\s*[\"']([^\"']+)[\"']\s*,\s*[\"']([^\"']+)[\"']\s*\)")
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -259,7 +261,59 @@ def parse(source: str) -> list[list]:
     tree.body()
     while tree.open:
         tree.pop()
-    return tree.ordered()
+    return grafted(tree.ordered())
+
+
+def grafted(rows: list[list]) -> list[list]:
+    """Rows with declarative shadow trees in place of their templates and streamed slots at their boundaries.
+
+    ``$RC("B", "S")`` in a script puts what stands below the first element with id S in place of templates with id B, and
+    S goes.  A slot that is empty or has no boundary stays.  Slots may hold boundaries of others; one that is reached from
+    inside itself gives nothing.
+    """
+    scripts = [r[7] for r in rows if r[4] == "text" and r[8] == "script" and "$RC" in r[7]]
+    shadows = {r[0] for r in rows if r[5] == "template" and any(k in ("shadowrootmode", "shadowroot") for k, _ in r[6])}
+    if not scripts and not shadows:
+        return rows
+    below: dict[int | None, list[int]] = {}
+    by_id: dict[str, list[int]] = {}
+    for r in rows:
+        below.setdefault(r[2], []).append(r[0])
+        by_id.setdefault(next((v for k, v in r[6] if k == "id"), "") if r[4] == "element" else "", []).append(r[0])
+    instead = {at: at for at in shadows}
+    gone: set[int] = set()
+    for boundary, slot in (m for text in scripts for m in _STREAMED.findall(text)):
+        places = [at for at in by_id.get(boundary, ()) if rows[at][5] == "template"]
+        found = by_id.get(slot, ())
+        if boundary and slot and places and found and found[0] in below:
+            instead.update(dict.fromkeys(places, found[0]))
+            gone.update(found)
+    out: list[list] = []
+    inside: set[int] = set()
+    todo: list[tuple[int, int | None]] = [(at, None) for at in reversed(below[None])]  # (row, its parent's new row)
+    while todo:
+        at, parent = todo.pop()
+        if at < 0:  # everything below the element or slot ~at is written
+            if parent is None:
+                inside.discard(~at)
+            else:
+                out[parent][1] = len(out) - 1
+            continue
+        if at in instead:
+            source = instead[at]
+            if source not in inside:
+                inside.add(source)
+                todo.append((~source, None))
+                todo += [(k, parent) for k in reversed(below.get(source, ()))]
+            continue
+        if at in gone:
+            continue
+        new, above = len(out), out[parent] if parent is not None else None
+        out.append([new, new, parent, above[3] + 1 if above else 0, *rows[at][4:8], above[5] if above else None])
+        if at in below:
+            todo.append((~at, new))
+            todo += [(k, new) for k in reversed(below[at])]
+    return out
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ IDS = (
     "title", "Title", "articleTag", "logo", "Logo", "newsletter", "Newsletter", "sidebar", "Sidebar", "side-bar", "sitesub",
     "copyright", "page-info", "rss", "feed", "primaryaudio", "NYT_ABOVE_MAIN_CONTENT_REGION",
 )
+IMAGES = ("img", "svg", "picture", "video", "canvas")
 ROLES = ("banner", "navigation", "dialog", "listbox", "option")
 HREF_PARTS = ("/tag/", "/tags/", "/author/", "/author?", "#toc")
 HREFS = ("#top", "#Top", "#page-header", "#content", "#site-content", "#main-content")
@@ -115,6 +116,11 @@ def hidden_victim() -> Column:
     return (hidden | named) & ~math
 
 
+def image_victim() -> Column:
+    """Pictures of any kind and size."""
+    return F.col("tag").isin(*IMAGES)
+
+
 def image_key() -> Column:
     """What tells images apart: the first filled of their source attributes, id, viewbox or class."""
     return F.coalesce(*[F.nullif(F.col("attrs")[a], F.lit("")) for a in ("data-src", "src", "srcset", "data-srcset", "id", "viewbox", "class")])
@@ -127,12 +133,13 @@ def small_images(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("tag").isin("img", "svg") & small).select("page_id", image_key().alias("key")).filter("key IS NOT NULL").distinct()
 
 
-REASONS = {"hidden": hidden_victim, "exact": exact_victim, "partial": partial_victim}
+REASONS = {"images": image_victim, "hidden": hidden_victim, "exact": exact_victim, "partial": partial_victim}
 
 
-#: Removal steps in the order in which they name a victim.
+#: Removal steps that are on by default, and all of them in the order in which they name a victim.
 STEPS = ("small", "hidden", "low", "exact", "partial")
-NAMES = {"small": "small_image", "low": "low_score"}
+ORDER = ("small", "images", "hidden", "low", "exact", "partial")
+NAMES = {"small": "small_image", "images": "image", "low": "low_score"}
 
 
 def mark_steps(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS, low: DataFrame | None = None) -> DataFrame:
@@ -162,15 +169,15 @@ def mark_steps(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS
         rows = rows.join(low.withColumn("low", F.lit(True)), ["page_id", "pre"], "left")
     tests = {"small": lambda: F.col("small"), "low": lambda: F.col("low"), **REASONS}
     element, free = F.col("kind") == "element", ~holds & ~F.col("in_code")
-    allowed = {"small": F.lit(True), "hidden": element, "low": free, "exact": element & free, "partial": element & free}
-    found = [F.coalesce(allowed[step] & tests[step](), F.lit(False)).alias(f"is_{step}") for step in STEPS if step in steps]
+    allowed = {"small": F.lit(True), "images": element, "hidden": element, "low": free, "exact": element & free, "partial": element & free}
+    found = [F.coalesce(allowed[step] & tests[step](), F.lit(False)).alias(f"is_{step}") for step in ORDER if step in steps]
     return rows.select(*nodes.columns, *found)
 
 
 def reason(steps: tuple[str, ...], unless: dict[str, Column] | None = None) -> Column:
     """The first step that found the element, else null; ``unless`` says where a step does not count."""
     unless = unless or {}
-    return F.coalesce(*[F.when(F.col(f"is_{s}") & ~unless.get(s, F.lit(False)), F.lit(NAMES.get(s, s))) for s in STEPS if s in steps], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(F.col(f"is_{s}") & ~unless.get(s, F.lit(False)), F.lit(NAMES.get(s, s))) for s in ORDER if s in steps], F.lit(None).cast("string"))
 
 
 def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS, low: DataFrame | None = None) -> DataFrame:

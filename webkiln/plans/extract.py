@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from webkiln.functions.text import count_words
 from webkiln.html.shred import shred
-from webkiln.operators import content, dispatch, metadata, patterns, removals, render, standardise
+from webkiln.operators import content, dispatch, metadata, patterns, removals, render, selectors, standardise
 from webkiln.sources.shared import materialise
 
 
 @dataclass(frozen=True)
 class Options:
-    """What a plan does; a step that is None stays at its default, which is on.  ``debug`` keeps structure and debugging attributes."""
+    """What a plan does; a step that is None stays at its default, which is on.  ``debug`` keeps structure and debugging attributes.
+
+    ``content_selector`` names the main content: the first element that it finds on a page; pages where it finds none are
+    treated as without it.  ``remove_images`` removes every image, whatever its size.
+    """
 
     markdown: bool = False
     remove_small_images: bool | None = None
@@ -24,17 +28,32 @@ class Options:
     remove_partial: bool | None = None
     remove_low_scoring: bool | None = None
     remove_content_patterns: bool | None = None
+    remove_images: bool = False
+    content_selector: str | None = None
     debug: bool = False
 
     def steps(self) -> tuple[str, ...]:
-        flags = {"small": self.remove_small_images, "hidden": self.remove_hidden, "low": self.remove_low_scoring, "exact": self.remove_exact, "partial": self.remove_partial, "patterns": self.remove_content_patterns}
+        flags = {"small": self.remove_small_images, "hidden": self.remove_hidden, "low": self.remove_low_scoring, "exact": self.remove_exact, "partial": self.remove_partial, "patterns": self.remove_content_patterns, "images": self.remove_images}
         return tuple(step for step, on in flags.items() if on is not False)
 
 
-def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def chosen_content(nodes: DataFrame, selector: str | None = None) -> DataFrame:
+    """The main content of every page: what ``selector`` finds first, else the best candidate."""
+    best = content.main_content(nodes)
+    if selector is None:
+        return best
+    first = selectors.first_match(nodes, selector).select("page_id", "pre")
+    measured = content.measured(nodes)
+    named = content.subtree_totals(measured, measured.join(first, ["page_id", "pre"]))
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in best.schema if f.name not in named.columns}
+    named = named.select(*[none.get(c, F.col(c)) for c in best.columns])
+    return named.unionByName(best.join(named.select("page_id"), "page_id", "left_anti"))
+
+
+def parsed(pages: DataFrame, selector: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The node table, the main content and the metadata of all pages, each computed once."""
     nodes = materialise(shred(pages), "nodes")
-    return nodes, materialise(content.main_content(nodes), "main"), materialise(metadata.page_metadata(pages, nodes), "metadata")
+    return nodes, materialise(chosen_content(nodes, selector), "main"), materialise(metadata.page_metadata(pages, nodes), "metadata")
 
 
 def cleaned(marked: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[str, ...], debug: bool = False, tries: DataFrame | None = None) -> DataFrame:
@@ -119,7 +138,7 @@ def extract(
     ``retry_step`` adds the ladder's step that gave the record, 0 for the first pass.
     """
     options = options or Options()
-    nodes, main, about = parsed(pages) if nodes is None else (nodes, content.main_content(nodes), metadata.page_metadata(pages, nodes))
+    nodes, main, about = parsed(pages, options.content_selector) if nodes is None else (nodes, chosen_content(nodes, options.content_selector), metadata.page_metadata(pages, nodes))
     if ladder:
         left = with_ladder(nodes, main, about, options)
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webkiln.functions import media, text, urls
 from webkiln.html.shred import shred
-from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render, standardise
+from webkiln.operators import blocks, content, dispatch, metadata, patterns, removals, render, selectors, standardise
 from webkiln.plans import extract as plan
 from webkiln.sources.shared import materialise
 from webkiln.streaming import pages as streams
@@ -51,6 +51,21 @@ def element_counts(spark, sf_dir):
     return tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+#: What ``selector_matches`` counts: every combinator, attributes, positions, :not and :has.
+SELECTORS = (
+    "nav > ul > li > a[href^='/']", "nav a", "article > h1 + p", "div.ad ~ article", "li:first-child", "ul > li:last-child",
+    "li:nth-child(odd)", "li + li", "article > p:has(br)", "article > p:not(:has(br))", "ul:has(> li > a)", "body > :not(nav, article)",
+)
+
+
+def selector_matches(spark, sf_dir):
+    """How many elements of each page every selector finds, all in one scan."""
+    named = {f"s{i}": s for i, s in enumerate(SELECTORS)}
+    found = selectors.match(shred(_pages(spark, sf_dir)), named)
+    counts = found.groupBy("page_id").agg(*[F.count_if(name).alias(name) for name in named])
+    return counts.unpivot("page_id", list(named), "name", "n").select("page_id", "name", "n").filter("n > 0")
+
+
 def content_patterns(spark, sf_dir):
     """How many elements each content pattern finds in the main contents."""
     nodes = _nodes(spark, sf_dir)
@@ -220,7 +235,7 @@ def longest_by_host(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, article_text, article_markdown, standard_form, content_patterns, main_content, candidate_rank, best_block,
+        page_extract, page_extract_ladder, page_metadata, meta_tags, element_counts, selector_matches, article_text, article_markdown, standard_form, content_patterns, main_content, candidate_rank, best_block,
         removal_counts, low_score_blocks, page_links, extractor_dispatch, url_parts, url_marks, text_marks, url_dedupe, host_rollup, host_sets, document_words, language_words,
         conversation_threads, event_properties, event_windows, event_sessions, longest_by_host,
     ]
@@ -254,6 +269,26 @@ WITH c AS (
   SELECT page_id, unnest(['p', 'h1', 'nav', 'ul', 'li', 'a', 'footer', 'article', 'div']) AS tag, html FROM pages)
 SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ >]')) AS n FROM c
 WHERE len(regexp_extract_all(html, '<' || tag || '[ >]')) > 0""",
+        "selector_matches": r"""
+WITH h AS (
+  SELECT page_id, html, len(regexp_extract_all(html, '<li>')) AS li, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:] AS p
+  FROM pages),
+c AS (
+  SELECT page_id, unnest([
+    {'name': 's0', 'n': len(regexp_extract_all(html, '<li><a href="/'))},
+    {'name': 's1', 'n': len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1), '<a '))},
+    {'name': 's2', 'n': len(regexp_extract_all(html, '</h1><p>'))},
+    {'name': 's3', 'n': len(regexp_extract_all(html, '(?s)<div class="ad">.*<article>'))},
+    {'name': 's4', 'n': len(regexp_extract_all(html, '<ul><li>'))},
+    {'name': 's5', 'n': len(regexp_extract_all(html, '</li></ul>'))},
+    {'name': 's6', 'n': (li + 1) // 2},
+    {'name': 's7', 'n': greatest(li - 1, 0)},
+    {'name': 's8', 'n': len(list_filter(p, lambda x: contains(x, '<br>')))},
+    {'name': 's9', 'n': len(list_filter(p, lambda x: NOT contains(x, '<br>')))},
+    {'name': 's10', 'n': len(regexp_extract_all(html, '<ul><li><a '))},
+    {'name': 's11', 'n': len(regexp_extract_all(html, '<(div|footer)[ >]'))}]) AS f
+  FROM h)
+SELECT page_id, f.name AS name, f.n AS n FROM c WHERE f.n > 0""",
         "article_text": rf"""
 WITH a AS (SELECT page_id, {_TEXT.format(_ARTICLE)} AS t FROM pages)
 SELECT page_id, sha256(t) AS text_sha256, len(regexp_extract_all(t, '\S+')) AS words FROM a""",
