@@ -1,5 +1,7 @@
 """Exact, near, line and substring dedup against brute force."""
 
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,40 @@ def test_ids_are_not_changed(docs):
     kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
     assert kept.join(docs.select("doc_id"), "doc_id", "left_anti").isEmpty()
     assert kept.filter(F.col("doc_id").isNull()).isEmpty()
+
+
+@pytest.mark.parametrize("texts", [1, 6])
+def test_minhash_dedup_hot_families(spark, monkeypatch, texts):
+    """Families of edited copies larger than a block: all links, and each posting handled about twice."""
+    rng = random.Random(5)
+    words_ = [f"w{i}" for i in range(400)]
+    rows = []
+    for t in range(texts):
+        base = [rng.choice(words_) for _ in range(120)]
+        for _ in range(600 // texts):
+            edit = list(base)
+            edit[rng.randrange(120)] = "edited"
+            rows.append((len(rows), " ".join(edit)))
+    handled = []
+    whole = minhash_dedup._by_pair
+
+    def counted(blocks, group):
+        if group == "key":
+            handled.append(blocks.count())
+        return whole(blocks, group)
+
+    monkeypatch.setattr(minhash_dedup, "_by_pair", counted)
+    got = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_components(rows, 5, 80)
+    assert sum(handled) <= 2 * handled[0]
+
+
+def test_lists_of_rows_that_do_not_belong_together(spark):
+    """One list of many unlike signatures in several blocks: only the like ones are joined, across blocks too."""
+    rng = random.Random(9)
+    unlike = [bytes(rng.randrange(256) for _ in range(minhash_dedup.N_MINIMA)) for _ in range(40)]
+    rows = [(7, i, 100 + i % 3, bytearray(unlike[i % 40])) for i in range(120)] + [(8, 1000, 5, bytearray(unlike[0]))]
+    postings = spark.createDataFrame(rows, "key long, id long, n long, minima binary")
+    for block in (4, 512):
+        found = components.components(minhash_dedup.candidates(postings, block, 80, 33)).collect()
+        assert {r.node: r.component for r in found} == {i: i % 40 for i in range(120)}

@@ -26,7 +26,7 @@ collides in 20 coordinates and 50 minima on average; it has fewer than 7 or fewe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,23 +118,39 @@ def prefix_postings(sets: DataFrame, min_matches: int) -> DataFrame:
 PAIR = ["s1", "k1", "s2", "k2"]
 
 
-def _blocks(rows: DataFrame, group: str, block: int, percent: int) -> DataFrame:
-    """Deal each group's rows (id, part, n, ...) to pairs of blocks whose set sizes can fit.
+def _cells(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """(group, part, n, rows, first, times): which blocks the rows of a part of a group go to, by the size of their set.
 
-    A block holds rows of one ``part`` of a group, about ``block`` of them and about
-    MOST_MEMBERS set members, or one larger set.  Blocks of one part meet only where the
-    part is negative, which stands for rows that are not known to belong together.  Block
-    numbers come from the counts of each set size, so no task sees a whole group.  A row
-    comes once for every pair its block is in, with ``side`` 0 for the first.
+    A block holds rows of one ``part`` of a group, about ``block`` of them and about MOST_MEMBERS set members, or one
+    larger set.  Block numbers come from the counts of each set size, so no task sees a whole group.
     """
     cell = [group, "part", "n"]
     weight = F.col("rows") * F.greatest(F.lit(1.0 / block), F.col("n") / F.lit(float(MOST_MEMBERS)))
     before = Window.partitionBy(group, "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(*cell).agg(F.count("*").alias("rows"))
     cells = cells.withColumn("weight", weight).withColumn("first", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0)) + 1e-9))
-    cells = stage(cells.select(*cell, "rows", "first", F.ceil(F.col("weight") - 1e-9).alias("times")), "cells")
+    return stage(cells.select(*cell, "rows", "first", F.ceil(F.col("weight") - 1e-9).alias("times")), "cells")
+
+
+def _dealt(rows: DataFrame, cells: DataFrame, group: str) -> DataFrame:
+    """``rows`` with the number ``k`` of their block."""
     number = F.col("first") + F.when(F.col("times") > 1, F.pmod(F.xxhash64("id"), F.col("times"))).otherwise(0)
-    rows = join_hot(rows, cells, cell, "rows", ["id"]).withColumn("k", number.cast("int")).drop("rows", "first", "times")
+    return join_hot(rows, cells, [group, "part", "n"], "rows", ["id"]).withColumn("k", number.cast("int")).drop("rows", "first", "times")
+
+
+def _alone(rows: DataFrame, cells: DataFrame, group: str) -> DataFrame:
+    """Every row once, in a block that meets itself only."""
+    rows = _dealt(rows, cells, group)
+    return rows.select("*", F.col("part").alias("s1"), F.col("k").alias("k1"), F.col("part").alias("s2"), F.col("k").alias("k2"), F.lit(0).alias("side")).drop("part", "k")
+
+
+def _blocks(rows: DataFrame, group: str, block: int, percent: int) -> DataFrame:
+    """Deal each group's rows (id, part, n, ...) to pairs of blocks whose set sizes can fit.
+
+    Blocks of one part meet only where the part is negative, which stands for rows that are not known to belong together.
+    A row comes once for every pair its block is in, with ``side`` 0 for the first.
+    """
+    rows = _dealt(rows, _cells(rows, group, block), group)
     spans = rows.groupBy(group, "part", "k").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = (
         spans.select(group, F.col("part").alias(f"s{i}"), F.col("k").alias(f"k{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}"))
@@ -149,6 +165,62 @@ def _blocks(rows: DataFrame, group: str, block: int, percent: int) -> DataFrame:
     return rows.join(ends, [group, "part", "k"]).drop("part", "k")
 
 
+def _apart(known: DataFrame, group: str, block: int) -> DataFrame:
+    """(id, group, part) of the groups whose rows (id, group, joined) have several components.
+
+    A component of at least ``block`` rows of the group is a part, whose blocks need not meet each other; all smaller ones
+    share part -1.
+    """
+    several = known.groupBy(group).agg(F.min("joined").alias("low"), F.max("joined").alias("high"), F.count("*").alias("rows"))
+    several = stage(several.filter("low <> high").select(group, "rows"), "several")
+    apart = join_hot(known, several, [group], "rows", ["id"]).drop("rows")
+    large = stage(apart.groupBy(group, "joined").agg(F.count("*").alias("rows")).filter(F.col("rows") >= block), "large")
+    part = F.when(F.col("rows").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("joined"), F.lit(1 << 62)))
+    return join_hot(apart, large, [group, "joined"], "rows", ["id"], "left").select("id", group, part.alias("part"))
+
+
+def _across(postings: DataFrame, lists: DataFrame, near: DataFrame, edges: Callable[[DataFrame], DataFrame], block: int, percent: int) -> DataFrame:
+    """``near`` and the edges between components of the same list, for the lists of ``lists``."""
+    sizes = stage(postings.groupBy("key").agg(F.count("*").alias("rows")).join(lists.select("key"), "key", "left_semi"), "open-lists")
+    rows = stage(join_hot(postings.drop("part"), sizes, ["key"], "rows", ["id"]).drop("rows"), "open-postings")
+    joined = components(near).select(F.col("node").alias("id"), F.col("component").alias("joined"))
+    known = rows.select("id", "key").distinct().join(joined, "id", "left")
+    parts = _apart(stage(known.withColumn("joined", F.coalesce("joined", "id")), "known"), "key", block)
+    late = edges(_blocks(rows.join(parts, ["id", "key"]), "key", block, percent))
+    return near.unionByName(late.select("a", "b")).distinct()
+
+
+def candidates(postings: DataFrame, block: int, percent: int, min_minima: int) -> DataFrame:
+    """(a, b): edges that join whatever of ``postings`` (key, id, n, minima) collides often enough in a list.
+
+    A list is settled inside blocks first.  Of lists with more than one block only one row of each component goes on to the
+    next round, in which such rows share blocks, until a list is one component or a round joins less
+    than half of what was left.  What is then left are lists of rows that do not belong together; their components are
+    compared with each other, block by block.
+    """
+    postings = postings.withColumn("part", F.lit(-1).cast("long"))
+    edges = lambda blocks: stage(_by_pair(blocks, "key").mapInArrow(_list_edges(min_minima, percent), "key long, a long, b long"), "near")
+    cells = _cells(postings, "key", block)
+    found = edges(_alone(postings, cells, "key"))
+    near = found.select("a", "b")
+    wide = cells.groupBy("key").agg(F.max(F.col("first") + F.col("times")).alias("blocks"), F.sum("rows").alias("rows"))
+    open_ = stage(wide.filter("blocks > 1").select("key", "rows"), "open-lists")
+    n, left = open_.agg(F.sum("rows")).first()[0] or 0, postings
+    while n:
+        left = join_hot(left, open_, ["key"], "rows", ["id"]).drop("rows")
+        members = found.filter("a <> b").select("key", F.col("b").alias("id")).distinct()
+        left = stage(left.join(members, ["key", "id"], "left_anti"), "left")
+        open_ = stage(left.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"), "open-lists")
+        before, n = n, open_.agg(F.sum("rows")).first()[0] or 0
+        if n * 2 > before:
+            return _across(postings, open_, stage(near.distinct(), "near"), edges, block, percent)
+        if n:
+            left = join_hot(left, open_, ["key"], "rows", ["id"]).drop("rows")
+            found = edges(_alone(left, _cells(left, "key", block), "key"))
+            near = near.unionByName(found.select("a", "b"))
+    return near.distinct()
+
+
 def _by_pair(blocks: DataFrame, group: str) -> DataFrame:
     return blocks.repartition(group, *PAIR).sortWithinPartitions(group, *PAIR, "side")
 
@@ -191,18 +263,19 @@ def _spanning(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[a]), int(ids[b])) for b, a in enumerate(label.tolist()) if a != b]
 
 
-def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _edges(rows: list[tuple[int, ...]], names: tuple[str, ...] = ("a", "b")) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
 
 
 def _list_edges(min_minima: int, percent: int):
-    """mapInArrow over lists sorted by key and blocks: representative and member of what collides often enough."""
+    """mapInArrow over lists sorted by key and blocks: list, representative and member of what collides often enough."""
+    names = ("key", "a", "b")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for group in _groups(batches, ["key", *PAIR]):
-            ids, n = group.column("id").to_numpy(), group.column("n").to_numpy()
+            key, ids, n = group.column("key")[0].as_py(), group.column("id").to_numpy(), group.column("n").to_numpy()
             if len(ids) < 2:
                 continue
             minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), np.uint8).reshape(len(ids), N_MINIMA)
@@ -211,11 +284,11 @@ def _list_edges(min_minima: int, percent: int):
             for a in range(0, len(ids), step):
                 hits = (minima[a : a + step, None, :] == minima[None, :, :]).sum(2)
                 near[a : a + step] &= hits >= min_minima
-            out += _spanning(ids, near)
+            out += [(key, a, b) for a, b in _spanning(ids, near)]
             if len(out) > 10_000:
-                yield _edges(out)
+                yield _edges(out, names)
                 out = []
-        yield _edges(out)
+        yield _edges(out, names)
 
     return words.releasing(edges)
 
@@ -340,9 +413,8 @@ def minhash_dedup(
     first = members.filter("n > 0 AND rep = id").select("id", "set").distinct()
     sets = full.withColumnRenamed("k1", "set").join(first, ["id", "set"], "left_semi").dropDuplicates(["id", "set"])
     sets = sets.select("id", "set", "n", "keys", "minima")
-    postings = stage(prefix_postings(sets, min_matches), "postings").withColumn("part", F.lit(-1).cast("long"))
-    near = _by_pair(_blocks(postings, "key", block, percent), "key").mapInArrow(_list_edges(min_minima, percent), "a long, b long")
-    near = stage(near.distinct(), "near")
+    postings = stage(prefix_postings(sets, min_matches), "postings")
+    near = stage(candidates(postings, block, percent, min_minima), "near")
     families = stage(components(near).select(F.col("node").alias("id"), F.col("component").alias("family")), "families")
     texts = stage(_sets_of(rows, families, shingle), "sets")
     sure = stage(_confirmed(near, texts, percent), "sure")
@@ -350,11 +422,7 @@ def minhash_dedup(
     joined = stage(components(sure), "joined")
     known = joined.select(F.col("node").alias("id"), F.col("component").alias("joined"))
     known = stage(families.join(known, "id", "left").select("id", "family", F.coalesce("joined", "id").alias("joined")), "known")
-    apart = known.groupBy("family").agg(F.min("joined").alias("low"), F.max("joined").alias("high")).filter("low <> high").select("family")
-    apart = known.join(apart, "family", "left_semi")
-    large = apart.groupBy("family", "joined").count().filter(F.col("count") >= block)
-    numbered = large.select("family", "joined", F.pmod(F.xxhash64("joined"), F.lit(1 << 62)).alias("part"))
-    parts = apart.join(numbered, ["family", "joined"], "left").select("id", F.coalesce("part", F.lit(-1).cast("long")).alias("part"))
+    parts = _apart(known, "family", block).select("id", "part")
     rest = stage(texts.join(parts, "id"), "apart")
     late = _by_pair(_blocks(rest, "family", block, percent), "family").mapInArrow(_set_links(percent), "a long, b long")
     several = members.filter("n > 0").groupBy("id").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
