@@ -26,6 +26,23 @@ def test_substring_dedup(docs, pairs, bucket_bytes, most_postings, monkeypatch):
             assert (f.ref_doc, f.ref_start) < (r.doc_id, f.start)
 
 
+def test_substring_dedup_batches_inside_a_text(spark):
+    """A text's runs fill several Arrow batches; those behind the first hold no row with a text."""
+    rng = random.Random(8)
+    passages = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(24)]
+    texts = [*passages, " x ".join(passages), " y ".join(reversed(passages)), " x ".join(passages), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "4")
+    try:
+        rows = substring_dedup.substring_dedup(docs).collect()
+    finally:
+        spark.conf.set(most, before)
+    expect = brute.repeated_windows([(i, t or "") for i, t in enumerate(texts)], 20)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == expect
+
+
 def test_substring_dedup_edges(odd_docs, empty_docs):
     rows = substring_dedup.substring_dedup(odd_docs).collect()
     assert len(rows) == 6 and all(r.n_removed == 0 for r in rows)

@@ -40,7 +40,7 @@ RUNS = "doc long, same long, start int, n int, ref_doc long, ref_same long, ref_
 #: Words of a reference block.
 BLOCK_WORDS = 512
 #: Text that a task settles at a time, and of the sample that hot anchors are looked for in.
-SLICE_BYTES, SAMPLE_BYTES = 4 << 20, 1 << 30
+SLICE_BYTES, SAMPLE_BYTES = 2 << 20, 1 << 30
 #: Text, and rows, that a task hands on at a time.
 OUT_BYTES, OUT_ROWS = 1 << 20, 2000
 #: Postings that an anchor may bring to a bucket; it is hot if it has more, and HOT of them or more in the sample.
@@ -361,7 +361,7 @@ def _groups(is_text: np.ndarray) -> Iterator[tuple[int, int, int]]:
     heads = np.flatnonzero(is_text).tolist()
     if len(is_text) and (not heads or heads[0]):
         yield -1, 0, heads[0] if heads else len(is_text)
-    for a, b in zip(heads, [*heads[1:], len(is_text)], strict=True):
+    for a, b in zip(heads, [*heads, len(is_text)][1:], strict=True):  # a batch may lie inside one text's rows and have no head
         yield a, a + 1, b
 
 
