@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from webkiln.llm import sentence_pieces
@@ -44,6 +45,18 @@ def test_null_ids_and_repeated_rows(spark, odd_docs, empty_docs, most_bytes):
     assert encoded(empty_docs, most_bytes=most_bytes) == []
 
 
+def test_chunks_that_occur_once_stay_off_the_driver(spark):
+    """Only repeated chunks are broadcast, the most frequent first, however much room there is."""
+    texts = [*(f"only{i} here here" for i in range(50)), "twice and and twice", None]
+    counts = sentence_pieces.count_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "text")
+    frequent, complete = sentence_pieces.head_of(counts, MODEL, 128 << 20)
+    assert complete
+    assert [(r.chunk, r.n) for r in frequent.collect()] == [(" here", 100), (" and", 2), (" twice", 2)]
+    head = sentence_pieces.Head(frequent, "<u2")
+    data, begin, end, _ = sentence_pieces.chunks_of(pa.array([" and twice here only7"]))
+    assert head.find(data, begin, end).tolist() == [1, 2, 0, -1]
+
+
 def test_decoding_of_any_ids(spark):
     rng = random.Random(5)
     lists = [[rng.randrange(32000) for _ in range(rng.randint(0, 20))] for _ in range(200)] + [[], [2], [1, 5, 2], [0], [1, 29871, 35, 2], [228, 2], None]

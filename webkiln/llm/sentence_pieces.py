@@ -165,16 +165,21 @@ def _id_lists(column: pa.ChunkedArray, width: str) -> tuple[np.ndarray, np.ndarr
 
 
 class Head:
-    """Frequent chunks with their ids as sorted arrays; a chunk's number is its rank by frequency."""
+    """Frequent chunks with their ids as sorted arrays; a chunk's number is its rank by frequency, in which ``frequent`` is sorted."""
 
-    def __init__(self, rows: pa.Table, width: str):
-        rows = rows.take(pa.compute.sort_indices(rows, [("n", "descending"), ("chunk", "ascending")])).combine_chunks()
+    def __init__(self, frequent: DataFrame, width: str):
+        rows = frequent.toArrow()
         self.text, at = words.text_bytes(rows.column("chunk"))
-        self.text_at, self.text_n = at[:-1].astype(np.uint32), np.diff(at).astype(np.uint32)
         edges, self.ids = _id_lists(rows.column("ids"), width)
+        del rows  # the driver holds the received table and one copy, then the copy alone
+        words.release()
+        self.text_at, self.text_n = at[:-1].astype(np.uint32), np.diff(at).astype(np.uint32)
         sizes = np.diff(edges)
         self.ids_at, self.ids_n = (np.cumsum(sizes) - sizes).astype(np.uint32), sizes.astype(np.uint16 if sizes.max(initial=0) < 1 << 16 else np.uint32)
-        key = words.hash_spans(self.text, at[:-1], at[1:])
+        key = np.zeros(len(sizes), np.uint64)
+        for a in range(0, len(key), 1 << 18):
+            own = at[a : a + (1 << 18) + 1]
+            key[a : a + (1 << 18)] = words.hash_spans(self.text[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0])
         self.rank = np.argsort(key, kind="stable").astype(np.uint32)
         self.key = key[self.rank]
 
@@ -238,21 +243,22 @@ def _with_ends(ids: np.ndarray, per_text: np.ndarray, end_id: int) -> pa.Array:
     return _lists(out, edges)
 
 
-def head_of(counts: DataFrame, model: PieceModel, most_bytes: int) -> tuple[pa.Table, bool]:
-    """The frequent chunks that fit ``most_bytes``, and whether every repeated chunk is among them.
+def head_of(counts: DataFrame, model: PieceModel, most_bytes: int) -> tuple[DataFrame, bool]:
+    """The frequent chunks (chunk, n, ids) that fit ``most_bytes``, the most frequent first, and whether every repeated chunk is among them.
 
-    They are all chunks that occur ``2**k`` times or more, for the smallest such k.
+    They are all chunks that occur ``2**k`` times or more, for the smallest such k above 0:
+    a chunk that occurs once is segmented once wherever that is done, so it need not travel.
     """
     power = (F.length(F.bin("n")) - 1).alias("power")
-    sizes = counts.groupBy(power).agg(F.sum(2 * F.octet_length("chunk") + 24).alias("bytes")).collect()  # a row per power of two
+    sizes = counts.filter("n > 1").groupBy(power).agg(F.sum(2 * F.octet_length("chunk") + 24).alias("bytes")).collect()  # a row per power of two
     least, taken = 62, 0
     for row in sorted(sizes, key=lambda r: -r.power):
         taken += row.bytes
         if taken > most_bytes:
             break
         least = row.power
-    complete = all(row.power < 1 or row.power >= least for row in sizes)
-    return segment(counts.filter(F.col("n") >= 1 << least), model).toArrow(), complete
+    complete = all(row.power >= least for row in sizes)
+    return segment(counts.filter(F.col("n") >= 1 << least).orderBy(F.desc("n"), "chunk"), model), complete
 
 
 def encode_documents(
@@ -270,9 +276,8 @@ def encode_documents(
     library = model.load()
     end_id, width = library.eos_id(), "<u2" if library.get_piece_size() <= 1 << 16 else "<u4"
     counts = stage(count_chunks(docs, text_col), "chunks")
-    rows, complete = head_of(counts, model, most_bytes)
-    head = docs.sparkSession.sparkContext.broadcast(Head(rows, width))
-    del rows
+    frequent, complete = head_of(counts, model, most_bytes)
+    head = docs.sparkSession.sparkContext.broadcast(Head(frequent.select("chunk", "ids"), width))
     words.release()
     if not complete:
         return _joined(docs, counts, model, head, id_col, text_col, width)
