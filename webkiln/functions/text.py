@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CJK = r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]"
+_SCRIPTS = r"\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}"
+CJK = f"[{_SCRIPTS}]"
+#: No character of those scripts comes before; a range is tested much faster than scripts.
+_MAY_BE_CJK = r"[\x{1100}-\x{10FFFF}]"
 
 
-def count_words(text: Column) -> Column:
+def count_words(text: Column | str) -> Column:
     """Runs of non-space count one; every Han, Hangul, Hiragana or Katakana character too."""
-    spaced = F.regexp_replace(text, CJK, " ")
-    return (F.regexp_count(text, F.lit(CJK)) + F.regexp_count(spaced, F.lit(r"(?U)\S+"))).cast("int")
+    text = F.col(text) if isinstance(text, str) else text
+    runs = lambda t: F.regexp_count(t, F.lit(r"(?U)\S+"))
+    cjk = F.regexp_count(text, F.lit(CJK)) + runs(F.regexp_replace(text, CJK, " "))
+    return F.when(text.rlike(_MAY_BE_CJK), cjk).otherwise(runs(text)).cast("int")
+
+
+def in_run(char: Column) -> Column:
+    """Whether one character belongs to a run of non-space, as ``count_words`` counts them."""
+    return char.rlike(rf"(?U)^[^\s{_SCRIPTS}]")
 
 
 def is_cjk(text: Column) -> Column:

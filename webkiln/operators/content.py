@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webkiln.functions.text import count_words
+from webkiln.functions.text import count_words, in_run
 
 #: The entry points in order of preference, as (kind, value).
 ENTRY_POINTS = (
@@ -30,12 +30,13 @@ def measured(nodes: DataFrame) -> DataFrame:
 
     ``chars`` to ``tables`` count what stands up to and including the row, so that for
     an element the difference between its ``last`` row and itself is its subtree's.
+    ``counted`` and ``mid_word`` are those of ``with_words``.
     """
     order = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     text = F.when(F.col("kind") == "text", F.col("text"))
     upto = lambda value, name: F.sum(F.coalesce(value, F.lit(0))).over(order).alias(name)
     is_ = lambda tag: (F.col("tag") == tag).cast("int")
-    return nodes.select(
+    return with_words(nodes).select(
         "*",
         upto(F.char_length(text), "chars"),
         upto(is_("p"), "paragraphs"),
@@ -48,6 +49,26 @@ def measured(nodes: DataFrame) -> DataFrame:
 TOTALS = ("chars", "paragraphs", "images", "tables", "articles")
 
 
+def with_words(nodes: DataFrame) -> DataFrame:
+    """The node table with ``counted``, the words up to and including the row, and ``mid_word``: whether they end inside a run.
+
+    Each text is counted once; a run that goes on from one text to the next counts where it begins.
+    """
+    page = Window.partitionBy("page_id").orderBy("pre")
+    upto, before = page.rowsBetween(Window.unboundedPreceding, Window.currentRow), page.rowsBetween(Window.unboundedPreceding, -1)
+    says = F.when((F.col("kind") == "text") & (F.col("text") != ""), F.col("text"))
+    ends = F.when(says.isNotNull(), in_run(F.right(says, F.lit(1))))
+    rows = nodes.withColumns({"mid_word": F.coalesce(F.last(ends, True).over(upto), F.lit(False)), "__open": F.last(ends, True).over(before)})
+    goes_on = F.when(F.col("__open") & in_run(F.left(says, F.lit(1))), 1).otherwise(0)
+    return rows.withColumn("counted", F.sum(F.coalesce(count_words(says), F.lit(0)) - goes_on).over(upto)).drop("__open")
+
+
+def words_between(content: Column) -> Column:
+    """The words of ``content``, the text of the rows after one with ``counted`` and ``mid_word`` up to one with ``end_counted``."""
+    cut = F.col("mid_word") & in_run(F.left(content, F.lit(1)))
+    return (F.col("end_counted") - F.col("counted") + F.when(cut, 1).otherwise(0)).cast("int")
+
+
 def page_texts(nodes: DataFrame) -> DataFrame:
     """(page_id, page_text): all text of a page in document order, nothing between."""
     parts = F.sort_array(F.collect_list(F.when(F.col("kind") == "text", F.struct("pre", "text"))))
@@ -60,13 +81,13 @@ def subtree_totals(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     One equi-join on (page_id, last) fetches the totals at the subtree's end, one on
     page_id the page's text, of which the subtree's text is a slice.
     """
-    ends = nodes.select("page_id", F.col("pre").alias("last"), *[F.col(c).alias(f"end_{c}") for c in TOTALS])
+    ends = nodes.select("page_id", F.col("pre").alias("last"), *[F.col(c).alias(f"end_{c}") for c in (*TOTALS, "counted")])
     rows = elements.join(ends, ["page_id", "last"]).join(page_texts(nodes), "page_id")
     piece = F.substr("page_text", F.col("chars") + 1, F.col("end_chars") - F.col("chars"))
     rows = rows.withColumn("content_text", piece).drop("page_text")
     for c in TOTALS:
         rows = rows.withColumn(f"n_{c}", F.col(f"end_{c}") - F.col(c)).drop(f"end_{c}")
-    return rows.withColumn("words", count_words(F.trim("content_text")))
+    return rows.withColumn("words", words_between(F.col("content_text"))).drop("counted", "end_counted", "mid_word")
 
 
 def link_bytes(nodes: DataFrame, elements: DataFrame) -> DataFrame:

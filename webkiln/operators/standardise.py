@@ -308,7 +308,7 @@ def flatten_wrappers(parent: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray,
 
 
 def flattened(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (with ``code``) after wrappers are flattened, with the position of each node's parent.
+    """``nodes`` (with ``code``) after wrappers are flattened, with the position and tag of each node's parent.
 
     A root, which is the first node of its page, stays.
     """
@@ -330,10 +330,11 @@ def flattened(nodes: DataFrame) -> DataFrame:
             table = table.set_column(table.column_names.index("tag"), "tag", tag).select(names)
             root = parent == np.arange(len(parent))
             table = table.append_column("parent", pa.array(pre[parent], pa.int32(), mask=root)).append_column("made", pa.array(paragraph))
+            table = table.append_column("parent_tag", pa.compute.take(table.column("tag"), pa.array(parent, mask=root)))
             yield from table.filter(pa.array(alive)).to_batches()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "bits")
-    out = rows.mapInArrow(run, f"{kinds}, parent int, made boolean")
+    out = rows.mapInArrow(run, f"{kinds}, parent int, made boolean, parent_tag string")
     return out.withColumn("attrs", F.when(F.col("made"), F.expr("map()").cast("map<string,string>")).otherwise(F.col("attrs"))).drop("made")
 
 
@@ -358,7 +359,7 @@ def _without_dividers(rows: DataFrame, solid: Column) -> DataFrame:
 def lines_and_breaks(nodes: DataFrame, tidy: bool = True) -> DataFrame:
     """Dividers at both ends and line breaks beyond two in a row leave; white space is tidied.
 
-    ``nodes`` have ``parent`` and ``code``.  Blank texts leave; between other children of an element that is
+    ``nodes`` have ``parent``, ``parent_tag`` and ``code``.  Blank texts leave; between other children of an element that is
     no block a space is put, unless one is there or a mark stands at the joint.
     """
     rows = nodes
@@ -380,8 +381,6 @@ def lines_and_breaks(nodes: DataFrame, tidy: bool = True) -> DataFrame:
         return rows.drop("__prev", "__run", "__place")
     siblings = Window.partitionBy("page_id", "parent").orderBy("pre")
     rows = rows.withColumn("__left", F.lag(F.struct("kind", "text")).over(siblings))
-    tags = rows.filter("kind = 'element'").select("page_id", F.col("pre").alias("parent"), F.col("tag").alias("parent_tag"))
-    rows = rows.join(tags, ["page_id", "parent"], "left")
     both = (F.col("kind") == "element") | (F.col("__left.kind") == "element")
     marks = _true(F.col("text").rlike(r"^[,.!?:;)\]]")) | _true(F.col("__left.text").rlike(r"[,.!?:;(\[]\s*$"))
     spaced = _true(F.col("text").startswith(" ")) | _true(F.col("__left.text").endswith(" "))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webkiln.functions.text import count_words
@@ -71,10 +72,8 @@ def cleaned(marked: DataFrame, main: DataFrame, titles: DataFrame, steps: tuple[
     left = removals.subtree(left, main)
     if "patterns" in steps:
         left = materialise(left, "inside")
-        left = patterns.mark_patterns(left, main)
-        if tries is not None:
-            left = left.withColumn("reason", F.when(~unless["patterns"], F.col("reason")))
-        left = removals.remove(left)
+        looked = None if tries is None else left.filter(~unless["patterns"])
+        left = removals.remove(patterns.mark_patterns(left, main, looked))
     return standardise.standardise(left, titles, debug)
 
 
@@ -86,10 +85,32 @@ LADDER = ((("partial",), 200, 1), (("hidden",), 50, 2), (("low", "partial", "pat
 LIKELY = 2
 
 
+def _can_differ(marked: DataFrame, main: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    """(page_id, words, can): the rungs of each page that leave out a step which found something in or around the main content.
+
+    Any other rung gives what rung 0 gives, so it never wins.  What content patterns find is not known yet.
+    """
+    out = [[s for s in without if s in steps] for without, _, _ in LADDER]
+    asked = sorted({s for dropped in out for s in dropped if s != "patterns"})
+    main = main.select("page_id", "words", F.col("pre").alias("main_pre"), F.col("last").alias("main_last"))
+    found = marked.select("page_id", "pre", "last", *[f"is_{s}" for s in asked])
+    found = found.filter(reduce(lambda a, b: a | b, [F.col(f"is_{s}") for s in asked], F.lit(False)))
+    found = found.join(main, "page_id").filter("pre <= main_last AND last >= main_pre")
+    found = found.groupBy("page_id").agg(F.count("*").alias("n"), *[F.bool_or(f"is_{s}").alias(s) for s in asked])
+    does = lambda s: F.lit(True) if s == "patterns" else F.coalesce(s, F.lit(False))
+    can = [F.when(reduce(lambda a, b: a | b, map(does, dropped), F.lit(False)), F.lit(rung)) for rung, dropped in enumerate(out, 1)]
+    return main.join(found, "page_id", "left").select("page_id", "words", F.array_compact(F.array(*can)).alias("can"))
+
+
+def _needed(first: bool) -> Column:
+    """The rungs that a page with ``words`` comes to and that ``can`` differ; the first plan has rung 0 of all."""
+    rungs = [F.when((F.col("words") < below) & F.array_contains("can", rung), F.lit(rung)) for rung, (_, below, _) in enumerate(LADDER, 1)]
+    return F.array_compact(F.array(*[F.lit(0)] * first, *rungs))
+
+
 def _tries(words: DataFrame, first: bool) -> DataFrame:
-    """(page_id, rung, try_id): the rungs that pages (page_id, words) come to; the first plan has rung 0 of all."""
-    rungs = [F.when(F.col("words") < below, F.lit(rung)) for rung, (_, below, _) in enumerate(LADDER, 1)]
-    tries = words.select("page_id", F.explode(F.array_compact(F.array(*[F.lit(0)] * first, *rungs))).alias("rung"))
+    """(page_id, rung, try_id): the rungs that pages (page_id, words, can) come to."""
+    tries = words.select("page_id", F.explode(_needed(first)).alias("rung"))
     at = F.monotonically_increasing_id() * 2 + (0 if first else 1)
     return materialise(tries.withColumn("try_id", at), "tries")
 
@@ -98,13 +119,14 @@ def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: O
     """Cleaned nodes and the ladder step that gave them, pages with few words retried with fewer steps.
 
     What a step finds does not depend on the others, so elements are marked once.  One plan cleans all pages, and those
-    with few words before any removal for each rung that they may come to as well; a second one does
+    with few words before any removal for each rung that they may come to and that can differ as well; a second one does
     the rungs of pages that only removal made short, if there are any.  A page then climbs the rungs by its
     counts of words, each of which has to be enough more than the one before.
     """
     steps = options.steps()
     marked = materialise(removals.mark_steps(nodes, main, steps), "marked")
-    tries = _tries(main.select("page_id", (F.col("words") / LIKELY).alias("words")), True)
+    can = materialise(_can_differ(marked, main, steps), "can")
+    tries = _tries(can.withColumn("words", F.col("words") / LIKELY), True)
     done = materialise(cleaned(marked, main, titles, steps, options.debug, tries), "rungs")
 
     def counted(done: DataFrame, tries: DataFrame) -> DataFrame:
@@ -112,9 +134,9 @@ def with_ladder(nodes: DataFrame, main: DataFrame, titles: DataFrame, options: O
         return materialise(tries.join(words, "try_id", "left").withColumn("words", F.coalesce("words", F.lit(0))), "words")
 
     words = counted(done, tries)
-    rungs = words.groupBy("page_id").agg(F.max(F.when(F.col("rung") == 0, F.col("words"))).alias("words"), F.max("rung").alias("tried"))
-    needed = F.array_max(F.array(F.lit(0), *[F.when(F.col("words") < below, F.lit(rung)) for rung, (_, below, _) in enumerate(LADDER, 1)]))
-    late = materialise(rungs.filter(F.col("tried") < needed).select("page_id", "words"), "late")
+    rungs = words.groupBy("page_id").agg(F.max(F.when(F.col("rung") == 0, F.col("words"))).alias("words"), F.collect_set("rung").alias("tried"))
+    rungs = rungs.join(can.select("page_id", "can"), "page_id")
+    late = materialise(rungs.filter(F.size(F.array_except(_needed(False), "tried")) > 0).select("page_id", "words", "can"), "late")
     if not late.isEmpty():
         missing = _tries(late, False).join(tries.select("page_id", "rung"), ["page_id", "rung"], "left_anti")
         missing = materialise(missing, "tries")
