@@ -1,5 +1,6 @@
 """What keeps extraction in proportion to its pages: words counted once, rungs that cannot differ left out, one pass of standardisation."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from webkiln.functions.text import count_words
@@ -61,3 +62,43 @@ def test_standardisation_reads_its_nodes_once(spark, tmp_path):
     assert physical.count("/inside") == 1
     marks = {(r.tag, r.parent_tag) for r in rows.filter("kind = 'element'").collect()}
     assert ("article", None) in marks and ("b", "article") in marks
+
+
+def test_what_holds_nothing_leaves_as_its_definition_says():
+    rng = np.random.default_rng(4)
+    S = standardise
+    kinds = [S.TEXT, S.TEXT | S.COMMA, 0, S.ELEMENT, S.ELEMENT | S.IS_DIV, S.ELEMENT | S.IS_SPAN, S.ELEMENT | S.IS_SPAN | S.BARE, S.ELEMENT | S.HEADING, S.ELEMENT | S.MAY_LACK]
+    page, pre, last, kind = [], [], [], []
+    for number in range(300):
+        n = int(rng.integers(1, 12))
+        chosen = [S.ELEMENT, *(int(rng.choice(kinds)) for _ in range(n - 1))]
+        parent = [-1]
+        for i in range(1, n):  # a random tree in document order: below the node before or one around it
+            at = i - 1
+            while parent[at] >= 0 and (not chosen[at] & S.ELEMENT or rng.random() < 0.5):
+                at = parent[at]
+            parent.append(at)
+        ends = list(range(n))
+        for i in reversed(range(1, n)):
+            ends[parent[i]] = max(ends[parent[i]], ends[i])
+        page += [number * 7 - 900] * n
+        pre += [8 * i + 4 for i in range(n)]
+        last += [8 * e + 7 for e in ends]
+        kind += chosen
+    rows = list(zip(page, pre, last, kind, strict=True))
+    want = []
+    for number in sorted(set(page)):
+        own = [r for r in rows if r[0] == number and not r[3] & S.BARE]
+        below = lambda r: [x for x in own if r[1] < x[1] <= r[2]]  # noqa: B023, E731
+        commas = [
+            r for r in own if r[3] & S.IS_DIV and any(x[3] & S.IS_SPAN for x in below(r))
+            and not any((x[3] & S.ELEMENT and not x[3] & S.IS_SPAN) or (x[3] & S.TEXT and not x[3] & S.COMMA) for x in below(r))
+        ]
+        own = [r for r in own if not any(c[1] <= r[1] <= c[2] for c in commas)]
+        said = max((r[1] for r in own if r[3] & S.TEXT and not any(h[3] & S.HEADING and h[1] < r[1] <= h[2] for h in own)), default=-1)
+        solid = lambda r: r[3] & (S.TEXT | S.MAY_LACK)
+        gone = [r for r in own[1:] if (r[3] & S.ELEMENT and not solid(r) and not any(map(solid, below(r)))) or (r[3] & S.HEADING and said < r[1])]
+        want += [r for r in own if not any(g[1] <= r[1] <= g[2] for g in gone)]
+    stays = S.holding(*(np.array(x, t) for x, t in zip((page, pre, last, kind), (np.int64, np.int32, np.int32, np.int32), strict=True)))
+    assert [r for r, stay in zip(rows, stays, strict=True) if stay] == want and 0 < len(want) < len(rows)
+    assert len(S.holding(*(np.zeros(0, np.int64),) * 4)) == 0

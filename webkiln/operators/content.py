@@ -30,8 +30,10 @@ def measured(nodes: DataFrame) -> DataFrame:
 
     ``chars`` to ``tables`` count what stands up to and including the row, so that for
     an element the difference between its ``last`` row and itself is its subtree's.
-    ``counted`` and ``mid_word`` are those of ``with_words``.
+    ``counted`` and ``mid_word`` are those of ``with_words``.  A table that has been measured comes back as it is.
     """
+    if set(MEASURED) <= set(nodes.columns):
+        return nodes
     order = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     text = F.when(F.col("kind") == "text", F.col("text"))
     upto = lambda value, name: F.sum(F.coalesce(value, F.lit(0))).over(order).alias(name)
@@ -47,6 +49,8 @@ def measured(nodes: DataFrame) -> DataFrame:
 
 
 TOTALS = ("chars", "paragraphs", "images", "tables", "articles")
+#: What ``measured`` adds; true of a page's whole node table only.
+MEASURED = (*TOTALS, "counted", "mid_word")
 
 
 def with_words(nodes: DataFrame) -> DataFrame:
@@ -132,7 +136,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
         has = F.array_contains(classes(attrs), value) if kind == "class" else (F.col("tag") if kind == "tag" else attrs[kind]) == value
         tests.append(F.when(has, F.lit(i)))
     measured_ = measured(nodes)
-    hits = measured_.filter("kind = 'element'").withColumn("hits", F.array_compact(F.array(*tests))).filter(F.size("hits") > 0)
+    may_hit = (F.size("attrs") > 0) | F.col("tag").isin(*[value for kind, value in ENTRY_POINTS if kind == "tag"])
+    hits = measured_.filter("kind = 'element'").withColumn("hits", F.when(may_hit, F.array_compact(F.array(*tests)))).filter(F.size("hits") > 0)
     rows = scored(measured_, hits)
     return rows.select("*", F.explode("hits").alias("sel_idx")).select(
         "page_id", "pre", "last", "tag", "sel_idx", "words", "n_articles",

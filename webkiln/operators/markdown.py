@@ -58,19 +58,20 @@ def with_context(rows: DataFrame) -> DataFrame:
     alert = (tag == "div") & _attr("class").contains("markdown-alert")
     spans = F.col("attrs")["colspan"].isNotNull() | F.col("attrs")["rowspan"].isNotNull()
     rows = rows.withColumns({"__math": _true(math), "__ref": _true(reference), "__alert": _true(alert)})
-    complex_ = F.min(F.when(tag.isin("td", "th") & spans, F.col("pre"))).over(back) <= F.col("last")
+    complex_ = F.min(F.when(tag.isin("td", "th") & spans, F.col("pre"))).over(back) <= F.col("last")  # what looks back comes first, so that the rest shares one order
     language = F.min(F.when(tag == "code", F.struct("pre", F.coalesce(F.nullif(_attr("data-lang"), F.lit("")), F.regexp_extract(_attr("class"), r"(?:^|\s)(?:language|lang)-(\S+)", 1)).alias("s")))).over(back)
     rows = rows.withColumns({
-        "__silent": inside(silent), "__own_silence": _true(silent & ~math & ~reference), "__raw": inside(tag == "pre"), "__in_list": inside(tag == "li"),
-        "__html": inside(tag.isin(*KEPT_HTML)), "__complex": _true((tag == "table") & complex_), "__label": inside(alert) & _true(label),
+        "__complex": _true((tag == "table") & complex_),
         "__lang": F.when(tag == "pre", F.coalesce(F.when(language["pre"] <= F.col("last"), language["s"]), F.lit(""))),
-        "__cell": inside(tag.isin("td", "th")),
+    })
+    rows = rows.withColumns({
+        "__silent": inside(silent), "__own_silence": _true(silent & ~math & ~reference), "__raw": inside(tag == "pre"), "__in_list": inside(tag == "li"),
+        "__html": inside(tag.isin(*KEPT_HTML)), "__label": inside(alert) & _true(label), "__cell": inside(tag.isin("td", "th")),
+        "__start": F.last(F.when(tag == "ol", F.struct("pre", F.col("attrs")["start"].alias("s"))), True).over(before),
     })
     rows = rows.withColumn("__grid", inside((tag == "table") & ~F.col("__complex")))
     rows = rows.withColumns({"__html": F.col("__html") | inside(F.col("__complex")), "__hush": inside(F.col("__label"))})
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("pre"))).withColumn(
-        "__start", F.last(F.when(tag == "ol", F.struct("pre", F.col("attrs")["start"].alias("s"))), True).over(before)
-    )
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("pre")))
 
 
 def marks(html_open: Column, html_close: Column) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webkiln.operators.blocks import low_blocks
-from webkiln.operators.content import ENTRY_POINTS, classes
+from webkiln.operators.content import ENTRY_POINTS, MEASURED, classes
 
 # Exact removal rules, by what they test.
 TAGS = (
@@ -67,23 +67,30 @@ def _attr(name: str) -> Column:
     return F.coalesce(F.col("attrs")[name], F.lit(""))
 
 
+def _attributed(rule: Column) -> Column:
+    """``rule`` where the element has attributes; most have none."""
+    return F.when(F.size("attrs") > 0, rule).otherwise(False)
+
+
 def exact_victim() -> Column:
     tag, low = F.col("tag"), F.lower(_attr("class"))
-    return (
+    by_tag = (
         tag.isin(*TAGS)
-        | F.arrays_overlap(classes(F.col("attrs")), F.array(*[F.lit(c) for c in CLASSES]))
-        | _attr("id").isin(*IDS)
-        | F.lower(_attr("role")).isin(*ROLES)
-        | F.lower(_attr("role")).contains("complementary")
         | ((tag == "script") & ~F.startswith(_attr("type"), F.lit("math/")))
         | ((tag == "audio") & F.col("attrs")["src"].isNull())
         | ((tag == "aside") & ~_attr("class").contains("callout"))
         | ((tag == "input") & (_attr("type") != "checkbox"))
         | ((tag == "iframe") & ~_attr("src").rlike(r"youtube|youtu\.be|vimeo|twitter|x\.com|datawrapper"))
+        | ((tag == "header") & ~F.coalesce(F.col("has_p"), F.lit(True)))
+    )
+    by_attrs = (
+        F.arrays_overlap(classes(F.col("attrs")), F.array(*[F.lit(c) for c in CLASSES]))
+        | _attr("id").isin(*IDS)
+        | F.lower(_attr("role")).isin(*ROLES)
+        | F.lower(_attr("role")).contains("complementary")
         | (F.array_contains(classes(F.col("attrs")), "ad") & ~_attr("class").contains("gradient"))
         | (F.array_contains(classes(F.col("attrs")), "header") & ~F.array_contains(classes(F.col("attrs")), "banner"))
         | low.rlike(r"^ad-|-ad$|pagination|^logo$")
-        | ((tag == "header") & ~F.coalesce(F.col("has_p"), F.lit(True)))
         | F.lower(_attr("alt")).contains("advert")
         | F.lower(_attr("id")).rlike(r"^ad-|-ad$|^comments?$")
         | ((tag == "div") & F.concat(_attr("class"), F.lit(" "), _attr("id")).contains("cover-"))
@@ -96,6 +103,7 @@ def exact_victim() -> Column:
         | _attr("src").contains("author")
         | F.lower(F.concat(_attr("data-link-name"), F.lit(" "), _attr("aria-label"))).contains("skip")
     )
+    return by_tag | _attributed(by_attrs)
 
 
 def partial_victim(pattern: str | None = None) -> Column:
@@ -105,7 +113,7 @@ def partial_victim(pattern: str | None = None) -> Column:
     entry = F.arrays_overlap(named, F.array(*[F.lit(v) for kind, v in ENTRY_POINTS if kind == "class"])) | _attr("id").isin(
         *[v for kind, v in ENTRY_POINTS if kind == "id"]
     )
-    return name_parts(tested).rlike(pattern or clutter_pattern()) & ~entry & ~F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")
+    return _attributed(name_parts(tested).rlike(pattern or clutter_pattern()) & ~entry & ~F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def hidden_victim() -> Column:
@@ -113,7 +121,7 @@ def hidden_victim() -> Column:
     hidden = style.rlike(r"display:\s?none|visibility:\s?hidden|opacity:\s?0")
     named = F.exists(classes(F.col("attrs")), lambda c: c.rlike(r"^(hidden|invisible)$|:(hidden|invisible)$"))
     math = (F.col("tag") == "math") | F.col("attrs")["data-mathml"].isNotNull() | _attr("class").rlike("katex-mathml|MathJax")
-    return (hidden | named) & ~math
+    return _attributed((hidden | named) & ~math)
 
 
 def image_victim() -> Column:
@@ -145,6 +153,7 @@ NAMES = {"small": "small_image", "images": "image", "low": "low_score"}
 def mark_steps(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS, low: DataFrame | None = None) -> DataFrame:
     """The node table with a boolean column per step: whether the element itself is one of the step's victims.
 
+    What ``content.measured`` added is left behind, since it is not true of what a removal leaves.
     ``low`` are the low-scoring blocks where they are at hand already.
 
     Elements that are or hold the main content are kept from all steps but hidden,
@@ -170,8 +179,8 @@ def mark_steps(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS
     tests = {"small": lambda: F.col("small"), "low": lambda: F.col("low"), **REASONS}
     element, free = F.col("kind") == "element", ~holds & ~F.col("in_code")
     allowed = {"small": F.lit(True), "images": element, "hidden": element, "low": free, "exact": element & free, "partial": element & free}
-    found = [F.coalesce(allowed[step] & tests[step](), F.lit(False)).alias(f"is_{step}") for step in ORDER if step in steps]
-    return rows.select(*nodes.columns, *found)
+    found = [F.coalesce(F.when(allowed[step], tests[step]()), F.lit(False)).alias(f"is_{step}") for step in ORDER if step in steps]
+    return rows.select(*[c for c in nodes.columns if c not in MEASURED], *found)
 
 
 def reason(steps: tuple[str, ...], unless: dict[str, Column] | None = None) -> Column:
@@ -182,7 +191,8 @@ def reason(steps: tuple[str, ...], unless: dict[str, Column] | None = None) -> C
 
 def mark_victims(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS, low: DataFrame | None = None) -> DataFrame:
     """The node table with ``reason``: why the element itself is to go, else null."""
-    return mark_steps(nodes, main, steps, low).select(*nodes.columns, reason(steps).alias("reason"))
+    marked = mark_steps(nodes, main, steps, low)
+    return marked.select(*[c for c in marked.columns if not c.startswith("is_")], reason(steps).alias("reason"))
 
 
 def remove(marked: DataFrame) -> DataFrame:

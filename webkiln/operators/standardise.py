@@ -2,11 +2,9 @@
 
 A node that is unwrapped only loses its row: intervals stay nested, so its children belong to
 whatever encloses them.  Positions are spread by ``ROOM`` so that a wrapper, an inner link
-or a space finds a place of its own.  What a node holds is asked by the next position at
-which something of that kind stands: it lies inside if it does not pass the node's
-end, so emptiness spreads upwards without a fixpoint.  Windows are by page; only the flattening
-of wrappers, which does need one, runs rounds over the children of all wrappers of a
-batch of pages at once.
+or a space finds a place of its own.  Windows are by page; empty elements leave and wrappers are flattened
+over all pages of a batch at once.  What a node holds is asked by counts up to its place and up to its
+end, so emptiness spreads upwards without a fixpoint; only wrappers, which do need one, run rounds over their children.
 """
 
 from __future__ import annotations
@@ -83,11 +81,6 @@ def _inside(condition: Column) -> Column:
     return _true(F.max(F.when(condition, F.col("last"))).over(_before()) >= F.col("pre"))
 
 
-def _holds(condition: Column) -> Column:
-    """Whether a node for which ``condition`` holds stands below the row."""
-    return _true(F.min(F.when(condition, F.col("pre"))).over(_after()) <= F.col("last"))
-
-
 def _filled() -> Column:
     """Text that is more than white space; a no-break space counts."""
     return (F.col("kind") == "text") & _true(F.col("text").rlike(r"[^\s]"))
@@ -132,13 +125,13 @@ def headings_and_spaces(nodes: DataFrame, titles: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("tag").isin("h1", "h2"), F.struct("pre", "last"))).over(page)
     rows = rows.withColumn("__first", first)
     said = F.when((F.col("kind") == "text") & F.col("pre").between(F.col("__first.pre"), F.col("__first.last")), F.col("text"))
-    rows = rows.withColumn("__said", _folded(F.array_join(F.collect_list(said).over(page), "")))
+    rows = rows.withColumn("__said", F.collect_list(said).over(page))
     order = Window.partitionBy("page_id").orderBy("pre")
     texts = [F.btrim(F.coalesce(F.lead("text", k).over(order), F.lit(""))) for k in (1, 2)]
     symbol = (F.col("last") - F.col("pre") < 3 * ROOM) & (texts[0].isin(*PERMALINK_SYMBOLS) | texts[1].isin(*PERMALINK_SYMBOLS))
     named = F.lower(_attr("title")).contains("permalink") | F.lower(_attr("class")).rlike("permalink|heading-anchor|anchor-link")
     anchor = (F.col("tag") == "a") & F.col("__heading") & (_attr("href").contains("#") | named | symbol)
-    repeats = (F.col("pre") == F.col("__first.pre")) & (F.col("__title") != "") & (F.col("__title") == F.col("__said"))
+    repeats = (F.col("pre") == F.col("__first.pre")) & (F.col("__title") != "") & (F.col("__title") == _folded(F.array_join("__said", "")))
     reason = F.when(_true(anchor) | _true(repeats) | _true(F.col("tag").isin(*OBSOLETE)), F.lit("standardise"))
     text = F.when(F.col("__code"), F.col("text")).otherwise(F.replace("text", F.lit("\u00a0"), F.lit("  ")))
     tag = F.when(F.col("tag") == "h1", "h2").otherwise(F.col("tag"))
@@ -155,7 +148,7 @@ def roles_and_links(nodes: DataFrame) -> DataFrame:
     item = (F.col("tag") == "div") & (_attr("role") == "listitem")
     list_ = (F.col("tag") == "div") & (_attr("role") == "list")
     callout = (F.col("tag") == "aside") & _attr("class").contains("callout")
-    has = lambda name: F.array_contains(classes(F.col("attrs")), name)
+    has = lambda name: _attr("class").contains(name) & F.array_contains(classes(F.col("attrs")), name)
     heading = F.col("tag").isin(*HEADINGS)
     link = F.struct("pre", "last", _attr("href").alias("href"))
     order = Window.partitionBy("page_id").orderBy("pre")
@@ -215,26 +208,14 @@ def roles_and_links(nodes: DataFrame) -> DataFrame:
     return rows.select("page_id", F.explode(made).alias("n")).select("page_id", "n.*")
 
 
-def without_empties(nodes: DataFrame, debug: bool = False) -> DataFrame:
-    """Attributes are stripped; bare spans are unwrapped; what holds nothing, divs of commas and headings at the end leave.
-
-    In debug mode only headings at the end do.
-    """
-    rows = nodes.withColumn("attrs", kept_attrs(debug)).withColumn("__text", _filled())
-    if not debug:
-        span, comma = F.col("tag") == "span", (F.col("kind") == "text") & (F.btrim("text") == ",")
-        rows = rows.filter(~_true(span & (F.size("attrs") == 0)))
-        commas = (F.col("tag") == "div") & _holds(span) & ~_holds((F.col("kind") == "element") & ~span) & ~_holds(F.col("__text") & ~comma)
-        rows = remove(rows.withColumn("__commas", _true(commas)).withColumn("reason", F.when(F.col("__commas"), F.lit("commas"))).drop("__commas"))
-    substance = F.col("__text") | _true(F.col("tag").isin(*MAY_BE_EMPTY))
-    rows = rows.withColumn("__heading", _inside(F.col("tag").isin(*HEADINGS)))
-    first = F.min("pre").over(Window.partitionBy("page_id"))
-    end = F.max(F.when(F.col("__text") & ~F.col("__heading"), F.col("pre"))).over(Window.partitionBy("page_id"))
-    rows = rows.withColumn("__first", first).withColumn("__end", end).withColumn("__filled", substance | _holds(substance))
-    trailing = F.col("tag").isin(*HEADINGS) & (F.coalesce("__end", F.lit(-1)) < F.col("pre"))
-    empty = (F.col("kind") == "element") & ~F.col("__filled")
-    gone = (_true(trailing) | (_true(empty) & F.lit(not debug))) & (F.col("pre") != F.col("__first"))
-    return remove(rows.withColumn("reason", F.when(gone, F.lit("empty"))).drop("__heading", "__end", "__filled", "__text", "__first"))
+def without_last_headings(nodes: DataFrame) -> DataFrame:
+    """Headings that no text follows leave; the page's first node stays."""
+    rows = nodes.withColumn("__text", _filled()).withColumn("__heading", _inside(F.col("tag").isin(*HEADINGS)))
+    page = Window.partitionBy("page_id")
+    end = F.max(F.when(F.col("__text") & ~F.col("__heading"), F.col("pre"))).over(page)
+    rows = rows.withColumn("__first", F.min("pre").over(page)).withColumn("__end", end)
+    gone = _true(F.col("tag").isin(*HEADINGS) & (F.coalesce("__end", F.lit(-1)) < F.col("pre"))) & (F.col("pre") != F.col("__first"))
+    return remove(rows.withColumn("reason", F.when(gone, F.lit("empty"))).drop("__heading", "__end", "__text", "__first"))
 
 
 def whole_pages(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
@@ -269,7 +250,49 @@ def parents(page: np.ndarray, pre: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 #: Bits of a node's kind.
-ELEMENT, IS_BLOCK, IS_INLINE, IS_P, KEEPS, TEXT = 1, 2, 4, 8, 16, 32
+ELEMENT, IS_BLOCK, IS_INLINE, IS_P, KEEPS, TEXT, IS_SPAN, BARE, COMMA, MAY_LACK, HEADING, IS_DIV = (1 << k for k in range(12))
+
+
+def holding(page: np.ndarray, pre: np.ndarray, last: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Which nodes stay: bare spans are unwrapped; divs of commas, what holds nothing and headings at the end leave with what stands in them.
+
+    Nodes are sorted by page and position; the first one of a page stays.
+    """
+    at = np.flatnonzero(kind & BARE == 0)
+
+    def numbered() -> tuple[np.ndarray, np.ndarray]:
+        """Of the nodes ``at``: the number of its page, and the place behind the last node in it."""
+        number = np.cumsum(np.diff(page[at], prepend=page[at][:1]) != 0)
+        key = number.astype(np.int64) << 32
+        return number, np.searchsorted(key + pre[at], key + last[at], side="right")
+
+    def depth(marked: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """How many marked nodes enclose a node, itself included."""
+        steps = np.zeros(len(marked) + 1, np.int64)
+        steps[:-1] += marked
+        np.subtract.at(steps, behind[marked], 1)
+        return np.cumsum(steps)[:-1]
+
+    def holds(marked: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(marked)])
+        return upto[behind] > upto[1:]
+
+    number, behind = numbered()
+    has = lambda bit: kind[at] & bit > 0
+    commas = has(IS_DIV) & holds(has(IS_SPAN), behind)
+    if commas.any():
+        commas &= ~holds(has(ELEMENT) & ~has(IS_SPAN), behind) & ~holds(has(TEXT) & ~has(COMMA), behind)
+        at = at[depth(commas, behind) == 0]
+        number, behind = numbered()
+    substance, heading = has(TEXT) | has(MAY_LACK), has(HEADING)
+    said = np.full(int(number[-1]) + 1 if len(at) else 0, -1, np.int64)
+    spoken = has(TEXT) & (depth(heading, behind) == 0)
+    np.maximum.at(said, number[spoken], pre[at][spoken])
+    gone = (has(ELEMENT) & ~substance & ~holds(substance, behind)) | (heading & (said[number] < pre[at]))
+    gone &= np.diff(number, prepend=-1) == 0
+    stays = np.zeros(len(page), bool)
+    stays[at[depth(gone, behind) == 0]] = True
+    return stays
 
 
 def flatten_wrappers(parent: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,15 +331,17 @@ def flatten_wrappers(parent: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray,
 
 
 def flattened(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (with ``code``) after wrappers are flattened, with the position and tag of each node's parent.
+    """``nodes`` (with ``code``) after empty ones left and wrappers are flattened, with the position and tag of each node's parent.
 
-    A root, which is the first node of its page, stays.
+    Attributes are stripped.  A root, which is the first node of its page, stays.
     """
-    bits = F.lit(0)
-    element = F.col("kind") == "element"
+    nodes, bits = nodes.withColumn("attrs", kept_attrs()), F.lit(0)
+    element, span = F.col("kind") == "element", F.col("tag") == "span"
     for bit, condition in (
         (ELEMENT, element), (IS_BLOCK, F.col("tag").isin(*BLOCK)), (IS_INLINE, F.col("tag").isin(*INLINE)), (IS_P, F.col("tag") == "p"),
         (KEEPS, F.col("tag").isin(*PRESERVED) | F.coalesce(F.col("attrs")["role"], F.lit("")).isin(*PRESERVED_ROLES)), (TEXT, _filled()),
+        (IS_SPAN, span), (BARE, span & (F.size("attrs") == 0)), (COMMA, (F.col("kind") == "text") & (F.btrim("text") == ",")),
+        (MAY_LACK, F.col("tag").isin(*MAY_BE_EMPTY)), (HEADING, F.col("tag").isin(*HEADINGS)), (IS_DIV, F.col("tag") == "div"),
     ):
         bits = bits + F.when(_true(condition), bit).otherwise(0)
     rows = nodes.withColumn("bits", bits).repartition("page_id").sortWithinPartitions("page_id", "pre")
@@ -324,6 +349,8 @@ def flattened(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_pages(batches):
+            stays = holding(*(table.column(c).to_numpy() for c in ("page_id", "pre", "last", "bits")))
+            table = table.filter(pa.array(stays))
             page, pre, last, kind = (table.column(c).to_numpy() for c in ("page_id", "pre", "last", "bits"))
             alive, paragraph, parent = flatten_wrappers(parents(page, pre, last), kind)
             tag = pa.compute.if_else(pa.array(paragraph), "p", table.column("tag"))
@@ -338,13 +365,15 @@ def flattened(nodes: DataFrame) -> DataFrame:
     return out.withColumn("attrs", F.when(F.col("made"), F.expr("map()").cast("map<string,string>")).otherwise(F.col("attrs"))).drop("made")
 
 
-def _tidy_text(text: Column) -> Column:
+def _tidy_text(given: Column) -> Column:
+    """White space in order; a text in which no pattern can find anything is looked at once."""
+    text = given
     for pattern, to in (
         (r"\n{3,}", "\n\n"), (r"^[\n\r\t]+", ""), (r"[\n\r\t]+$", ""), (r"[ \t]*\n[ \t]*", "\n"), (r"[ \t]{3,}", " "), (r"\s+([,.!?:;])", "$1"),
         (f"[{_ZERO_WIDTH}]+", ""), (r"\u00A0{2,}", "\u00a0"),
     ):
         text = F.regexp_replace(text, pattern, to)
-    return text
+    return F.when(given.rlike(rf"[\n\r\t{_ZERO_WIDTH}\u00A0]| {{3}}|\s[,.!?:;]"), text).otherwise(given)
 
 
 def _without_dividers(rows: DataFrame, solid: Column) -> DataFrame:
@@ -365,8 +394,8 @@ def lines_and_breaks(nodes: DataFrame, tidy: bool = True) -> DataFrame:
     rows = nodes
     if tidy:
         text = (F.col("kind") == "text") & ~F.col("code")
-        rows = rows.withColumn("text", F.when(text & ~F.col("text").rlike(_BLANK), _tidy_text(F.col("text"))).otherwise(F.col("text")))
-        rows = rows.filter(~_true(text & ((F.col("text") == "") | F.col("text").rlike(_BLANK))))
+        rows = rows.filter(~_true(text & ((F.col("text") == "") | F.col("text").rlike(_BLANK))))  # no other text becomes blank
+        rows = rows.withColumn("text", F.when(text, _tidy_text(F.col("text"))).otherwise(F.col("text")))
     solid = _true((F.col("kind") == "element") | _filled())
     if tidy:
         rows = _without_dividers(rows, solid)
@@ -402,8 +431,8 @@ def standardise(nodes: DataFrame, titles: DataFrame, debug: bool = False) -> Dat
     """
     rows = roles_and_links(headings_and_spaces(_spread(nodes), titles))
     if debug:
-        return lines_and_breaks(_with_parents(without_empties(rows, debug)), tidy=False)
-    return lines_and_breaks(flattened(without_empties(rows)))
+        return lines_and_breaks(_with_parents(without_last_headings(rows.withColumn("attrs", kept_attrs(debug)))), tidy=False)
+    return lines_and_breaks(flattened(rows))
 
 
 def _with_parents(nodes: DataFrame) -> DataFrame:

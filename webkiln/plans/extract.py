@@ -53,7 +53,7 @@ def chosen_content(nodes: DataFrame, selector: str | None = None) -> DataFrame:
 
 def parsed(pages: DataFrame, selector: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The node table, the main content and the metadata of all pages, each computed once."""
-    nodes = materialise(shred(pages), "nodes")
+    nodes = materialise(content.measured(shred(pages)), "nodes")  # four later steps read the running totals
     return nodes, materialise(chosen_content(nodes, selector), "main"), materialise(metadata.page_metadata(pages, nodes), "metadata")
 
 
