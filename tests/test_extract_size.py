@@ -102,3 +102,21 @@ def test_what_holds_nothing_leaves_as_its_definition_says():
     stays = S.holding(*(np.array(x, t) for x, t in zip((page, pre, last, kind), (np.int64, np.int32, np.int32, np.int32), strict=True)))
     assert [r for r, stay in zip(rows, stays, strict=True) if stay] == want and 0 < len(want) < len(rows)
     assert len(S.holding(*(np.zeros(0, np.int64),) * 4)) == 0
+
+
+def test_removal_deals_the_nodes_once(spark, tmp_path):
+    pages = ['<article><p>Text.</p><img src=a width=9><img src=a><img src=b></article><img src=a>', "<div><ul><li><a href=/x>x</a></li></ul></div><article>Text.</article>"]
+    nodes = _nodes(spark, pages)
+    content.measured(nodes).write.parquet(f"{tmp_path}/nodes")
+    content.main_content(nodes).write.parquet(f"{tmp_path}/main")
+    nodes.select("page_id", "pre").filter("tag = 'ul'").write.parquet(f"{tmp_path}/low")
+    nodes, main, low = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("nodes", "main", "low"))
+    marked = removals.mark_steps(nodes, main, ("small", "low"), low)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan_ = marked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [line for line in plan_.splitlines() if "Exchange hashpartitioning(page_id" in line and ", key" in line or "Exchange hashpartitioning(page_id" in line and ", pre" in line]
+    got = {(r.page_id, r.tag, r.attrs.get("src")) for r in marked.filter("is_small OR is_low").collect()}
+    assert got == {(0, "img", "a"), (1, "ul", None)} and marked.filter("is_small").count() == 3

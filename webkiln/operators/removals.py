@@ -170,15 +170,15 @@ def mark_steps(nodes: DataFrame, main: DataFrame, steps: tuple[str, ...] = STEPS
         "has_p": F.coalesce(next_p <= F.col("last"), F.lit(False)),
     })
     holds = F.coalesce((F.col("pre") <= F.col("main_pre")) & (F.col("last") >= F.col("main_last")), F.lit(False))
+    # What was found goes to a page's rows as one list, so that all joins are by page and the nodes are dealt once.
     if "small" in steps:
-        keys = small_images(nodes).withColumn("small", F.lit(True))
-        rows = rows.withColumn("key", F.when(F.col("tag").isin("img", "svg"), image_key())).join(keys, ["page_id", "key"], "left")
+        rows = rows.join(small_images(nodes).groupBy("page_id").agg(F.collect_set("key").alias("small")), "page_id", "left")
     if "low" in steps:
         low = low_blocks(nodes) if low is None else low
-        rows = rows.join(low.withColumn("low", F.lit(True)), ["page_id", "pre"], "left")
-    tests = {"small": lambda: F.col("small"), "low": lambda: F.col("low"), **REASONS}
+        rows = rows.join(low.groupBy("page_id").agg(F.collect_set("pre").alias("low")), "page_id", "left")
+    tests = {"small": lambda: F.array_contains("small", image_key()), "low": lambda: F.array_contains("low", F.col("pre")), **REASONS}
     element, free = F.col("kind") == "element", ~holds & ~F.col("in_code")
-    allowed = {"small": F.lit(True), "images": element, "hidden": element, "low": free, "exact": element & free, "partial": element & free}
+    allowed = {"small": F.col("tag").isin("img", "svg"), "images": element, "hidden": element, "low": element & free, "exact": element & free, "partial": element & free}
     found = [F.coalesce(F.when(allowed[step], tests[step]()), F.lit(False)).alias(f"is_{step}") for step in ORDER if step in steps]
     return rows.select(*[c for c in nodes.columns if c not in MEASURED], *found)
 
